@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprints, secrets, url_filters
+from docloom.llm import byte_bpe, fingerprints, packing, secrets, textstats, url_filters
 from docloom.llm.common import table
 
 #: The rules of op1 (host, path, verdict).
@@ -47,9 +47,37 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in base), F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = textstats.judge_documents(table(spark, sf_dir, "documents"), keep=["doc_id"], clean=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
+    digested = encoded.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = byte_bpe.decode_documents(digested, ranks, pattern, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
     "op4_secrets": op4_secrets,
+    "op5_packing": op5_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLES = {"op1_url_filters": OP1_SQL}

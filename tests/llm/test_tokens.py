@@ -1,0 +1,158 @@
+"""Byte-level BPE, packing and quality rules against the libraries and plain Python."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import byte_bpe, packing, queries, textstats
+from docloom.llm.word_bpe import word_bpe
+
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+WORDS = P.path("word_bpe_49k.json")
+ODD = [
+    None, "", " ", "x", "don't I'll 'S x'Re he'd've \"'s", "ÀÉÎ ŒǅẞſİI İstanbul ΣΑΣ ΣΑΣ. Σ", "éà  x y\x85z\x1cq\x00", "日本語 text 한국어😀 <|endoftext|>a<|startoftext|>b", "١٢٣ ½ ²³ 12345 a1b2",
+    "a" * 400 + " " + "é" * 90, "\t \n", "éx ʼn ŉ", "a×b÷c", "'", "''s 's", "ends with'", "... !!? --'re", "x" * 5000,
+]
+
+
+def library_ids(text):
+    own = word_bpe(WORDS).library
+    return list(own.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_word_ids_are_the_library_s(spark, sf):
+    texts = [t or "" for t in ODD] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("abé 'std.,re1\nvl-ÉÜ") for _ in range(60)) for _ in range(500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in word_bpe(WORDS).encode(texts)]
+    assert got == [library_ids(t) for t in texts]
+
+
+@pytest.mark.parametrize("chunk,overlap", [(byte_bpe.CHUNK, byte_bpe.OVERLAP), (64, 24), (50, 3)])
+def test_byte_bpe_is_the_library_s(spark, sf, chunk, overlap):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(2, "again"), (17, "x" * 5000), (3, "x")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    docs = docs.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 1000, "text").limit(60))
+    own = byte_bpe.encoding(RANKS, P.PATTERN)
+    encoded = byte_bpe.encode_documents(docs, RANKS, P.PATTERN, chunk=chunk, overlap=overlap)
+    got = sorted((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in byte_bpe.decode_documents(encoded, RANKS, P.PATTERN).collect())
+    want = sorted((r.doc_id, np.array(own.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect())
+    assert got == want
+    assert byte_bpe.encode_documents(docs.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def brute_pieces(rows):
+    out = []
+    for i, t in rows:
+        ids = library_ids(t) + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            out.append((i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    return sorted(out)
+
+
+def check_packing(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(1, "same id"), (7001, None), (7002, "two two"), (7002, "two two"), (7003, "w " * 9000)], "doc_id long, text string")).withColumn("length", F.lit("clash"))
+    got = packing.pack_documents(docs, WORDS).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == brute_pieces([(r.doc_id, r.text) for r in docs.collect()])
+    used, total = check_packing(got, 2048), sum(r.length for r in got)
+    assert used <= 1.02 * total / 2048 + 1
+    assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
+
+
+def test_assembled_sequences(spark):
+    docs = spark.createDataFrame([(i, "some words here " * i) for i in range(40)], "doc_id long, text string")
+    pieces = packing.cut_documents(docs, WORDS, capacity=64, with_ids=True)
+    rows = packing.assemble(packing.place(pieces, capacity=64)).collect()
+    assert sum(r.documents for r in rows) == pieces.count() and all(len(r.ids) <= 256 and r.ids[-4:] == b"\0\0\0\0" or len(r.ids) == 256 for r in rows)
+
+
+def optimum(lengths, capacity):
+    """The fewest sequences, by trying all ways."""
+    best = len(lengths)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for i in sorted(set(range(len(rooms))), key=lambda i: rooms[i]):
+            if rooms[i] >= lengths[k] and rooms[i] not in rooms[:i]:
+                rooms[i] -= lengths[k]
+                go(k + 1, rooms)
+                rooms[i] += lengths[k]
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fixed_sets_keep_an_optimum(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 20) if seed % 2 else rng.randint(5, 20) for _ in range(9)]
+    counts = {n: lengths.count(n) for n in lengths}
+    fixed, rest = packing.reduce_instance(counts, 20)
+    left = [n for n, c in rest.items() for _ in range(c)]
+    assert sum(t for _, t in fixed) + (optimum(left, 20) if left else 0) == optimum(lengths, 20)
+    contents = packing.plan(counts, 20)
+    assert sorted(n for c, t in contents for n in c * t) == sorted(lengths) and all(sum(c) <= 20 for c, _ in contents)
+
+
+def brute_rules(text):
+    text = text or ""
+    words = [w for w in text.translate({i: " " for i in range(9, 14)}).split(" ") if w]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\f\r")]
+    failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
+
+
+def test_quality_rules(spark, sf):
+    cases = [None, "", "a b c a b c", "x y z", "l\nl\n \n \nl ", "a a a a", "😀 | é\x1cx\x85y", "one\r\none\r\n", "w " * 60]
+    docs = spark.createDataFrame(list(enumerate(cases)) + [(0, None)], "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    docs = docs.unionByName(spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 4000").select("doc_id", "text", F.lit("x").alias("kept")))
+    got = textstats.judge_documents(docs, keep=["doc_id", "text"]).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(r.text), r
+        assert not (r.base_failed and r.kept) and (r.lost_chars or r.clean_text == (r.text or ""))
+    assert textstats.judge_documents(docs.limit(0)).count() == 0
+
+
+def test_junk_goes_and_prose_stays(spark):
+    prose = "The river rose in the night, and by morning the lower fields were under water. " + " ".join(f"Word{i} follows word{i + 1}." for i in range(60))
+    bars = "\n".join(" | ".join(f"item{i}{j}" for j in range(20)) for i in range(6))
+    marks = " ".join(f"word{i}***" for i in range(80))
+    docs = spark.createDataFrame([(1, prose), (2, bars), (3, marks), (4, prose + "\nHome\n" + "a | b | c | d | e"), (5, " ".join(f"SHOUT{i}!!" for i in range(90)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in textstats.judge_documents(docs).collect()}
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert got[4].clean_text == prose and got[1].clean_text == prose
+
+
+def test_digests_of_the_query(spark, sf):
+    r = queries.op8_byte_bpe(spark, sf).orderBy("doc_id").first()
+    text = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text
+    assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_tokens == len(byte_bpe.encoding(RANKS, P.PATTERN).encode_ordinary(text))
