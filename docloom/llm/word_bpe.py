@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from docloom.llm.arrays import Spans
+
 #: Bytes of the longest piece that is merged here.
 LONGEST = 48
 #: Each worker keeps the ids of up to 2 ** _SLOT_BITS pieces, one for each slot that their hashes lead to, _POOL ids in all.
@@ -24,9 +26,6 @@ _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _KIND[range(48, 58)] = _DIGIT
-_BYTES = np.random.default_rng(2048).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NONE = np.int64(1 << 40)
 
 
@@ -56,7 +55,6 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.result = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.powers = self.back = np.zeros(0, np.uint64)
         self.known = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.offset, self.count = np.zeros(1 << _SLOT_BITS, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
         self.pool, self.used = np.zeros(_POOL, np.uint32), 0
@@ -134,23 +132,12 @@ class WordBpe:
         words = kind[starts] != _SPACE
         return starts[words], ends[words]
 
-    def _hash(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the pieces: sums of random numbers for bytes by powers of a base, moved to the piece's start."""
-        if len(self.powers) < len(raw):
-            n = max(len(raw), 1 << 20)
-            self.powers, self.back = (np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, _BACK))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.powers[: len(raw)])])
-        h = (sums[ends] - sums[starts]) * self.back[starts]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(29))
-
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         """Ids of lower-cased texts of ASCII and Latin letters: all pieces of all texts at once."""
         joined = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(joined, np.uint8)
         starts, ends = self._pieces(raw)
-        hashes = self._hash(raw, starts, ends)
+        hashes = Spans(raw).hash(starts, ends)
         slots = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         hit = self.known[slots] == hashes
         offset, count = self.offset[slots], self.count[slots]
