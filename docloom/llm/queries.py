@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, fingerprints, packing, quality, secrets, textstats, toxicity, url_filters
+from docloom.llm import byte_bpe, fingerprints, lattice, packing, quality, secrets, textstats, toxicity, url_filters
 from docloom.llm.common import table
 from docloom.llm.learning import remainder
 
@@ -77,6 +77,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 4) == 2)
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op1_url_filters": OP1_SQL}

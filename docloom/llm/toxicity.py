@@ -17,7 +17,7 @@ from docloom.llm.arrays import Words, mix
 from docloom.llm.learning import SAMPLE, labelled, score_documents, sigmoid, train_in_one_task
 
 BITS = 20
-RATE, BETA, L1, L2, ROUNDS = 0.3, 1.0, 0.8, 1.0, 4
+RATE, BETA, L1, L2, ROUNDS = 1.0, 1.0, 8.0, 1.0, 4
 #: Bytes of a word's beginning.
 STEM = 5
 
