@@ -125,7 +125,8 @@ def scorer(model: np.ndarray):
     return score
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """``keep``, held_out, score (the chance of label 1) and predicted of each row; learns from labelled rows that are not held out."""
-    model = train_in_one_task(labelled(docs, labels, label, ~held_out, key, text, sample), fit, key)
+def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, cut: float = 0.3, keep: list[str] | None = None, training: DataFrame | None = None) -> DataFrame:
+    """``keep``, held_out, score (the chance of label 1) and predicted of each row; learns from labelled rows of ``training``
+    (``docs`` by default) that are not held out."""
+    model = train_in_one_task(labelled(docs if training is None else training, labels, label, ~held_out, key, text, sample), fit, key)
     return score_documents(docs, scorer(model), held_out, key, text, cut, keep)

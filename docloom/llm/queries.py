@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, fingerprints, lattice, packing, quality, secrets, textstats, toxicity, url_filters
+from docloom.llm import byte_bpe, fingerprints, lattice, near_dups, packing, quality, secrets, textstats, toxicity, url_filters
 from docloom.llm.common import table
 from docloom.llm.learning import remainder
 
@@ -40,6 +40,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE_RULES]
@@ -88,6 +92,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
+    "op3_near_dups": op3_near_dups,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,

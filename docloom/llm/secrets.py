@@ -107,3 +107,11 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         ),
     )
     return F.when(F.size(spans) > 0, F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the spans of their blobs replaced by ``mark``; texts without findings stay as they are."""
+    found, _ = scan_secrets(docs, ledger, key=key, text=text)
+    known = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    marked = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known, F.col("__own") == F.col("__blob"), "left")
+    return marked.select(*(F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("__spans"), mark)).alias(text) if c == text else F.col(c) for c in docs.columns))
