@@ -1,0 +1,656 @@
+"""Queries by name over the shared test tables, each with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from docloom.functions import status as st
+from docloom.functions import text as tx
+from docloom.operators import access, analytics, checks, chunks, consolidate, graph, search, versions
+from docloom.plans import guard
+from docloom.session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
+
+
+def first_vector(spark: SparkSession, sf: str) -> list[float]:
+    """The query of the vector searches: one row, as a constant."""
+    return list(table(spark, sf, "embeddings").where("vec_id = 0").first().embedding)
+
+
+# ---- vectors and search
+
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_Q0 = "(select embedding from embeddings where vec_id = 0) q"
+
+
+@query(f"select e.vec_id, e.label, round({_COS}, 6) as similarity from embeddings e, {_Q0} order by {_COS} desc, e.vec_id limit 10")
+def knn_cosine_topk(spark, sf):
+    hits = search.nearest(table(spark, sf, "embeddings"), first_vector(spark, sf), 10)
+    return hits.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""select vec_id, label, similarity from (select e.vec_id, e.label, round({_COS}, 6) as similarity,
+  row_number() over (partition by e.label order by {_COS} desc, e.vec_id) r from embeddings e, {_Q0}) where r = 1""")
+def knn_best_per_group(spark, sf):
+    q = first_vector(spark, sf)
+    scored = table(spark, sf, "embeddings").select("vec_id", "label", search.vec.cosine(c("embedding"), search.vec.constant(q)).alias("similarity"))
+    return search.best_per_group(scored, "label", "similarity", "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""with s as (select q.vec_id as query_id, e.vec_id as match_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) as s
+  from embeddings q join embeddings e on q.vec_id % 50 = 0 and e.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by round(s, 12) desc, match_id) n from s)
+select query_id, match_id, round(s, 6) as similarity, case when s >= 0.85 then 'UPDATE' when s >= 0.60 then 'MAYBE' else 'CREATE' end as action from r where n = 1""")
+def kb_reconcile(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    best = search.knn_join(rows.where("vec_id % 50 = 0"), rows, 1)
+    return best.select(c("query").alias("query_id"), c("match").alias("match_id"), F.round("similarity", 6).alias("similarity"), st.kb_action(c("similarity")).alias("action"))
+
+
+@query("""select a.vec_id, count(b.vec_id) as n_links, min(b.vec_id) as least_link from embeddings a left join embeddings b
+  on a.vec_id <> b.vec_id and round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.75 group by a.vec_id""")
+def embedding_links(spark, sf):
+    return search.similar_links(table(spark, sf, "embeddings"), 0.75)
+
+
+_LEX_WORDS = "list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+'))"
+TERMS = ["the", "and", "tion", "ing", "that"]
+_TERMS = "['the', 'and', 'tion', 'ing', 'that']"
+
+
+@query(f"""with w as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+') as ws from documents),
+h as (select doc_id, len(list_intersect({_TERMS}, list_distinct(ws))) as hits, len(list_filter(ws, lambda x: list_contains({_TERMS}, x))) as tf from w)
+select doc_id, hits, tf, hits = 5 as all_terms from h where hits > 0""")
+def lexical_any_all(spark, sf):
+    return search.lexical(table(spark, sf, "documents"), TERMS).select("doc_id", "hits", "tf", "all_terms")
+
+
+@query(f"""with w as (select doc_id, {_LEX_WORDS} as ws from documents)
+select doc_id, round(len(list_intersect({_TERMS}, ws)) / 5.0::DOUBLE, 6) as coverage, len(list_intersect({_TERMS}, ws)) >= 3 as strong from w""")
+def term_coverage(spark, sf):
+    cover = tx.term_coverage(F.array(*map(F.lit, TERMS)), F.regexp_replace("text", "_", "\u0001"))
+    docs = table(spark, sf, "documents").select("doc_id", F.size(F.array_intersect(F.array(*map(F.lit, TERMS)), tx.tokens(c("text")))).alias("n"), cover.alias("whole"))
+    return docs.select("doc_id", F.round(c("n") / 5.0, 6).alias("coverage"), (c("n") / 5.0 >= search.STRONG).alias("strong"))
+
+
+@query("select doc_id, lang from documents where contains(lower(strip_accents(text)), 'creative commons') or contains(lower(strip_accents(text)), 'apache license')")
+def phrase_needle(spark, sf):
+    body = tx.fold_lower(c("text"))
+    return table(spark, sf, "documents").where(F.contains(body, F.lit("creative commons")) | F.contains(body, F.lit("apache license"))).select("doc_id", "lang")
+
+
+@query(f"""with v as (select e.vec_id as doc_id, {_COS} as s from embeddings e, {_Q0} order by s desc, doc_id limit 50),
+va as (select doc_id, row_number() over (order by s desc, doc_id) as rank from v),
+w as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+') as ws from documents),
+l as (select doc_id, len(list_intersect({_TERMS}, list_distinct(ws))) as hits, len(list_filter(ws, lambda x: list_contains({_TERMS}, x))) as tf from w),
+la as (select doc_id, row_number() over (order by hits = 5 desc, hits desc, tf desc, doc_id) as rank from l where hits > 0 qualify rank <= 50),
+b as (select doc_id, rank from va union all select doc_id, rank from la)
+select doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) as rrf from b group by doc_id""")
+def rrf_fusion(spark, sf):
+    near = search.nearest(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), first_vector(spark, sf), search.POOL, "doc_id")
+    arm = near.select("doc_id", F.row_number().over(W.orderBy(F.desc("similarity"), "doc_id")).alias("rank"))
+    words = search.ranked(search.lexical(table(spark, sf, "documents"), TERMS), search.lexical_order())
+    return search.rrf([arm, words], "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query(ORACLES["rrf_fusion"].rpartition("select doc_id, round(sum")[0] + """, f as (select doc_id, sum(1.0::DOUBLE / (60 + rank)) as rrf from b group by doc_id)
+select f.doc_id, round(f.rrf, 9) as rrf, round(v.s, 6) as similarity, la.doc_id is not null as lexical from f left join v using (doc_id) left join la using (doc_id)
+where v.s >= 0.35 or la.doc_id is not null order by f.rrf desc, f.doc_id limit 10""")
+def hybrid_search(spark, sf):
+    hits = search.hybrid(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), table(spark, sf, "documents"), first_vector(spark, sf), TERMS)
+    return hits.select("doc_id", F.round("rrf", 9).alias("rrf"), F.round("similarity", 6).alias("similarity"), "lexical")
+
+
+@query("""with w as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+') as ws from documents),
+x as (select doc_id, ws, list_distinct(ws) as ds, ['the', 'and', 'tion'] as q from w)
+select doc_id, case when len(ds) = 0 then 0.0 else round(0.5 * len(list_intersect(q, ds)) / 3.0::DOUBLE
+  + 0.2 * len(list_intersect(q, ds)) / len(list_distinct(list_concat(q, ds)))::DOUBLE + case when contains(array_to_string(ws, ' '), 'the and tion') then 0.3 else 0.0 end, 4) end as rerank_score from x""")
+def local_rerank(spark, sf):
+    return search.local_rerank(table(spark, sf, "documents").select("doc_id", "text"), "The and TION").select("doc_id", "rerank_score")
+
+
+@query()
+def mmr_top(spark, sf):
+    hits = search.local_rerank(table(spark, sf, "documents").select("doc_id", "lang", "text"), "the and tion")
+    return search.mmr(hits, 10, group="lang").select("lang", "doc_id", "rerank_score", "mmr_rank")
+
+
+@query("""with w as (select doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+') as ws from documents),
+t as (select doc_id, len(ws) as size, len(list_filter(ws, lambda x: x = 'thing')) as t0, len(list_filter(ws, lambda x: x = 'with')) as t1 from w),
+s as (select count(*) as n, avg(size) as mean, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from t)
+select doc_id, round((case when t0 > 0 then ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 / (t0 + 1.2 * (0.25 + 0.75 * size / mean)) else 0 end
+  + case when t1 > 0 then ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)) else 0 end)::DOUBLE, 6) as bm25 from t, s where t0 > 0 or t1 > 0""")
+def bm25_rank(spark, sf):
+    return search.bm25(table(spark, sf, "documents"), ["thing", "with"]).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+# ---- text
+
+@query("""select page_id, lower(regexp_replace(regexp_replace(strip_accents(url), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from pages""")
+def url_slugify(spark, sf):
+    return table(spark, sf, "pages").select("page_id", tx.slugify(c("url")).alias("slug"))
+
+
+@query("select doc_id, md5(strip_accents(text)) as folded from documents")
+def accent_fold(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.fold(c("text"))).alias("folded"))
+
+
+@query("""select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', '\n', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', '\n', 'g'), '\n{3,}', '\n\n', 'g'), ' \n')) as normal from documents""")
+def text_normalize(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_text(c("text"))).alias("normal"))
+
+
+@query(r"""select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) as body from pages""")
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(tx.html_text(c("html"))).alias("body"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in [*tx.STOP_ENGLISH, *tx.STOP_VIETNAMESE]) + "]"
+_GAP = rf"substring(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x <> '' and not list_contains({_STOP}, x)), ' '), 1, 200)"
+
+
+@query(f"""with k as (select {_GAP} as gap_key, text, conv_id from conversations where role = 'user')
+select gap_key, count(*) as n_queries, count(distinct conv_id) as n_requesters from k where gap_key <> '' group by gap_key""")
+def gap_topics(spark, sf):
+    asked = table(spark, sf, "conversations").where("role = 'user'")
+    return analytics.gaps(asked, "text", "conv_id", "conv_id", None).select("gap_key", "n_queries", "n_requesters")
+
+
+@query(rf"""with k as (select regexp_replace(lower(trim(p_name)), '[!-/:-@\[-`{{-~]', '', 'g') as concept, p_name, p_type, p_partkey from part where p_name is not null),
+g as (select concept, p_name, count(*) n, min(p_partkey) f from k where concept <> '' group by 1, 2)
+select g.concept, arg_max(g.p_name, n * 1000000000::BIGINT - f) as spelling, sum(n)::BIGINT as mentions, min(f) as first_at, (select length(k.p_type) from k where k.concept = g.concept order by length(k.p_type) desc limit 1) as definition_length
+from g group by g.concept""")
+def concept_exact_dedup(spark, sf):
+    merged = consolidate.merge_concepts(table(spark, sf, "part"), "p_name", "p_type", "p_partkey")
+    return merged.select("concept", "spelling", "mentions", "first_at", F.length("definition").alias("definition_length"))
+
+
+@query("""with r as (select l_returnflag as s, l_linestatus as t, case l_linenumber % 3 when 0 then 'is_a' when 1 then 'Part Of' else 'unheard' end as k from lineitem)
+select lower(s) as source_key, lower(t) as target_key, case k when 'is_a' then 'la_mot' when 'Part Of' then 'thuoc' else 'lien_quan' end as predicate, count(*) as weight from r group by 1, 2, 3""")
+def concept_relation_dedup(spark, sf):
+    kind = F.when(c("l_linenumber") % 3 == 0, "is_a").when(c("l_linenumber") % 3 == 1, "Part Of").otherwise("unheard")
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", kind.alias("kind"), F.lit("").alias("evidence"), "l_orderkey")
+    return consolidate.merge_relations(rows, "l_returnflag", "l_linestatus", "kind", "evidence", "l_orderkey").select("source_key", "target_key", "predicate", "weight")
+
+
+@query("""select doc_id, case when length(text) < 30000 then 'single' when length(text) <= 200000 then 'standard' else 'hierarchical' end as strategy,
+  (['seed', 'developing', 'mature', 'evergreen'])[1 + least((length(text) >= 600)::INT + (length(text) >= 2000)::INT + (length(text) >= 4000)::INT, (n >= 1)::INT + (n >= 3)::INT + (n >= 5)::INT)] as maturity
+from (select doc_id, text, len(regexp_extract_all(text, '\\[\\[[^\\]]+\\]\\]')) as n from documents)""".replace("\\\\", "\\"))
+def page_status(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", st.strategy(F.length("text")).alias("strategy"), st.page_maturity(c("text")).alias("maturity"))
+
+
+# ---- pages and chunks
+
+@query("""with n as (select doc_id, text, greatest(0, ceil((length(text) - 200) / 1800.0)::INT - 1) as last from documents where length(text) > 0)
+select doc_id, i::INT as chunk_index, (i * 1800)::INT as start, md5(substring(text, (i * 1800 + 1)::INT, 2000)) as chunk from (select doc_id, text, unnest(range(0, last + 1)) as i from n)
+where length(trim(substring(text, (i * 1800 + 1)::INT, 2000))) >= 50""")
+def chunk_windows(spark, sf):
+    return chunks.windows(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start", F.md5("chunk").alias("chunk"))
+
+
+@query("""select conv_id, md5(string_agg(text, chr(10) || chr(10) order by turn)) as full_text, sum(length(text)) + 2 * (count(*) - 1) as size, count(*) as pages from (select conv_id, turn, coalesce(text, '') as text from conversations) group by conv_id""")
+def page_assembly(spark, sf):
+    made = chunks.assemble(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return made.select("conv_id", F.md5("full_text").alias("full_text"), F.length("full_text").cast("long").alias("size"), F.size("page_offsets").cast("long").alias("pages"))
+
+
+@query("""with o as (select conv_id, turn, coalesce(sum(length(coalesce(text, '')) + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as begins from conversations)
+select conv_id, count(*) filter (where begins <= 300) as page from o group by conv_id""")
+def page_of_offset(spark, sf):
+    made = chunks.assemble(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+    return made.select("conv_id", chunks.page_of(c("page_offsets"), F.lit(300)).cast("long").alias("page"))
+
+
+@query("""with n as (select doc_id, text, greatest(0, ceil((length(text) - 0) / 3000.0)::INT - 1) as last from documents where length(text) > 0),
+s as (select doc_id, i, i * 3000 as a, least((i + 1) * 3000, length(text)) as b from (select doc_id, text, unnest(range(0, last + 1)) as i from n)),
+p as (select doc_id, unnest([length(text) // 2, length(text) // 3]) as pos from documents where length(text) > 0)
+select p.doc_id, p.pos::INT as pos, s.i::INT as idx from (select distinct * from p) p join s on p.doc_id = s.doc_id and p.pos >= s.a and p.pos < s.b""")
+def section_ranges(spark, sf):
+    docs = table(spark, sf, "documents").where(F.length("text") > 0)
+    sections = chunks.paragraph_sections(docs, "doc_id", "text").select("doc_id", "idx", F.lit("").alias("title"), "start", (c("start") + F.length("section")).alias("end"))
+    positions = docs.select("doc_id", F.explode(F.array(F.floor(F.length("text") / 2).cast("int"), F.floor(F.length("text") / 3).cast("int"))).alias("pos")).distinct()
+    return chunks.smallest_section(sections, positions, "doc_id").select("doc_id", "pos", "idx")
+
+
+@query(r"""with h as (select page_id, regexp_replace(html, '(?i)<h([1-6])[^>]*>', chr(10) || '#', 'g') as t from pages)
+select page_id, len(regexp_extract_all(t, chr(10) || '#[^#\n]*')) as n_headings from h""")
+def page_headings(spark, sf):
+    marked = F.regexp_replace("html", "(?i)<h[1-6][^>]*>", "\n# ")
+    found = chunks.outline(table(spark, sf, "pages").select("page_id", F.concat(F.lit("\n"), marked).alias("t")), "page_id", "t")
+    n = found.groupBy("page_id").agg(F.count("*").alias("n"))
+    return table(spark, sf, "pages").select("page_id").join(n, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_headings"))
+
+
+@query(r"""with l as (select source as doc, doc_id as page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from documents),
+e as (select distinct doc, page, unnest(list_concat(l[1:2], l[-2:])) as line from l where len(l) > 0),
+n as (select doc, line, count(distinct page) as n_pages from e group by 1, 2), t as (select source as doc, count(*) as n from documents group by 1)
+select doc as source, md5(line) as line, n_pages from n join t using (doc) where n_pages >= greatest(2, (t.n * 0.02)::INT)""")
+def line_headers_footers(spark, sf):
+    found = chunks.repeated_edges(table(spark, sf, "documents"), "source", "doc_id", "text", 0.02)
+    return found.select("source", F.md5("line").alias("line"), "n_pages")
+
+
+@query()
+def markdown_chunks(spark, sf):
+    return chunks.markdown_chunks(table(spark, sf, "documents")).select("doc_id", "chunk_index", "start", "end", "breadcrumb", "content_hash")
+
+
+# ---- graph: pages are linked by the hrefs of their HTML
+
+def page_edges(spark, sf) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf, "pages").withColumn("slug", c("url"))
+    return pages, graph.links(pages, "page_id", tx.hrefs(c("html")), c("url"))
+
+
+_EDGES = """e as (select distinct page_id as from_page, u as to_slug from (select page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as u from pages) where u <> url)"""
+
+
+@query(f"with {_EDGES} select from_page, to_slug from e")
+def wikilinks_extract(spark, sf):
+    return page_edges(spark, sf)[1]
+
+
+@query(f"with {_EDGES} select to_slug, count(distinct from_page) as n_backlinks from e group by 1")
+def backlinks(spark, sf):
+    return graph.backlinks(page_edges(spark, sf)[1])
+
+
+@query(f"with {_EDGES} select from_page, count(*) as n_outlinks from e group by 1")
+def outlinks(spark, sf):
+    return graph.outlinks(page_edges(spark, sf)[1])
+
+
+@query(f"with {_EDGES} select from_page, to_slug from e where to_slug not in (select url from pages where url is not null)")
+def dead_links(spark, sf):
+    pages, edges = page_edges(spark, sf)
+    return graph.dead_links(edges, pages).select("from_page", "to_slug")
+
+
+@query(f"with {_EDGES} select page_id, url from pages where url not in (select to_slug from e)")
+def orphans(spark, sf):
+    pages, edges = page_edges(spark, sf)
+    return graph.orphans(pages, edges).select("page_id", "url")
+
+
+@query(f"with {_EDGES} select 'dead_link' as kind, from_page as page, to_slug as detail from e where to_slug not in (select url from pages) union all select 'orphan', page_id, url from pages where url not in (select to_slug from e) union all select 'contradiction', page_id, url from pages where contains(html, 'contradict')")
+def graph_lint(spark, sf):
+    pages, edges = page_edges(spark, sf)
+    return graph.lint(pages.select(c("page_id").alias("page"), "slug", F.contains("html", F.lit("contradict")).alias("contradicts")), edges)
+
+
+@query("""with recursive b as (select distinct l_orderkey as u, l_partkey + 1000000000 as v from lineitem where l_suppkey % 10 = 0),
+s as (select u, v from b union select v, u from b), w(node, dist) as (select (select min(u) from b), 0 union select s.v, w.dist + 1 from w join s on s.u = w.node where w.dist < 3)
+select node, min(dist) as dist from w group by node""")
+def neighborhood_k(spark, sf):
+    edges = table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").select(c("l_orderkey").alias("a"), (c("l_partkey") + 1_000_000_000).alias("b")).distinct()
+    return graph.neighbourhood(edges, edges.agg(F.min("a").alias("node")), 3)
+
+
+@query("""select n_name as source, r_name as target, 1.0::DOUBLE as weight, 'wikilink' as kind from nation join region on n_regionkey = r_regionkey
+union all select c_mktsegment, n_name, count(*)::DOUBLE, 'concept' from customer join nation on c_nationkey = n_nationkey group by 1, 2
+union all select s_name, n_name, 1.2::DOUBLE, 'legal' from supplier join nation on s_nationkey = n_nationkey""")
+def typed_edge_union(spark, sf):
+    nation = table(spark, sf, "nation")
+    links = nation.join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey")).select(c("n_name").alias("source"), c("r_name").alias("target"), F.lit(1.0).alias("weight"))
+    concepts = table(spark, sf, "customer").join(nation, c("c_nationkey") == c("n_nationkey")).groupBy(c("c_mktsegment").alias("source"), c("n_name").alias("target")).agg(F.count("*").alias("weight"))
+    legal = table(spark, sf, "supplier").join(nation, c("s_nationkey") == c("n_nationkey")).select(c("s_name").alias("source"), c("n_name").alias("target"), F.lit(1.2).alias("weight"))
+    return graph.typed_union(wikilink=links, concept=concepts, legal=legal)
+
+
+@query("""with recursive p as (select distinct l_partkey as a, l_suppkey as s from lineitem where l_partkey % 97 = l_suppkey % 97), b as (select x.a, y.a as b from p x join p y on x.s = y.s and x.a <> y.a),
+w(n, m) as (select a, a from p union select w.n, b.b from w join b on b.a = w.m)
+select n as id, min(m) as cluster from w group by n""")
+def dup_clusters(spark, sf):
+    # Members of a bucket are tied to its least one, not to each other.
+    p = table(spark, sf, "lineitem").where("l_partkey % 97 = l_suppkey % 97").select(c("l_partkey").alias("id"), c("l_suppkey").alias("s")).distinct()
+    pairs = p.join(p.groupBy("s").agg(F.min("id").alias("a")), "s").where("id != a").select("a", c("id").alias("b"))
+    ensure_checkpoint(spark)
+    return consolidate.clusters(p.select("id").distinct(), pairs)
+
+
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """A checkpoint folder of our own only where the session has none."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+
+
+# ---- checks
+
+@query(r"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) as line from documents),
+f as (select doc_id, 'pii.email' as "check", unnest(regexp_extract_all(line, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b')) as v from l
+ union all select doc_id, 'pii.phone_vn', unnest(regexp_extract_all(line, '\b(?:0|\+84)\d{9,10}\b')) from l
+ union all select doc_id, 'secret.api_key_sk', unnest(regexp_extract_all(line, '\bsk-[A-Za-z0-9]{20,}\b')) from l
+ union all select doc_id, 'secret.aws_access', unnest(regexp_extract_all(line, '\bAKIA[0-9A-Z]{16}\b')) from l
+ union all select doc_id, 'secret.github_pat', unnest(regexp_extract_all(line, '\bghp_[A-Za-z0-9]{36}\b')) from l)
+select "check", count(distinct doc_id) as n_docs, count(*) as n_findings from f group by 1""")
+def pii_scan(spark, sf):
+    found = checks.private_summary(table(spark, sf, "documents"), "doc_id", "text").where(c("check").isin("pii.email", "pii.phone_vn", "secret.api_key_sk", "secret.aws_access", "secret.github_pat"))
+    return found.select("check", "n_docs", "n_findings")
+
+
+@query(r"""select doc_id, length(text) < 100 as too_short, length(text) > 45000 as too_long, len(regexp_extract_all(chr(10) || text, '\n```')) % 2 = 1 as open_fence from documents""")
+def structure_lint(spark, sf):
+    return checks.structure(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "too_short", "too_long", "open_fence")
+
+
+@query("select sha256(coalesce(text, '')) as content_hash, count(*) as n, min(doc_id) as keep from documents group by 1 having count(*) > 1")
+def exact_dup_docs(spark, sf):
+    return checks.exact_copies(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query("select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) r from orders) where r = 1")
+def dedup_keep_newest(spark, sf):
+    return versions.newest(table(spark, sf, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+@query()
+def ocr_repetition(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(checks.repetition(c("text")), 6).alias("repeated"))
+
+
+# ---- analytics: events are the query log, orders drafts, lineitem revisions, parts pages
+
+_LOG = """log as (select ts::DATE as day, ts, user_id, event_type as tool, case when value < 1 then 'error' when value < 2 then 'denied' else 'ok' end as status, value as latency,
+  cast(json_extract_string(props, '$.k') as int) as result_count from events)"""
+
+
+def log_of(spark, sf) -> DataFrame:
+    status = F.when(c("value") < 1, "error").when(c("value") < 2, "denied").otherwise("ok")
+    return table(spark, sf, "events").select("ts", "user_id", c("event_type").alias("tool"), status.alias("status"), c("value").alias("latency"), F.get_json_object("props", "$.k").cast("int").alias("result_count"))
+
+
+_METRIC = "'' as dimensions_hash"
+SEARCHES = ["search", "view", "click", "purchase"]
+_WEEK = "(select d.day, count(distinct l.user_id) as users from (select distinct day from log) d join log l on l.day <= d.day and l.day > d.day - 7 group by 1)"
+
+
+def _top_sql(key: str, rows: str, item: str, n: int = 10) -> str:
+    return f"""select day, '{key}' as metric_key, null as dimensions, '' as dimensions_hash, null::DOUBLE as value_numeric, to_json(list({{'name': name, 'count': n}} order by r))::VARCHAR as value_json
+from (select day, name, n, row_number() over (partition by day order by n desc, name) r from (select day, {item} as name, count(*) as n from {rows} group by 1, 2)) where r <= {n} group by day"""
+
+
+def _num_sql(key: str, value: str, rows: str, group: str = "group by day") -> str:
+    return f"select day, '{key}' as metric_key, null as dimensions, '' as dimensions_hash, ({value})::DOUBLE as value_numeric, null as value_json from {rows} {group}"
+
+
+def _by_sql(key: str, name: str, value: str, rows: str) -> str:
+    d = f"""'{{"{name}": "' || {value} || '"}}'"""
+    return f"select day, '{key}' as metric_key, {d} as dimensions, md5({d}) as dimensions_hash, count(*)::DOUBLE as value_numeric, null as value_json from {rows} group by 1, 3, 4"
+
+
+_ROUND = "select day, metric_key, dimensions, dimensions_hash, round(value_numeric, 6) as value_numeric, value_json from"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select("day", "metric_key", "dimensions", "dimensions_hash", F.round("value_numeric", 6).alias("value_numeric"), "value_json")
+
+
+@query(f"with {_LOG} {_ROUND} (" + " union all ".join([
+    _num_sql("mcp.queries.total", "count(*)", "log"),
+    _num_sql("mcp.queries.zero_result", "count(*) filter (where result_count = 0 and tool in ('search', 'view', 'click', 'purchase'))", "log"),
+    _num_sql("mcp.queries.error", "count(*) filter (where status = 'error')", "log"), _num_sql("mcp.queries.denied", "count(*) filter (where status = 'denied')", "log"),
+    _num_sql("mcp.active_users", "count(distinct user_id)", "log"), _num_sql("mcp.latency_ms_avg", "avg(latency)", "log"),
+    _num_sql("mcp.weekly_active_users", "users", _WEEK, ""), _top_sql("mcp.queries.by_tool", "log", "tool", 1000), _top_sql("mcp.top_employees", "log", "user_id::VARCHAR"),
+]) + ")")
+def metrics_usage(spark, sf):
+    return rounded(analytics.usage(log_of(spark, sf), SEARCHES))
+
+
+_DAY = "2024-01-15"
+_PAGES = """p as (select 'p' || p_partkey as slug, p_type as page_type, timestamp '2023-12-01' + interval 1 day * (p_partkey % 60) as created_at, timestamp '2023-12-01' + interval 1 day * (p_partkey % 60 + p_size) as updated_at from part),
+r as (select 'p' || l_partkey as slug, timestamp '2024-01-01' + interval 1 hour * (l_orderkey % 720) as created_at from lineitem), e as (select 'p' || l_partkey as to_slug from lineitem where l_linenumber >= 6)"""
+
+
+@query(f"with {_PAGES} {_ROUND} (" + " union all ".join([
+    _num_sql("wiki.pages.total", "count(*)", f"(select date '{_DAY}' as day, * from p)"), _num_sql("wiki.pages.created", f"count(*) filter (where created_at::DATE = date '{_DAY}')", f"(select date '{_DAY}' as day, * from p)"),
+    _num_sql("wiki.pages.updated", f"count(*) filter (where updated_at::DATE = date '{_DAY}')", f"(select date '{_DAY}' as day, * from p)"),
+    _num_sql("wiki.pages.stale_30d", f"count(*) filter (where updated_at < timestamp '{_DAY}' + interval 1 day - interval 30 day)", f"(select date '{_DAY}' as day, * from p)"),
+    _num_sql("wiki.pages.orphan", "count(*) filter (where slug not in (select to_slug from e))", f"(select date '{_DAY}' as day, * from p)"),
+    _num_sql("wiki.revisions.daily", f"count(*) filter (where created_at::DATE = date '{_DAY}')", f"(select date '{_DAY}' as day, * from r)"),
+    _by_sql("wiki.pages.by_type", "page_type", "page_type", f"(select date '{_DAY}' as day, * from p)"),
+    _top_sql("wiki.top_pages", f"(select date '{_DAY}' as day, * from r where created_at::DATE = date '{_DAY}')", "slug"),
+]) + ")")
+def metrics_content(spark, sf):
+    slug = lambda k: F.concat(F.lit("p"), c(k))
+    start = F.to_timestamp_ntz(F.lit("2023-12-01 00:00:00"))
+    pages = table(spark, sf, "part").select(slug("p_partkey").alias("slug"), c("p_type").alias("page_type"), F.expr("timestamp_ntz'2023-12-01 00:00:00' + make_dt_interval(cast(p_partkey % 60 as int))").alias("created_at"), F.expr("timestamp_ntz'2023-12-01 00:00:00' + make_dt_interval(cast(p_partkey % 60 + p_size as int))").alias("updated_at"))
+    lines = table(spark, sf, "lineitem")
+    revisions = lines.select(slug("l_partkey").alias("slug"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(l_orderkey % 720 as int))").alias("created_at"))
+    edges = lines.where("l_linenumber >= 6").select(slug("l_partkey").alias("to_slug"))
+    return rounded(analytics.content(pages, revisions, edges, _DAY))
+
+
+_DRAFTS = """d as (select o_orderdate as created_at, case o_orderstatus when 'O' then null else o_orderdate + interval 1 hour * (o_orderkey % 100) end as reviewed_at,
+  case o_orderstatus when 'F' then 'approved' when 'O' then 'pending' else 'rejected' end as status, o_orderpriority as source, o_custkey as author, o_custkey * 7 % 2000 as reviewer from orders),
+dc as (select created_at::DATE as day, coalesce(c_name, '(unknown)') as name, d.* from d left join customer on c_custkey = author),
+dr as (select reviewed_at::DATE as day, coalesce(c_name, '(unknown)') as name, d.* from d left join customer on c_custkey = reviewer where reviewed_at is not null)"""
+
+
+def drafts_of(spark, sf) -> DataFrame:
+    status = F.when(c("o_orderstatus") == "F", "approved").when(c("o_orderstatus") == "O", "pending").otherwise("rejected")
+    reviewed = F.when(c("o_orderstatus") != "O", F.expr("cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, cast(o_orderkey % 100 as int))"))
+    return table(spark, sf, "orders").select(c("o_orderdate").cast("timestamp_ntz").alias("created_at"), reviewed.alias("reviewed_at"), status.alias("status"), c("o_orderpriority").alias("source"), c("o_custkey").alias("author"), (c("o_custkey") * 7 % 2000).alias("reviewer"), "o_orderkey")
+
+
+@query(f"with {_DRAFTS} {_ROUND} (" + " union all ".join([
+    _num_sql("draft.created", "count(*)", "dc"), _num_sql("draft.approved", "count(*) filter (where status = 'approved')", "dr"), _num_sql("draft.rejected", "count(*) filter (where status = 'rejected')", "dr"),
+    _num_sql("draft.time_to_review_avg_seconds", "avg(epoch(reviewed_at - created_at))", "dr"),
+    _num_sql("draft.pending", "count(*) filter (where status = 'pending')", "(select max(day) over () as day, status from dc)"),
+    _by_sql("draft.created.by_source", "source", "source", "dc"), _top_sql("draft.top_contributors", "dc", "name"), _top_sql("draft.top_reviewers", "dr", "name"),
+]) + ")")
+def metrics_contribution(spark, sf):
+    return rounded(analytics.contribution(drafts_of(spark, sf), table(spark, sf, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"))))
+
+
+_AUDIT = "(select ts::DATE as day, event_type as resource from events where value < 2)"
+
+
+@query(f"{_ROUND} ({_num_sql('audit.denied', 'count(*)', _AUDIT)} union all {_by_sql('audit.denied.by_resource', 'resource', 'resource', _AUDIT)})")
+def metrics_audit(spark, sf):
+    log = table(spark, sf, "events").select("ts", F.when(c("value") < 2, "deny").otherwise("allow").alias("decision"), c("event_type").alias("resource"))
+    return rounded(analytics.audit(log))
+
+
+@query(f"with {_LOG} select day, users from {_WEEK}")
+def wau_rolling(spark, sf):
+    return analytics.rolling_users(log_of(spark, sf))
+
+
+@query("select event_type, arg_max(value, ts) as value, max(ts) as ts from events where value is not null group by event_type")
+def latest_snapshot(spark, sf):
+    return analytics.latest(table(spark, sf, "events"), "event_type", "value", "ts").select("event_type", "value", "ts")
+
+
+@query("""with m as (select event_type as metric_key, ts::DATE as day, count(*)::DOUBLE as v from events group by 1, 2)
+select metric_key, string_agg(strftime(day, '%Y-%m-%d') || '=' || v::BIGINT::VARCHAR, ',' order by day) as points from m group by 1""")
+def series_pivot(spark, sf):
+    daily = table(spark, sf, "events").groupBy(c("event_type").alias("metric_key"), analytics.day_of(c("ts")).alias("day")).agg(F.count("*").cast("double").alias("value_numeric"))
+    return analytics.series(daily).select("metric_key", F.array_join(F.transform("points", lambda p: F.concat_ws("=", F.date_format(p["day"], "yyyy-MM-dd"), p["value_numeric"].cast("long"))), ",").alias("points"))
+
+
+@query(f"select strftime(day, '%Y-%m-%d') as date, metric_key, coalesce(dimensions, '') as dimensions_json, value_numeric::BIGINT::VARCHAR || '.0' as value_numeric, coalesce(value_json, '') as value_json from ({_num_sql('audit.denied', 'count(*)', _AUDIT)} union all {_by_sql('audit.denied.by_resource', 'resource', 'resource', _AUDIT)})")
+def export_rows(spark, sf):
+    return analytics.export_rows(metrics_audit(spark, sf))
+
+
+@query("""select o_custkey as author, count(*) filter (where o_orderstatus = 'F') as approved, count(*) filter (where o_orderstatus = 'P') as rejected,
+  case when count(*) filter (where o_orderstatus in ('F', 'P')) > 0 then round(count(*) filter (where o_orderstatus = 'F') / count(*) filter (where o_orderstatus in ('F', 'P'))::DOUBLE, 3) else 0.0 end as rate from orders group by 1""")
+def author_stats(spark, sf):
+    n = lambda s: F.sum(F.when(c("status") == s, 1).otherwise(0))
+    counted = drafts_of(spark, sf).groupBy("author").agg(n("approved").alias("approved"), n("rejected").alias("rejected"))
+    both = c("approved") + c("rejected")
+    return counted.withColumn("rate", F.when(both > 0, F.round(c("approved") / both, 3)).otherwise(0.0))
+
+
+@query("""with mine as (select distinct l_partkey from lineitem where l_suppkey = 1), n as (select l_suppkey as reviewer, count(*) as n from lineitem where l_partkey in (select * from mine) and l_suppkey <> 1 group by 1)
+select reviewer, n from n order by n desc, reviewer limit 3""")
+def suggested_reviewers(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    similar = lines.join(lines.where("l_suppkey = 1").select("l_partkey").distinct(), "l_partkey", "left_semi").where("l_suppkey != 1")
+    return similar.groupBy(c("l_suppkey").alias("reviewer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reviewer").limit(3)
+
+
+# ---- access: customers are rows, nations departments, market segments kinds
+
+_SCOPE = "case c_mktsegment when 'BUILDING' then 'global' when 'MACHINERY' then 'project' else 'department' end"
+
+
+def scoped(spark, sf) -> DataFrame:
+    kind = F.when(c("c_mktsegment") == "BUILDING", "global").when(c("c_mktsegment") == "MACHINERY", "project").otherwise("department")
+    return table(spark, sf, "customer").select("c_custkey", kind.alias("kind"), c("c_nationkey").alias("scope"))
+
+
+@query(f"select c_custkey, {_SCOPE} as kind from customer where {_SCOPE} = 'global' or ({_SCOPE} = 'department' and c_nationkey in (1, 5, 9)) or ({_SCOPE} = 'project' and c_nationkey in (3))")
+def rls_scope_filter(spark, sf):
+    return scoped(spark, sf).where(access.in_scope(c("kind"), c("scope"), [1, 5, 9], [3])).select("c_custkey", "kind")
+
+
+@query(f"select {_SCOPE} as kind, c_nationkey as scope, count(*) as n from customer where not ({_SCOPE} = 'global' or ({_SCOPE} = 'department' and c_nationkey in (1, 5, 9)) or ({_SCOPE} = 'project' and c_nationkey in (3))) group by 1, 2")
+def rls_inverse(spark, sf):
+    return scoped(spark, sf).where(access.out_of_scope(c("kind"), c("scope"), [1, 5, 9], [3])).groupBy("kind", "scope").agg(F.count("*").alias("n"))
+
+
+@query("""with m as (select distinct l_partkey as id, l_suppkey as dept from lineitem where l_linenumber >= 6)
+select p_partkey from part where p_partkey not in (select id from m) union all select p_partkey from part where p_partkey in (select id from m where dept in (select s_suppkey from supplier where s_nationkey < 5))""")
+def global_or_dept(spark, sf):
+    members = table(spark, sf, "lineitem").where("l_linenumber >= 6").select(c("l_partkey").alias("p_partkey"), c("l_suppkey").alias("dept")).distinct()
+    mine = table(spark, sf, "supplier").where("s_nationkey < 5").select(c("s_suppkey").alias("dept"))
+    return access.readable(table(spark, sf, "part"), members, "p_partkey", mine).select("p_partkey")
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20 offset 40")
+def offset_page(spark, sf):
+    return access.page(table(spark, sf, "orders"), [F.desc("o_totalprice"), c("o_orderkey")], 3, 20).select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderdate < timestamp '1996-06-30' or (o_orderdate = timestamp '1996-06-30' and o_orderkey < 5000) order by o_orderdate desc, o_orderkey desc limit 25")
+def keyset_page(spark, sf):
+    import datetime
+
+    return access.after(table(spark, sf, "orders"), "o_orderdate", "o_orderkey", (datetime.datetime(1996, 6, 30), 5000), 25).select("o_orderkey", "o_orderdate")
+
+
+# ---- versions: orders are drafts of pages that customers own
+
+_JUDGED = """j as (select o_orderkey as draft_id, o_orderkey % 500 as branch_id, p.page_id, case when p.page_id is null then 'error' when o_orderstatus <> 'O' or author = reviewer then 'skipped' when base < version then 'conflict' else 'approved' end as f
+  from (select o_orderkey, o_orderstatus, o_custkey as page_id, o_custkey % 11 as author, o_orderkey % 13 as reviewer, o_orderkey % 4 as base from orders) o left join (select c_custkey as page_id, c_custkey % 3 as version from customer where c_custkey % 10 <> 0) p using (page_id)),
+k as (select draft_id, branch_id, case when f = 'approved' and row_number() over (partition by page_id, f order by draft_id) > 1 then 'conflict' else f end as outcome from j)"""
+
+
+def judged(spark, sf) -> DataFrame:
+    drafts = table(spark, sf, "orders").select(c("o_orderkey").alias("draft_id"), (c("o_orderkey") % 500).alias("branch_id"), c("o_custkey").alias("page_id"), (c("o_orderkey") % 4).alias("base_version"), F.when(c("o_orderstatus") == "O", "pending").otherwise("closed").alias("status"), (c("o_custkey") % 11).alias("author"), (c("o_orderkey") % 13).alias("reviewer"))
+    pages = table(spark, sf, "customer").where("c_custkey % 10 != 0").select(c("c_custkey").alias("page_id"), (c("c_custkey") % 3).alias("version"))
+    return versions.judge_drafts(drafts, pages)
+
+
+@query(f"with {_JUDGED} select draft_id, outcome from k")
+def draft_conflicts(spark, sf):
+    return judged(spark, sf).select("draft_id", "outcome")
+
+
+@query(f"with {_JUDGED} select branch_id, count(*) as n_drafts, count(*) filter (where outcome in ('conflict', 'error')) as n_conflicts, count(*) filter (where outcome in ('conflict', 'error')) = 0 as mergeable from k group by 1")
+def branch_conflict(spark, sf):
+    return versions.branches(judged(spark, sf))
+
+
+@query("""with a as (select ts::DATE as day, event_type as metric_key, count(*) as v from events where user_id % 2 = 0 group by 1, 2), b as (select ts::DATE as day, event_type as metric_key, count(*) as v from events where ts >= timestamp '2024-01-20' group by 1, 2)
+select * from b union all select * from a where (day, metric_key) not in (select day, metric_key from b)""")
+def upsert_metrics(spark, sf):
+    events = table(spark, sf, "events")
+    count = lambda df: df.groupBy(analytics.day_of(c("ts")).alias("day"), c("event_type").alias("metric_key")).agg(F.count("*").alias("v"))
+    return versions.upsert(count(events.where("user_id % 2 = 0")), count(events.where(c("ts").cast("timestamp_ntz") >= F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))), ["day", "metric_key"])
+
+
+@query("""with p as (select l_orderkey as page_id, list_sort(list_distinct(list(l_suppkey))) as s from lineitem group by 1)
+select page_id, array_to_string(list_filter(s, lambda x: x <> 7), ',') as sources from p where not (list_contains(s, 7) and len(s) = 1)""")
+def detach_source(spark, sf):
+    pages = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("source_ids"))
+    return versions.detach(pages, 7).select("page_id", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("""select coalesce(a.k, b.k) as k, case when a.k is null then 'A' when b.k is null then 'D' else 'M' end as change
+from (select o_custkey as k, count(*) as v from orders where o_orderkey % 3 = 0 group by 1) a full join (select o_custkey as k, count(*) as v from orders where o_orderkey % 3 = 1 group by 1) b on a.k = b.k where a.k is null or b.k is null or a.v <> b.v""")
+def fold_diff_amd(spark, sf):
+    orders = table(spark, sf, "orders")
+    side = lambda r: orders.where(c("o_orderkey") % 3 == r).groupBy(c("o_custkey").alias("k")).agg(F.count("*").alias("v"))
+    return versions.diff(side(0), side(1), "k", "v")
+
+
+@query("select r as recipient, count(*) as n from (select distinct l_orderkey, l_suppkey as r, a from lineitem join (select l_orderkey, min(l_suppkey) as a from lineitem group by 1) using (l_orderkey)) where r <> a group by 1")
+def notification_fanout(spark, sf):
+    messages = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("message_id")).agg(F.collect_list("l_suppkey").alias("to"), F.min("l_suppkey").alias("by"))
+    return versions.fan_out(messages, "to", "by").select("recipient", "n")
+
+
+@query("""with m as (select o_orderkey, lag(s) over w as old_status, s as new_status from (select *, case o_orderstatus when 'F' then 'approved' when 'O' then 'pending' else 'needs_revision' end as s from orders) window w as (partition by o_custkey order by o_orderdate, o_orderkey))
+select o_orderkey, old_status, new_status from m where old_status is not null and not ((old_status = 'pending' and new_status in ('needs_revision', 'approved')) or (old_status = 'needs_revision' and new_status = 'pending'))""")
+def illegal_transitions(spark, sf):
+    s = F.when(c("o_orderstatus") == "F", "approved").when(c("o_orderstatus") == "O", "pending").otherwise("needs_revision")
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    moves = table(spark, sf, "orders").withColumn("new_status", s).withColumn("old_status", F.lag("new_status").over(w)).where("old_status is not null")
+    return versions.illegal_moves(moves).select("o_orderkey", "old_status", "new_status")
+
+
+@query("select n_name, count(*) as n, 'DROP; it' as note from nation join customer on n_nationkey = c_nationkey group by n_name order by n desc, n_name limit 10")
+def table_sql_guarded(spark, sf):
+    names = guard.register(table(spark, sf, "nation"), "Nation") + guard.register(table(spark, sf, "customer"), "Customer")
+    return guard.run(spark, "select n_name, count(*) as n, 'DROP; it' as note from nation join customer on n_nationkey = c_nationkey group by n_name order by n desc, n_name", names, 10)
+
+
+# ---- consolidation: benchmark items are claims
+
+@query(r"""with b as (select item_id as claim_id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+'))) as w from benchmark),
+d as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+'))) as w from documents)
+select claim_id, doc_id, count(*) as n_shared from b join d using (w) group by 1, 2 having count(*) >= 12""")
+def evidence_join(spark, sf):
+    claims = table(spark, sf, "benchmark").select(c("item_id").alias("claim_id"), "text")
+    return consolidate.shared_words(claims, table(spark, sf, "documents"), "text", "doc_id", "text", 12)
+
+
+@query(r"""with b as (select unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) as term from benchmark),
+s as (select distinct unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')) as term from documents where lang = 'en')
+select term, count(*) as n from b where term not in (select term from s) group by 1 having count(*) >= 3""")
+def coverage_terms(spark, sf):
+    said = table(spark, sf, "benchmark").select(F.explode(tx.tokens(c("text"))).alias("term"))
+    known = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(tx.tokens(c("text")))).alias("term")).distinct()
+    return consolidate.covered(said, known.withColumn("covered", F.lit(True)))
+
+
+@query()
+def citation_windows(spark, sf):
+    docs = table(spark, sf, "documents")
+    claims = docs.select(c("doc_id").alias("claim_id"), "doc_id", F.substring_index("text", ".", 1).alias("claim"))
+    return consolidate.verify_claims(claims, docs, "doc_id", "text")
+
+
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: hybrid search."""
+    return hybrid_search(spark, sf)
