@@ -1,9 +1,12 @@
 """Language-model scoring: words by their counts, and by all their segmentations into pieces of an existing vocabulary.
 
-The probability of a word is its discounted share of the training tokens plus what the discount frees, times the word's
-marginal probability in the lattice of pieces: the sum over all segmentations, by a forward recursion in logs.  The
-vocabulary's own scores give the pieces their first weights, and expectation maximisation over the distinct training words
-adapts them.  Words are counted in the blocks (parts of input files) where they stand; each distinct word is scored once,
+The probability of a word is its discounted share of the training tokens plus what the discount frees, times the chance of
+its last mark of punctuation (or none) and of the stem before it.  A stem's chance is its discounted share of the distinct
+training words plus what that frees, times its marginal probability in the lattice of pieces: the sum over all segmentations,
+by a forward recursion in logs.  The vocabulary's own scores give the pieces their first weights, and expectation
+maximisation over the distinct training stems adapts them.  All shares sum to one.
+
+Words are counted in the blocks (parts of input files) where they stand; each distinct stem and word is scored once and
 joined back to its blocks, and a block's documents meet just that block's words, so nothing is sent to all tasks.
 
 Edge cases: a null or empty text is the end alone; without training tokens all words are unknown and the end too, and the
@@ -30,6 +33,8 @@ ROUNDS = 2
 PRIOR = 2000.0
 _MARK = "▁".encode()
 _NEVER = -1e30
+#: Marks of punctuation that are split from the end of a word.
+TAILS = [".", ",", ";", ":", "!", "?"]
 
 
 class Lattice:
@@ -171,23 +176,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("block", "trains", "body").mapInArrow(run, "block long, word binary, c long")
 
 
-def _expect(vocabulary: DataFrame, path: str, weight: np.ndarray, stop: float, size: int) -> np.ndarray:
-    """Expected counts of pieces over the distinct training words; as many rows come back as the vocabulary has pieces."""
+def _expect(stems: DataFrame, path: str, weight: np.ndarray, stop: float, size: int) -> np.ndarray:
+    """Expected counts of pieces over the distinct training stems; as many rows come back as the vocabulary has pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = lattice_of(path, weight, stop), np.zeros(size)
         for batch in batches:
-            own.marginals(batch.column("word").to_pylist(), counts)
+            own.marginals(batch.column("stem").to_pylist(), counts)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["piece", "n"])
 
-    found = vocabulary.where("c > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    found = stems.where("c > 0").select("stem").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size)
     for r in found:
         out[r.piece] = r.n
     return out
 
 
+def _shares(counted: DataFrame) -> tuple[int, int, float]:
+    """(sum, number, discount) of the counts above 0; the discount is the usual one from counts of 1 and of 2."""
+    r = counted.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two")).first()
+    discount = r.one / (r.one + 2 * r.two) if r.one else 0.5
+    return r.n or 0, r.v, min(max(discount, 0.1), 0.9)
+
+
 def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one counts), score; logs to base 10."""
     spark = docs.sparkSession
@@ -200,28 +212,41 @@ def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str
     in_blocks = staged(word_counts(docs), "words")
     vocabulary = staged(in_blocks.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     ends = docs.where("trains").count()
-    size = vocabulary.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("one"), F.sum((F.col("c") == 2).cast("long")).alias("two")).first()
-    n_all, n_types = (size.n or 0) + ends, size.v + (ends > 0)
-    discount = (size.one or 0) / ((size.one or 0) + 2 * (size.two or 0)) if size.one else 0.5
-    discount = min(max(discount, 0.1), 0.9)
+    n_all, v_words, discount = _shares(vocabulary)
+    n_all, n_types = n_all + ends, v_words + (ends > 0)
     free = math.log(discount * n_types / n_all) if n_all else math.log(0.5)
 
+    word = F.decode("word", "UTF-8")
+    tail = F.when((F.length(word) > 1) & F.substring(word, -1, 1).isin(*TAILS), F.substring(word, -1, 1)).otherwise("")
+    cut = vocabulary.select("word", "c", tail.alias("tail")).withColumn("stem", F.expr("substring(word, 1, length(word) - length(tail))"))
+    stems = staged(cut.groupBy("stem").agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), "stems")
+    # One row for each mark of punctuation.
+    tails = {r["tail"]: r["n"] for r in cut.where("c > 0").groupBy("tail").agg(F.count("*").alias("n")).collect()}
+    chance = {t: (tails.get(t, 0) + 1) / (sum(tails.values()) + len(TAILS) + 1) for t in ["", *TAILS]}
+    n_stems, v_stems, less = _shares(stems)
+
     lattice = lattice_of(model_file)
     lattice.learn(np.zeros(len(lattice.pieces)), 0.0)
-    for _ in range(rounds if size.v else 0):
-        lattice.learn(_expect(vocabulary, model_file, lattice.weight, lattice.stop, len(lattice.pieces)), float(size.v))
+    for _ in range(rounds if v_stems else 0):
+        lattice.learn(_expect(stems, model_file, lattice.weight, lattice.stop, len(lattice.pieces)), float(v_stems))
     weight, stop = lattice.weight, lattice.stop
+    freed = math.log(less * v_stems / n_stems) if n_stems else 0.0
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice_of(model_file, weight, stop)
         for batch in batches:
             c = np.asarray(batch.column("c")).astype(np.float64)
-            spelled = free + own.marginals(batch.column("word").to_pylist())
-            counted = np.log(np.maximum(c - discount, 1e-300) / max(n_all, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(np.where(c > 0, np.logaddexp(counted, spelled), spelled) / math.log(10))], names=["word", "c", "logp"])
-
-    weighed = vocabulary.mapInArrow(weigh, "word binary, c long, logp double")
-    here = in_blocks.select("block", "word").distinct().join(weighed, "word").select("block", "word", "c", "logp")
+            spelled = freed + own.marginals(batch.column("stem").to_pylist())
+            counted = np.log(np.maximum(c - less, 1e-300) / max(n_stems, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("stem"), pa.array(np.where(c > 0, np.logaddexp(counted, spelled), spelled))], names=["stem", "log_stem"])
+
+    weighed = cut.join(stems.mapInArrow(weigh, "stem binary, log_stem double"), "stem")
+    log_tail = F.lit(math.log(chance[""]))
+    for t in TAILS:
+        log_tail = F.when(F.col("tail") == t, F.lit(math.log(chance[t]))).otherwise(log_tail)
+    back = F.lit(free) + log_tail + F.col("log_stem")
+    share = F.when(F.col("c") > 0, F.log((F.col("c") - discount) / max(n_all, 1) + F.exp(back))).otherwise(back)
+    here = in_blocks.select("block", "word").distinct().join(weighed.select("word", "c", (share / math.log(10)).alias("logp")), "word").select("block", "word", "c", "logp")
     base_end = math.log10((ends + 1) / (n_all + n_types)) if n_all else 0.0
     end = math.log10((ends - discount) / n_all) if ends else math.log10(0.5)
     kind = T.StructType([docs.schema[key], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
