@@ -100,6 +100,34 @@ def content(pages: DataFrame, revisions: DataFrame, edges: DataFrame, day: str)
     )
 
 
+def snapshot(day: str, key: str, rows: DataFrame) -> DataFrame:
+    """The number of rows there are, on a day: plans that wait for review, for one."""
+    return long_form(rows.agg(F.count("*").alias(key)).withColumn("day", F.lit(day).cast("date")), [key])
+
+
+def gap_metric(queries: DataFrame, day: Column, text: str, order: str, who: str, top: int = GAPS) -> DataFrame:
+    """The gaps of each day as one JSON list: text, count, samples and requesters, the most frequent first."""
+    keyed = queries.select(day.alias("day"), tx.gap_key(F.col(text)).alias("gap_key"), F.col(text).alias("sample"), F.col(order).alias("at"), F.col(who).alias("who")).where("gap_key != ''")
+    one = keyed.groupBy("day", "gap_key", "sample").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    first = F.row_number().over(W.partitionBy("day", "gap_key").orderBy("at", "sample"))
+    samples = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= SAMPLES, F.struct("r", "sample")))), lambda x: x["sample"])
+    counted = one.withColumn("r", first).groupBy("day", "gap_key").agg(F.sum("n").alias("count"), samples.alias("samples"))
+    rank = F.row_number().over(W.partitionBy("day").orderBy(F.desc("count"), "gap_key"))
+    best = counted.withColumn("rank", rank).where(F.col("rank") <= top)
+    people = keyed.join(best.select("day", "gap_key"), ["day", "gap_key"], "left_semi").groupBy("day", "gap_key").agg(F.array_sort(F.collect_set("who")).alias("requesters"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gap_key", "count", "samples", "requesters"))), lambda x: F.struct(x["gap_key"].alias("text"), x["count"].alias("count"), x["samples"].alias("samples"), x["requesters"].alias("requesters")))
+    listed = best.join(people, ["day", "gap_key"]).groupBy("day").agg(F.to_json(items).alias("value_json"))
+    return listed.select("day", F.lit("mcp.gaps.zero_result").alias("metric_key"), F.lit(None).cast("string").alias("dimensions"), F.lit("").alias("dimensions_hash"), F.lit(None).cast("double").alias("value_numeric"), "value_json")
+
+
+def merge_gaps(daily: DataFrame) -> DataFrame:
+    """(text, count, samples, n_requesters) of gap metrics over days: counts are summed, samples and requesters united."""
+    items = F.from_json("value_json", "array<struct<text:string,count:long,samples:array<string>,requesters:array<string>>>")
+    each = daily.where("metric_key = 'mcp.gaps.zero_result'").select("day", F.explode(items).alias("i")).select("day", "i.*")
+    samples = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("day", "samples"))), lambda x: x["samples"]))), 1, SAMPLES)
+    return each.groupBy("text").agg(F.sum("count").alias("count"), samples.alias("samples"), F.size(F.array_distinct(F.flatten(F.collect_list("requesters")))).alias("n_requesters"))
+
+
 def contribution(drafts: DataFrame, names: DataFrame) -> DataFrame:
     """Contribution metrics by day of drafts (created_at, reviewed_at, status, source, author, reviewer); names (id, name).
 

@@ -102,6 +102,17 @@ def repetition(c: Column) -> Column:
     return F.pandas_udf(_repetition, "double")(c)
 
 
+#: Replies of a reader that found no text, and the share of repetition that is too much.
+EMPTY_REPLIES = ["no text", "no text found", "empty page", "blank page", "(no text)", "[no text]"]
+TOO_REPEATED = 0.8
+
+
+def ocr_verdict(c: Column) -> Column:
+    """Why a reader's output is rejected (empty, unreadable, repeated), or null."""
+    bare = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return F.when((bare == "") | F.regexp_replace(bare, r"[.!]+$", "").isin(*EMPTY_REPLIES), "empty").when(~F.rlike(bare, F.lit(r"[\p{L}\p{N}]")), "unreadable").when(repetition(c) >= TOO_REPEATED, "repeated")
+
+
 def _repetition(s: pd.Series) -> pd.Series:
     def share(text: str | None) -> float:
         import numpy as np

@@ -37,7 +37,7 @@ def metadata(docs: DataFrame, key: str, text: str) -> DataFrame:
     head = F.substring(c, 1, 4000)
     number = F.try_element_at(F.regexp_extract_all(head, F.lit(NUMBER), F.lit(1)), F.lit(1))
     issued = dates.iso_date(F.regexp_extract(head, "(" + dates.SPELLED + ")", 1))
-    articles = F.regexp_extract_all(c, F.lit(r"(?mi)^[ \t>#*_“\"]*Điều\s+(\d+[a-z]?)\s*[.:–-]"), F.lit(1))
+    articles = F.regexp_extract_all(c, F.lit(r"(?miu)^[ \t>#*_“\"]*Điều\s+(\d+[a-z]?)\s*[.:–-]"), F.lit(1))
     return docs.select(key, number.alias("doc_number"), issued.alias("issued_date"), dates.effective_date(c, issued).alias("effective_date"), F.size(F.array_distinct(F.transform(articles, lambda x: F.lower(x)))).alias("n_articles"))
 
 

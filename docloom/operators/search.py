@@ -209,3 +209,17 @@ def route(units: DataFrame, number: str, article: str) -> DataFrame:
     step = F.when(own == number, 0).when(F.startswith(own, F.lit(number)), 1).when(F.contains(own, F.lit(number)), 2)
     return units.withColumn("step", step).where(F.col("step").isNotNull() & (F.lower("unit_number") == article.lower())).orderBy("step", "unit_id").limit(1)
 
+
+
+def content_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k: int = 20) -> DataFrame:
+    """(key, step, hits): rows with all terms; where there are none, rows with any; where there are none, rows that contain one of
+    the first three longer terms.  One pass marks all three, and the least step that has rows is kept."""
+    body = tx.fold_lower(F.col(text))
+    part = F.lit(False)
+    for t in [t for t in terms if len(t) > 2][:3]:
+        part = part | F.contains(body, F.lit(t))
+    hits = F.size(F.array_intersect(F.array(*map(F.lit, terms)), tx.tokens(F.col(text))))
+    marked = docs.select(key, hits.alias("hits"), part.alias("part"))
+    stepped = marked.withColumn("step", F.when(F.col("hits") == len(set(terms)), 1).when(F.col("hits") > 0, 2).when(F.col("part"), 3)).where("step is not null")
+    first = stepped.groupBy("step").agg(F.min(F.lit(0)).alias("z")).agg(F.min("step").alias("least"))  # one row
+    return stepped.join(F.broadcast(first), F.col("step") == F.col("least"), "left_semi").orderBy(F.desc("hits"), key).limit(k).select(key, "step", "hits")

@@ -87,3 +87,19 @@ def fan_out(messages: DataFrame, recipients: str, actor: str) -> DataFrame:
     """(recipient, n, message_ids): each recipient once for a message, never its actor."""
     one = messages.select("message_id", F.explode(F.array_distinct(recipients)).alias("recipient"), F.col(actor).alias("__actor")).where("recipient != __actor")
     return one.groupBy("recipient").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("message_id")).alias("message_ids"))
+
+
+def embedding_coverage(pages: DataFrame, vectors: DataFrame, spec: str) -> DataFrame:
+    """One row: how many pages have vectors of the active model, and how many there are."""
+    embedded = vectors.where(F.col("model_spec") == spec).select("page_id").distinct()
+    return pages.join(embedded.withColumn("has", F.lit(1)), "page_id", "left").agg(F.count("has").alias("embedded"), F.count("*").alias("total"))
+
+
+def delete_with_children(key: str, gone: DataFrame, **children: DataFrame) -> dict[str, DataFrame]:
+    """Each table without the rows of the keys that go."""
+    return {name: df.join(gone.select(key), key, "left_anti") for name, df in children.items()}
+
+
+def switch_model(vectors: DataFrame, made: DataFrame, spec: str, keys: list[str]) -> DataFrame:
+    """Vectors after a switch of the model: those of the new one, made ones in place of older ones; all others go."""
+    return upsert(vectors.where(F.col("model_spec") == spec), made.where(F.col("model_spec") == spec), keys)

@@ -518,6 +518,40 @@ def suggested_reviewers(spark, sf):
     return similar.groupBy(c("l_suppkey").alias("reviewer")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reviewer").limit(3)
 
 
+@query(rf"""with k as (select ('2024-01-' || lpad((conv_id % 5 + 1)::VARCHAR, 2, '0'))::DATE as day, {_GAP} as gap_key from conversations where role = 'user'),
+n as (select day, gap_key, count(*) as n, row_number() over (partition by day order by count(*) desc, gap_key) as r from k where gap_key <> '' group by 1, 2)
+select day, count(*) as n_gaps, sum(n)::BIGINT as n_queries from n where r <= 100 group by day""")
+def metrics_gaps(spark, sf):
+    asked = table(spark, sf, "conversations").where("role = 'user'")
+    daily = analytics.gap_metric(asked, F.date_add(F.lit("2024-01-01").cast("date"), (c("conv_id") % 5).cast("int")), "text", "conv_id", "conv_id")
+    items = F.from_json("value_json", "array<struct<count:long>>")
+    return daily.select("day", F.size(items).cast("long").alias("n_gaps"), F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x["count"]).alias("n_queries"))
+
+
+@query(f"""with w as (select doc_id, {_LEX_WORDS} as ws from documents), h as (select doc_id, len(list_intersect(['loser', 'idiot'], ws)) as hits from w),
+s as (select doc_id, hits, case when hits = 2 then 1 when hits > 0 then 2 end as step from h where hits > 0)
+select doc_id, step, hits from s where step = (select min(step) from s) order by hits desc, doc_id limit 20""")
+def source_content_search(spark, sf):
+    return search.content_search(table(spark, sf, "documents"), ["loser", "idiot"])
+
+
+@query("select count(*) filter (where p_partkey in (select l_partkey from lineitem where l_linestatus = 'F')) as embedded, count(*) as total from part")
+def embedding_coverage(spark, sf):
+    vectors = table(spark, sf, "lineitem").select(c("l_partkey").alias("page_id"), c("l_linestatus").alias("model_spec"))
+    return versions.embedding_coverage(table(spark, sf, "part").select(c("p_partkey").alias("page_id")), vectors, "F")
+
+
+@query("select count(*)::DOUBLE as value_numeric, 'compile_plan.pending_review' as metric_key from orders where o_orderstatus = 'P'")
+def metric_pending_plans(spark, sf):
+    return analytics.snapshot("2024-01-15", "compile_plan.pending_review", table(spark, sf, "orders").where("o_orderstatus = 'P'")).select("value_numeric", "metric_key")
+
+
+@query("select r_name, count(n_nationkey) as n from region left join nation on n_regionkey = r_regionkey and n_nationkey % 2 = 0 group by r_name")
+def counts_per_type(spark, sf):
+    even = table(spark, sf, "nation").where("n_nationkey % 2 = 0")
+    return table(spark, sf, "region").join(even, c("n_regionkey") == c("r_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("n"))
+
+
 # ---- access: customers are rows, nations departments, market segments kinds
 
 _SCOPE = "case c_mktsegment when 'BUILDING' then 'global' when 'MACHINERY' then 'project' else 'department' end"

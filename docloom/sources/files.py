@@ -217,3 +217,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "idx", "name", "size"])
 
     return files.mapInPandas(run, "path string, idx int, name string, size long")
+
+
+def folder_hash(spark: SparkSession, path: str) -> DataFrame:
+    """(content_hash, n): one hash of the folder's files, by name and content; files are hashed where they are read."""
+    root = path.rstrip("/") + "/"
+    one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", root, -1).alias("name"), F.md5("content").alias("md5"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("name", "md5"))), lambda x: F.concat(x["name"], x["md5"]))
+    return one.agg(F.sha2(F.array_join(pairs, "\n"), 256).alias("content_hash"), F.count("*").alias("n"))

@@ -269,3 +269,30 @@ def test_allowed_sql(spark):
     assert "can_bo" in names
     got = guard.run(spark, "with a as (select * from can_bo) select `Mã_số_id` as id, 'drop table' as t from a where unit = 'Đội 1' order by id desc", names, 2).collect()
     assert [(r.id, r.t) for r in got] == [(2, "drop table"), (1, "drop table")]
+
+
+def test_gap_metrics_merge(spark):
+    asked = frame(spark, [(i, ["Fire?", "fire!", "rail"][i % 3], i % 2) for i in range(12)], "at long, q string, who long")
+    daily = analytics.gap_metric(asked, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("at") % 2).cast("int")), "q", "at", "who")
+    got = {r.text: (r["count"], sorted(r.samples), r.n_requesters) for r in analytics.merge_gaps(daily).collect()}
+    assert got == {"fire": (8, ["Fire?", "fire!"], 2), "rail": (4, ["rail"], 2)}
+
+
+def test_small_text_operators(spark, tmp_path):
+    from docloom.functions import text as tx
+    from docloom.sources import files
+
+    texts = frame(spark, [("No text.",), ("***",), ("loop " * 300,), ("A fine page of text",), (None,)], "t string")
+    assert [r[0] for r in texts.select(checks.ocr_verdict(F.col("t"))).collect()] == ["empty", "unreadable", "repeated", None, "empty"]
+    assert frame(spark, [("Chương I\nĐiều 5. Tên\nlời",)], "t string").select(tx.mark_headings(F.col("t"))).first()[0] == "# Chương I\n### Điều 5. Tên\nlời"
+    row = frame(spark, [("a <!--img:r1--> b <!--img:r2-->", [("r1", "7", "pump")])], "t string, i array<struct<name:string,id:string,alt:string>>")
+    assert row.select(tx.place_images(F.col("t"), F.col("i"))).first()[0] == "a ![pump](image://7) b "
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a").write_text("1")
+    (tmp_path / "b").write_text("2")
+    assert files.folder_hash(spark, str(tmp_path)).first().n == 2
+    rows = frame(spark, [(1,), (2,)], "id long")
+    assert {k: [r.id for r in v.collect()] for k, v in versions.delete_with_children("id", frame(spark, [(1,)], "id long"), a=rows).items()} == {"a": [2]}
+    docs = frame(spark, [(1, "one two"), (2, "two"), (3, "xonex")], "doc_id long, text string")
+    ids = lambda *t: [(r.doc_id, r.step) for r in search.content_search(docs, list(t)).collect()]
+    assert ids("one", "two") == [(1, 1)] and ids("two", "nine") == [(1, 2), (2, 2)] and ids("xon") == [(3, 3)]
