@@ -83,7 +83,7 @@ _TERMS = "['the', 'and', 'tion', 'ing', 'that']"
 h as (select doc_id, len(list_intersect({_TERMS}, list_distinct(ws))) as hits, len(list_filter(ws, lambda x: list_contains({_TERMS}, x))) as tf from w)
 select doc_id, hits, tf, hits = 5 as all_terms from h where hits > 0""")
 def lexical_any_all(spark, sf):
-    return search.lexical(table(spark, sf, "documents"), TERMS).select("doc_id", "hits", "tf", "all_terms")
+    return search.lexical(table(spark, sf, "documents"), TERMS).select("doc_id", c("hits").cast("long").alias("hits"), c("tf").cast("long").alias("tf"), "all_terms")
 
 
 @query(f"""with w as (select doc_id, {_LEX_WORDS} as ws from documents)
@@ -186,7 +186,7 @@ select g.concept, arg_max(g.p_name, n * 1000000000::BIGINT - f) as spelling, sum
 from g group by g.concept""")
 def concept_exact_dedup(spark, sf):
     merged = consolidate.merge_concepts(table(spark, sf, "part"), "p_name", "p_type", "p_partkey")
-    return merged.select("concept", "spelling", "mentions", "first_at", F.length("definition").alias("definition_length"))
+    return merged.select("concept", "spelling", "mentions", "first_at", F.length("definition").cast("long").alias("definition_length"))
 
 
 @query("""with r as (select l_returnflag as s, l_linestatus as t, case l_linenumber % 3 when 0 then 'is_a' when 1 then 'Part Of' else 'unheard' end as k from lineitem)
@@ -213,7 +213,7 @@ def chunk_windows(spark, sf):
     return chunks.windows(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start", F.md5("chunk").alias("chunk"))
 
 
-@query("""select conv_id, md5(string_agg(text, chr(10) || chr(10) order by turn)) as full_text, sum(length(text)) + 2 * (count(*) - 1) as size, count(*) as pages from (select conv_id, turn, coalesce(text, '') as text from conversations) group by conv_id""")
+@query("""select conv_id, md5(string_agg(text, chr(10) || chr(10) order by turn)) as full_text, (sum(length(text)) + 2 * (count(*) - 1))::BIGINT as size, count(*) as pages from (select conv_id, turn, coalesce(text, '') as text from conversations) group by conv_id""")
 def page_assembly(spark, sf):
     made = chunks.assemble(table(spark, sf, "conversations"), "conv_id", "turn", "text")
     return made.select("conv_id", F.md5("full_text").alias("full_text"), F.length("full_text").cast("long").alias("size"), F.size("page_offsets").cast("long").alias("pages"))
@@ -393,24 +393,25 @@ _WEEK = "(select d.day, count(distinct l.user_id) as users from (select distinct
 
 
 def _top_sql(key: str, rows: str, item: str, n: int = 10) -> str:
-    return f"""select day, '{key}' as metric_key, null as dimensions, '' as dimensions_hash, null::DOUBLE as value_numeric, to_json(list({{'name': name, 'count': n}} order by r))::VARCHAR as value_json
+    return f"""select day, '{key}' as metric_key, null::VARCHAR as dimensions, '' as dimensions_hash, null::DOUBLE as value_numeric, to_json(list({{'name': name, 'count': n}} order by r))::VARCHAR as value_json
 from (select day, name, n, row_number() over (partition by day order by n desc, name) r from (select day, {item} as name, count(*) as n from {rows} group by 1, 2)) where r <= {n} group by day"""
 
 
 def _num_sql(key: str, value: str, rows: str, group: str = "group by day") -> str:
-    return f"select day, '{key}' as metric_key, null as dimensions, '' as dimensions_hash, ({value})::DOUBLE as value_numeric, null as value_json from {rows} {group}"
+    return f"select day, '{key}' as metric_key, null::VARCHAR as dimensions, '' as dimensions_hash, ({value})::DOUBLE as value_numeric, null::VARCHAR as value_json from {rows} {group}"
 
 
 def _by_sql(key: str, name: str, value: str, rows: str) -> str:
     d = f"""'{{"{name}": "' || {value} || '"}}'"""
-    return f"select day, '{key}' as metric_key, {d} as dimensions, md5({d}) as dimensions_hash, count(*)::DOUBLE as value_numeric, null as value_json from {rows} group by 1, 3, 4"
+    return f"select day, '{key}' as metric_key, {d} as dimensions, md5({d}) as dimensions_hash, count(*)::DOUBLE as value_numeric, null::VARCHAR as value_json from {rows} group by 1, 3, 4"
 
 
-_ROUND = "select day, metric_key, dimensions, dimensions_hash, round(value_numeric, 6) as value_numeric, value_json from"
+_ROUND = "select day, metric_key, dimensions, dimensions_hash, round(value_numeric + 1e-9, 6) as value_numeric, value_json from"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select("day", "metric_key", "dimensions", "dimensions_hash", F.round("value_numeric", 6).alias("value_numeric"), "value_json")
+    """Halves of the last digit go one way in both engines, whatever the order of a sum."""
+    return df.select("day", "metric_key", "dimensions", "dimensions_hash", F.round(c("value_numeric") + 1e-9, 6).alias("value_numeric"), "value_json")
 
 
 @query(f"with {_LOG} {_ROUND} (" + " union all ".join([
@@ -532,7 +533,7 @@ def metrics_gaps(spark, sf):
 s as (select doc_id, hits, case when hits = 2 then 1 when hits > 0 then 2 end as step from h where hits > 0)
 select doc_id, step, hits from s where step = (select min(step) from s) order by hits desc, doc_id limit 20""")
 def source_content_search(spark, sf):
-    return search.content_search(table(spark, sf, "documents"), ["loser", "idiot"])
+    return search.content_search(table(spark, sf, "documents"), ["loser", "idiot"]).select("doc_id", "step", c("hits").cast("long").alias("hits"))
 
 
 @query("select count(*) filter (where p_partkey in (select l_partkey from lineitem where l_linestatus = 'F')) as embedded, count(*) as total from part")
