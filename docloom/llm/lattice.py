@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str
         log_tail = F.when(F.col("tail") == t, F.lit(math.log(chance[t]))).otherwise(log_tail)
     back = F.lit(free) + log_tail + F.col("log_stem")
     share = F.when(F.col("c") > 0, F.log((F.col("c") - discount) / max(n_all, 1) + F.exp(back))).otherwise(back)
-    here = in_blocks.select("block", "word").distinct().join(weighed.select("word", "c", (share / math.log(10)).alias("logp")), "word").select("block", "word", "c", "logp")
+    here = in_blocks.select("block", "word").join(weighed.select("word", "c", (share / math.log(10)).alias("logp")), "word").select("block", "word", "c", "logp")
     base_end = math.log10((ends + 1) / (n_all + n_types)) if n_all else 0.0
     end = math.log10((ends - discount) / n_all) if ends else math.log10(0.5)
     kind = T.StructType([docs.schema[key], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
