@@ -303,11 +303,11 @@ def graph_lint(spark, sf):
     return graph.lint(pages.select(c("page_id").alias("page"), "slug", F.contains("html", F.lit("contradict")).alias("contradicts")), edges)
 
 
-@query("""with recursive b as (select distinct l_orderkey as u, l_partkey + 1000000000 as v from lineitem where l_suppkey % 10 = 0),
+@query("""with recursive b as (select distinct l_orderkey as u, l_partkey + 1000000000 as v from lineitem),
 s as (select u, v from b union select v, u from b), w(node, dist) as (select (select min(u) from b), 0 union select s.v, w.dist + 1 from w join s on s.u = w.node where w.dist < 3)
 select node, min(dist) as dist from w group by node""")
 def neighborhood_k(spark, sf):
-    edges = table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").select(c("l_orderkey").alias("a"), (c("l_partkey") + 1_000_000_000).alias("b")).distinct()
+    edges = table(spark, sf, "lineitem").select(c("l_orderkey").alias("a"), (c("l_partkey") + 1_000_000_000).alias("b")).distinct()
     return graph.neighbourhood(edges, edges.agg(F.min("a").alias("node")), 3)
 
 
@@ -322,15 +322,14 @@ def typed_edge_union(spark, sf):
     return graph.typed_union(wikilink=links, concept=concepts, legal=legal)
 
 
-@query("""with recursive p as (select distinct l_partkey as a, l_suppkey as s from lineitem where l_partkey % 97 = l_suppkey % 97), b as (select x.a, y.a as b from p x join p y on x.s = y.s and x.a <> y.a),
-w(n, m) as (select a, a from p union select w.n, b.b from w join b on b.a = w.m)
+@query(f"""with recursive {_EDGES}, b as (select from_page as a, page_id as b from e join pages on to_slug = url union select page_id, from_page from e join pages on to_slug = url),
+w(n, m) as (select page_id, page_id from pages union select w.n, b.b from w join b on b.a = w.m)
 select n as id, min(m) as cluster from w group by n""")
 def dup_clusters(spark, sf):
-    # Members of a bucket are tied to its least one, not to each other.
-    p = table(spark, sf, "lineitem").where("l_partkey % 97 = l_suppkey % 97").select(c("l_partkey").alias("id"), c("l_suppkey").alias("s")).distinct()
-    pairs = p.join(p.groupBy("s").agg(F.min("id").alias("a")), "s").where("id != a").select("a", c("id").alias("b"))
+    pages, edges = page_edges(spark, sf)
+    pairs = edges.join(pages.select(c("slug").alias("to_slug"), "page_id"), "to_slug").select(c("from_page").alias("a"), c("page_id").alias("b"))
     ensure_checkpoint(spark)
-    return consolidate.clusters(p.select("id").distinct(), pairs)
+    return consolidate.clusters(pages.select(c("page_id").alias("id")), pairs)
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
