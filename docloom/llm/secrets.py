@@ -32,15 +32,24 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A private key, PEM or PGP, goes from its BEGIN line to the next END line.  Where another BEGIN or END line or none follows, it
+#: goes to the end of what is still key: headers, lines of base64 characters only, and runs of at least 20 of them.  All loops
+#: are possessive, so the matcher neither recurses over a body nor reads it again for each BEGIN.
+_LABEL = r"[A-Z0-9 .]*PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END " + _LABEL
+_GAP, _BASE64 = r"""[\s>|"'+,;#*\\]""", r"[A-Za-z0-9+/=\\]"
+_HEADER = r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n]*+"
+_WHOLE_LINE = rf"""(?<=[\r\n]{_GAP}{{0,40}}){_BASE64}++(?=[\x20\t"'+,;]*+(?:[\r\n]|\z))"""
+_NO_END = rf"(?:{_GAP}*+(?:{_HEADER}|{_BASE64}{{20,}}+|{_WHOLE_LINE}))*+"
 #: Formats with a fixed mark, so that plain prose gives none.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN {_LABEL}(?:{_TO_END}|{_NO_END})"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("url_login", r"://[A-Za-z0-9._~-]{1,64}:[^\s:@/]{3,128}@"),
 )
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
