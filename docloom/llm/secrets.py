@@ -47,9 +47,9 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("url_login", r"://[A-Za-z0-9._~-]{1,64}:[^\s:@/]{3,128}@"),
+    Rule("url_login", r"://[A-Za-z0-9._~-]*+:[^\s:@/]{3,}+@"),
 )
-RULE_VERSION = "1.1"
+RULE_VERSION = "1.2"
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,rank:int,end:int,kind:string>>"
 
 

@@ -150,3 +150,11 @@ def test_redaction_leaves_no_byte_of_a_private_key(spark):
     assert got[len(around) : -2] == ["[SECRET]\nbetween the two.\n[SECRET]\n\nplain end."] * len(pairs) and got[-2:] == others
     cut = spark.createDataFrame([(1, "a\n" + pem("PRIVATE KEY", body[:3], end=False)[:-9])], "doc_id long, text string")
     assert secrets.redact_documents(cut).first().text == "a\n[SECRET]"
+
+
+def test_logins_without_user_and_of_any_length(spark):
+    logins = ["redis://:hunter22@", "amqp://bob:" + "p" * 129 + "@", "https://x:" + "Zz9%" * 500 + "@", "ftp://" + "u" * 65 + ":pass@", "ftp://" + "u" * 3000 + ":" + "s" * 3000 + "@"]
+    plain = ["http://host:8080/a@b", "http://host/x:yyy@z", "see http://:ab@c", "a :// b:cdef@g", "http://host:" + "k" * 200 + "/", "http://user:pass word@host"]
+    docs = spark.createDataFrame(list(enumerate([f"at {x}host/0 end" for x in logins] + plain)), "doc_id long, text string")
+    got = [r.text for r in secrets.redact_documents(docs).orderBy("doc_id").collect()]
+    assert got == [f"at {x.split(':')[0]}[SECRET]host/0 end" for x in logins] + plain
