@@ -158,3 +158,30 @@ def test_logins_without_user_and_of_any_length(spark):
     docs = spark.createDataFrame(list(enumerate([f"at {x}host/0 end" for x in logins] + plain)), "doc_id long, text string")
     got = [r.text for r in secrets.redact_documents(docs).orderBy("doc_id").collect()]
     assert got == [f"at {x.split(':')[0]}[SECRET]host/0 end" for x in logins] + plain
+
+
+def test_search_finds_all_within_the_standing_radius(spark):
+    import random
+
+    rng = random.Random(16)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(128) for _ in range(6)]
+    for x in base[:6]:
+        base += [x ^ sum(1 << b for b in rng.sample(range(128), k)) for k in range(1, 21) for _ in range(4)]
+    df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1), 1) for x in base], "hi long, lo long, copies int")
+    asked = df.limit(6)
+    got = {(r.q_hi, r.q_lo, r.hi, r.lo): r.distance for r in fingerprints.within_radius(asked, df).collect()}
+    want = {(signed(a >> 64), signed(a & (1 << 64) - 1), signed(b >> 64), signed(b & (1 << 64) - 1)): bin(a ^ b).count("1") for a in base[:6] for b in set(base) if bin(a ^ b).count("1") <= fingerprints.RADIUS}
+    assert got == want and fingerprints.within_radius(asked, df).count() == len(want)
+
+
+def test_edited_copies_are_near(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(0, 1000, 50):  # of 116 runs of five words, five differ: a Jaccard of 0.92
+        own = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows += [(i, " ".join(own)), (i + 1, " ".join([*own[:60], "changed", *own[61:]]))]
+    got = [r.n_near for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("n_near is not null").collect()]
+    assert len(got) == 20 and set(got) <= {0, 1} and sum(got) >= 18
