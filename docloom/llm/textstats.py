@@ -12,7 +12,10 @@ exactly, and lines without a word never count as repeats; repeated rows are each
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,22 @@ MIN_WORDS = 50
 #: Percent of words in repeated windows, and of characters lost with failed lines, above which a document goes.
 MAX_REPEATED = 50
 MAX_LOST = 60
-#: Percent of a line's words that end in symbols, above which the line goes; and of its letters that are capitals.
+#: Percent of a line's words that carry symbols, and of its letters that are capitals, above which the line goes.
 MAX_SYMBOLS = 50
+MAX_CAPITALS = 50
+#: Percent of a line's characters that are letters or digits, below which the line goes; low, as code is half marks.
+MIN_LETTERS = 30
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Marks of navigation between items, and the least number of them in a line of navigation.
+#: Figures with their sign (12.5%, $40) are no symbol words, nor is a line in bold made of them.
+_FIGURE = re.compile(rb"[$#&<>]?[-+]?\d[\d.,:/]*%?[.,;:)]*")
+_BOLD = re.compile(r"\s*\*{1,3}[^*\s](?:[^*]*[^*\s])?\*{1,3}[.:]?\s*")
+#: Marks of navigation between items, and the least number of them in a line of navigation, whatever its length.
 _BAR = re.compile(r"\s[|»›·•]\s|\s>\s")
 MIN_BARS = 3
+#: How a sentence ends; a line of a few short items that does not end so is navigation with fewer marks, too.
+_ENDED = re.compile(r"""[.!?…:;。！？][)"'»”’\]]*\s*$""")
+#: The armour of keys stays, so that the secret scan finds a key whole.
+_ARMOUR = re.compile(r"-----(?:BEGIN|END) ")
 #: Boilerplate that stands alone on a short line.
 _BOILER = re.compile(r"(?i)^\W*(?:home|menu|search|share this|read more|click here|sign in|log in|subscribe|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|copyright|©|javascript|lorem ipsum)\b.{0,80}$")
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lost_chars long, kept boolean, clean_text string"
@@ -57,18 +70,47 @@ def repeated_words(words: list) -> int:
     return int(cover.sum())
 
 
+@lru_cache(1 << 16)
+def _kind(c: str) -> int:
+    """3 for a capital, 2 for another letter or the mark on one, 1 for a digit, 0 for what is neither."""
+    kind = unicodedata.category(c)
+    return 3 if kind in ("Lu", "Lt") else 2 if kind[0] in "LM" else 1 if kind[0] == "N" else 0
+
+
+def shares(line: str) -> tuple[int, int, int, int]:
+    """Capitals, letters, letters and digits, and characters that are not white space."""
+    found = [0, 0, 0, 0]
+    chars = 0
+    for c, n in Counter(line).items():
+        if not c.isspace():
+            chars += n
+            found[_kind(c)] += n
+    return found[3], found[3] + found[2], found[3] + found[2] + found[1], chars
+
+
 def line_fails(line: str, words: list[bytes]) -> bool:
-    """Navigation, boilerplate, or words that mostly carry symbols or shout."""
+    """Navigation, boilerplate, or a line that is mostly symbols or capitals."""
     n = len(words)
-    if not n:
+    if not n or _ARMOUR.search(line):
         return False
     if n <= 14 and _BOILER.search(line):
         return True
-    if len(_BAR.findall(line)) >= MIN_BARS and 2 * len(_BAR.findall(line)) + 1 >= n * 0.6:
+    bars = len(_BAR.findall(line))
+    if bars >= MIN_BARS and 2 * bars + 1 >= n * 0.6:
+        return True
+    # Items of up to two and a half words on average, or of one where a single mark stands between two.
+    if bars and n - bars <= (2.5 if bars > 1 else 1) * (bars + 1) and not _ENDED.search(line):
+        return True
+    capitals, letters, alnum, chars = shares(line)
+    if chars >= 4 and not alnum or chars >= 8 and 100 * alnum < MIN_LETTERS * chars:
         return True
-    if 100 * sum(1 for w in words if w[-1:] in b"#*$%&|<>") > MAX_SYMBOLS * n:
+    if SYMBOLS.search(line) and not _BOLD.fullmatch(line):
+        last, anywhere = (sum(1 for w in words if test(w) and not _FIGURE.fullmatch(w)) for test in (lambda w: w[-1:] in b"#*$%&|<>", lambda w: SYMBOLS.search(w.decode())))
+        if 100 * (anywhere if n >= 3 else last) > MAX_SYMBOLS * n:
+            return True
+    if n >= 8 and 100 * sum(1 for w in words if w[-2:] == b"!!") > MAX_SYMBOLS * n:
         return True
-    return n >= 8 and 100 * sum(1 for w in words if w[-2:] == b"!!") > MAX_SYMBOLS * n
+    return 100 * capitals > MAX_CAPITALS * letters and (n >= 8 or n >= 3 and line.rstrip().endswith("!"))
 
 
 def judge(text: str | None) -> tuple:
