@@ -4,17 +4,23 @@ A document's set holds its distinct shingles.  One permutation of the shingles'
 each bin is the signature, and an empty bin takes the value of the first full bin in an order of its own (optimal
 densification).  Bands of the signature are buckets.  Documents with equal sets are one class, and classes meet in buckets.
 
-1. In each bucket, the least id is the centre of a star; each edge is confirmed on the two full sets.
-2. A bucket whose members are not all in one star after that is compared whole, in tasks of two bounded blocks of members,
-   on full sets.  Equal buckets are compared once, members of one star are not compared, and a task returns no more links
-   than it has members.  So no link is lost between documents that share a bucket, and no bucket is emitted as pairs.
+1. In each bucket, the member with the largest sum of its own buckets' sizes (of equals the least) is the centre of a star;
+   each edge is confirmed on the two full sets.
+2. What is left are links of which one side at least is not linked with the centre.  Let D be what a set and the centre's do
+   not share.  Two linked sets of which one is not linked with the centre always share elements of their Ds, and the sizes say
+   how many at least (see ``near_duplicates``).  So each D is put in a fixed order, new elements first, and only elements that
+   can be the first shared one of a linked pair are grouped, by centre and element.  A group's members of unlike labels
+   are compared on full sets, in tasks of two bounded blocks.  Equal groups are compared once.
 3. Links become components by alternating large and small stars.
 
-A link of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** 5) ** 36, about 6e-7.
+Stars and differences are in proportion to the members of buckets.  Members that are near a centre but unlike each other, as
+edited copies of one text are, fall into groups of few; only those that share the same rare edits meet in blocks.
+
+A link of similarity 0.8 shares no bucket with a chance of (1 - 0.8 ** 5) ** 36, about 6e-7; no other link is lost.
 
 Edge cases: null and empty texts have empty sets and are linked with nothing; a text with fewer words than a shingle is one
 shingle; documents of equal sets are linked; rows that share an id count as one document of several texts, and each is
-returned.
+returned; a row with a null id is linked with nothing: its component is null and it is kept.  The id must be an integer.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 36, 5
 #: Members in one block of a bucket, and of one part of a star.
 BLOCK = 256
+#: Bytes of text that a task turns into arrays at once.
+SLICE = 1 << 20
 _M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA0761D6478BD642F)]
 
 
@@ -85,56 +93,140 @@ class Banding:
         return key.view(np.int64)
 
 
-def _sketches(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, digest, keys) of every row of (id, text)."""
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _told(s: np.ndarray) -> int:
+    """Tells the sets of one id apart."""
+    return int.from_bytes(_digest(s)[:8], "little", signed=True)
+
+
+def _sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, n, digest, told, keys) of every row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         banding = Banding(bands, rows)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
             keys = [banding.keys(s).tolist() if len(s) >= 2 else None for s in sets]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "keys"])
+            digests = [_digest(s) if len(s) else None for s in sets]
+            told = [_told(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(told, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "told", "keys"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, digest binary, told long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, told, set); of repeated rows in one slice of a partition one stays, and more of them later do no harm."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+            once = {(i, _told(s)): s.tobytes() for i, s in zip(batch.column("id").to_pylist(), sets)}
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in once], pa.int64()), pa.array([t for _, t in once], pa.int64()), pa.array(once.values(), pa.binary())], names=["id", "told", "set"])
+
+    return docs.mapInArrow(run, "id long, told long, set binary")
+
 
-    return docs.mapInArrow(run, "id long, set binary")
+def _within(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Which elements of ``small`` are in ``large`` (sorted)."""
+    return large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = sorted((a, b), key=len)
     if 100 * len(small) < percent * len(large):
         return False
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    both = int((large[at] == small).sum())
+    both = int(_within(small, large).sum())
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm_stars(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): centre and member, for rows (centre, part, leads, id, set) dealt by (centre, part) and sorted with the centre first."""
+def _deal(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (centre, head, id, told, ...) with the member's set, in parts of bounded size that each start with the centre's own set."""
+    star = ["centre", "head"]
+    degree = edges.groupBy(*star).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = edges.join(degree, star).withColumn("part", F.pmod(F.xxhash64("id", "told"), F.col("parts")).cast("int")).drop("parts").withColumn("leads", F.lit(0))
+    heads = degree.select(*star, F.col("centre").alias("id"), F.col("head").alias("told"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("leads"))
+    both = parts.unionByName(heads, allowMissingColumns=True).join(sets, ["id", "told"])
+    return both.repartition(*star, "part").sortWithinPartitions(*star, "part", F.desc("leads"))
+
+
+def _confirm_stars(dealt: DataFrame, percent: int) -> DataFrame:
+    """(centre, head, id, told, n, d, linked): the member's size, the elements that it and the centre do not share, and the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centres = None, []
+        lead = np.zeros(0, np.uint64)
         for batch in slices(batches, "set"):
-            a, b = [], []
-            for centre, leads, own, raw in zip(*(batch.column(c).to_pylist() for c in ("centre", "leads", "id", "set"))):
+            keep, n, d, linked = [], [], [], []
+            for k, (leads, raw) in enumerate(zip(batch.column("leads").to_pylist(), batch.column("set").to_pylist())):
                 s = np.frombuffer(raw, np.uint64)
-                if leads == 0:
-                    centres = [*centres, s] if at == centre else [s]
-                    at = centre
-                elif any(_linked(c, s, percent) for c in centres):
-                    a.append(centre)
-                    b.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if leads:
+                    lead = s
+                    continue
+                small, large = sorted((lead, s), key=len)
+                both = int(_within(small, large).sum())
+                keep.append(k)
+                n.append(len(s))
+                d.append(len(s) + len(lead) - 2 * both)
+                linked.append(100 * both >= percent * (len(s) + len(lead) - both))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("centre", "head", "id", "told")), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(linked, pa.bool_())], names=["centre", "head", "id", "told", "n", "d", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "centre long, head long, id long, told long, n long, d long, linked boolean")
+
+
+def _differences(dealt: DataFrame) -> DataFrame:
+    """Each member's first ``reach`` elements of what it and the centre do not share, new ones first, and their positions."""
+    names = ["centre", "head", "id", "told", "linked", "t", "top"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.zeros(0, np.uint64)
+        for batch in slices(batches, "set", SLICE // 2):
+            keep, found = [], [np.zeros(0, np.uint64)]
+            for k, (leads, reach, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("leads", "reach", "set")))):
+                s = np.frombuffer(raw, np.uint64)
+                if leads:
+                    lead = s
+                    continue
+                first = s[~_within(s, lead)][:reach]
+                if len(first) < reach:
+                    first = np.concatenate([first, lead[~_within(lead, s)][: reach - len(first)]])
+                keep.append(np.full(len(first), k))
+                found.append(first)
+            at = np.concatenate([np.arange(len(x)) for x in found])
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *keep]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names), pa.array(np.concatenate(found).view(np.int64)), pa.array(at, pa.int64())], names=[*names, "element", "at"])
+
+    return dealt.mapInArrow(run, "centre long, head long, id long, told long, linked boolean, t long, top long, element long, at long")
+
+
+def _rest_of_stars(checked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, told): groups of members of a star such that linked ones, not both linked with its centre, share a group.
+
+    With p = 100 + percent and q = 100 - percent, sets of a and b elements that share all but x are linked if p x <= q (a + b).
+    For Ds of sizes d and e that share o elements, x = d + e - 2 o.  With t = p d - q a for each side, that is t + t' <= 2 p o.
+    A set that is not linked with a centre of c elements has t > q c, and each set has t >= - q c: so o > 0.  If the first shared element is at
+    position i of one D, o <= d - i, so the other's t is at most u = p d + q a - 2 p i.  Both sides' t and u are held
+    against each other, first with the star's least t, then with the group's least t and largest u.
+    """
+    p, q = 100 + percent, 100 - percent
+    star, c = ["centre", "head"], F.col
+    of = lambda f, x, on: f(F.when(on, F.col(x)))
+    known, strange = c("linked"), ~c("linked")
+    judged = checked.withColumn("t", p * c("d") - q * c("n")).withColumn("top", p * c("d") + q * c("n"))
+    stars = judged.groupBy(*star).agg(of(F.min, "t", known).alias("tk"), of(F.min, "t", strange).alias("ts"), F.count_if(strange).alias("strangers"), F.count("*").alias("size")).where("strangers > 0 and size > 1")
+    asked = judged.join(stars, star).withColumn("low", F.when(known, c("ts")).otherwise(F.least("tk", F.when(c("strangers") > 1, c("ts")))))
+    asked = asked.withColumn("reach", F.least(c("d"), F.floor((c("top") - c("low")) / (2 * p)) + 1)).where("reach > 0")
+    found = staged(_differences(_deal(asked.select(*star, "id", "told", "linked", "t", "top", "reach"), sets)).withColumn("u", c("top") - 2 * p * c("at")).drop("top", "at"), "differences")
+
+    group = [*star, "element"]
+    bounds = found.groupBy(*group).agg(
+        of(F.min, "t", known).alias("tk"), of(F.min, "t", strange).alias("ts"), of(F.max, "u", known).alias("uk"), of(F.max, "u", strange).alias("us"),
+        F.count_if(strange).alias("strangers"), F.min("id").alias("low"), F.max("id").alias("high"),
+    ).where("low < high and (strangers > 1 and us >= ts or uk >= ts and us >= tk)")
+    able = "if(linked, u >= ts and t <= us, strangers > 1 and u >= ts and t <= us or u >= tk and t <= uk)"
+    return found.join(bounds, group).where(able).select(F.xxhash64(*group).alias("bucket"), "id", "told")
 
 
 def links_within(ids: list[int], labels: list[int], sides: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
@@ -220,33 +312,35 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: key, n_shingles, component_id (the least key that is reachable), kept (whether that is the row's own)."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = staged(_sketches(texts, shingle, percent, bands, rows), "sketches")
+    sketches = staged(_sketches(texts, shingle, bands, rows), "sketches")
     classes = staged(sketches.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
 
     leaders = sketches.where("keys is not null").join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("rep")))
-    keyed = leaders.select("id", F.explode("keys").alias("bucket")).distinct()
-    counted = keyed.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.max("id").alias("last")).where("size > 1")
-    members = staged(keyed.join(counted, "bucket").select("bucket", "id", "centre", "size", "x", "last"), "members")
+    keyed = leaders.select("id", "told", F.explode("keys").alias("bucket")).distinct()
+    counted = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(keyed.join(counted, "bucket"), "members")
+    score = members.groupBy("id", "told").agg(F.sum("size").alias("score"))
+    centres = members.join(score, ["id", "told"]).groupBy("bucket").agg(F.max(F.struct("score", (-F.col("id")).alias("id"), "told")).alias("c"))
+    edges = members.join(centres, "bucket").select((-F.col("c.id")).alias("centre"), F.col("c.told").alias("head"), "id", "told").where("centre != id or head != told").distinct()
 
     sets = staged(_sets(texts.join(members.select("id").distinct(), "id", "left_semi"), shingle), "sets")
-    edges = members.where("id != centre").select("centre", "id").distinct()
-    degree = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    parts = edges.join(degree, "centre").select("centre", "id", F.pmod(F.hash("id"), F.col("parts")).alias("part"), F.lit(1).alias("leads"))
-    heads = degree.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("centre", F.col("centre").alias("id"), "part", F.lit(0).alias("leads"))
-    dealt = parts.unionByName(heads).join(sets, "id").repartition("centre", "part").sortWithinPartitions("centre", "part", "leads")
-    stars = staged(_confirm_stars(dealt, percent), "stars")
+    checked = staged(_confirm_stars(_deal(edges, sets), percent), "stars")
+    stars = checked.where("linked").select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
     once = stars.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
     twice = once.join(once.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("label"))
-    labelled = members.join(twice, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("bucket", "size", "centre", "last", "x").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    mixed = mixed.groupBy("size", "centre", "last", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    blocks = labelled.select("bucket", "id", "label").join(mixed, "bucket").withColumn("side", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = blocks.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "label")
-    rest = _compare_blocks(tasks.join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
-
-    roots = components(stars.unionByName(rest))
+    rest = _rest_of_stars(checked, sets, percent)
+    labelled = staged(rest.join(twice, "id", "left").withColumn("label", F.coalesce("label", "id")), "rest")
+    group = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("id", "told")).alias("x"), F.sum(F.hash("id", "told").cast("long")).alias("y"), F.min("label").alias("low"), F.max("label").alias("high")]
+    mixed = labelled.groupBy("bucket").agg(*group).where("low != high").groupBy("size", "x", "y", "low", "high").agg(F.min("bucket").alias("bucket"))
+    mixed = mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks = labelled.join(mixed, "bucket").withColumn("side", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = blocks.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "told", "label")
+    more = _compare_blocks(tasks.join(sets, ["id", "told"]).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
+
+    roots = components(stars.unionByName(more))
     found = classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return sketches.select("id", "n", "digest").join(found, "digest", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id") == F.col("id")).alias("kept")
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )
