@@ -7,7 +7,8 @@ radius: two within the radius differ by at most two bits in at least one of them
 query's bits with every such set of bits flipped, finds all; the distance confirms.  Built-in functions only.
 
 Edge cases: null and empty texts have a fingerprint of zeros; a text of one word is one term; texts that are equal have equal
-fingerprints; repeated rows are all returned, and several texts may share an id.
+fingerprints; repeated rows are all returned, and several texts may share an id.  A row with a null id has a fingerprint but no
+next document: its edited text and both likenesses are null.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
     share a key share a next document; a next key of several texts stands for the least of their starts.
     """
     parts = parts or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null")
+    whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = whole.where("key is not null")
     half = lambda c: (F.length(c) / 2).cast("int")
     order = staged(next_ids(docs, "key", half("text"), parts), "next")
     starts = docs.join(order.select(F.col("key").alias("before"), F.col("next").alias("key"), "need"), "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, need)").alias("start"))
@@ -136,6 +138,9 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
     wide = prints.groupBy("key", "n_chars", "told", "sha").agg(pick(0, "hi"), pick(0, "lo"), pick(1, "hi"), pick(1, "lo"), F.max("copies").alias("copies"))
     rows = wide.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     rows = rows.join(order.select("key", "next"), "key")
+    lone = whole.where("key is null").select("key", F.length("text").alias("n_chars"), F.xxhash64("text").alias("told"), "text")
+    lone = fingerprint_rows(lone, ["key", "n_chars", "told"], "text").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = rows.unionByName(lone, allowMissingColumns=True)
     return rows.select(F.col("key").alias(key), F.col("n_chars").cast("long").alias("n_chars"), "hi", "lo", F.lower(F.hex("sha")).alias("edited_sha256"), "edited_hi", "edited_lo", "next")
 
 
@@ -146,7 +151,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     nexts = prints.groupBy(key).agg(F.min(F.struct("hi", "lo")).alias("n")).select(F.col(key).alias("next"), F.col("n.hi").alias("next_hi"), F.col("n.lo").alias("next_lo"))
     asks = prints.where(F.col(key) % every == 0)
     near = within_radius(asks, prints.select("hi", "lo", F.lit(1).alias("copies")), radius).groupBy("q_hi", "q_lo").agg((F.sum("copies") - 1).alias("n_near"))
-    joined = prints.join(nexts, "next").join(near, (F.col(key) % every == 0) & (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo")), "left")
+    joined = prints.join(nexts, "next", "left").join(near.hint("merge"), (F.col(key) % every == 0) & (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo")), "left")
     c = F.col
     return joined.select(
         key, "n_chars", "edited_sha256", as_hex(c("hi"), c("lo")).alias("fingerprint"), as_hex(c("edited_hi"), c("edited_lo")).alias("edited_fingerprint"),
