@@ -45,7 +45,7 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.scan_with_ledger(table(spark, sf_dir, "documents"), secrets.ledger_path(spark))
     base = [r.kind for r in secrets.BASE_RULES]
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -4,17 +4,27 @@ Every version of a text is addressed by its SHA-256.  Only pairs of blob and rul
 scanned, each blob once however many paths hold it, and findings are joined back to all paths.  Built-in functions only: a
 text is split at a rule's matches, and running lengths of parts and matches give the offsets in code points.
 
-Edge cases: a null text is an empty blob; a blob without findings is in the ledger with no spans; repeated rows and several
-texts under one id are all returned, each with its own blob's findings; no rows give no rows.
+The ledger is a Parquet table in the shared folder, by rule version and by whether a blob has findings.  A run appends what it
+has scanned and reads the findings from there, so a second run over the same texts scans nothing.  A blob that two runs
+appended at once counts once.  Texts are dealt by blob and key, and paths of one blob over ``SALTS`` tasks, so that a blob
+that is everywhere lands in no single task.
+
+Edge cases: a null text is an empty blob; a blob without findings is in the ledger with no spans; repeated rows, several
+texts under one id and rows with a null id are all returned, each with its own blob's findings; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.common import shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -50,7 +60,12 @@ MORE_RULES = (
     Rule("url_login", r"://[A-Za-z0-9._~-]*+:[^\s:@/]{3,}+@"),
 )
 RULE_VERSION = "1.2"
-LEDGER = "blob string, rule_version string, spans array<struct<start:int,rank:int,end:int,kind:string>>"
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+LEDGER = f"blob string, spans {SPANS}, rule_version string, found boolean"
+#: The session setting that names the folder of the ledger.
+LEDGER_SETTING = "spark.docloom.secrets.ledger"
+#: Tasks over which the paths of one blob are dealt.
+SALTS = 16
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -82,6 +97,21 @@ def blobs_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
 
 
+def ledger_path(spark: SparkSession) -> str:
+    """The folder of the session's ledger; where none is set, a new one in the shared folder, so that such a run scans all."""
+    return spark.conf.get(LEDGER_SETTING, None) or f"{shared_dir(spark)}/docloom/ledger-{uuid.uuid4().hex}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger, or None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Ledger entries (blob, rule_version, spans) for the blobs of ``docs`` that ``ledger`` lacks under this version."""
     versions = docs.select(F.col(key).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("blob", F.sha2("body", 256))
@@ -100,7 +130,29 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     if ledger is not None:
         known = known.unionByName(ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return blobs_of(docs, key, text).join(known, "blob", "left").select(key, "blob", F.coalesce("spans", none).alias("spans")), new
+    return _to_paths(blobs_of(docs, key, text), key, known).select(key, "blob", F.coalesce("spans", none).alias("spans")), new
+
+
+def _to_paths(paths: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """``paths`` (with key and blob) and the spans of ``known`` (blob, spans), null where it has none."""
+    spread = known.dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return paths.join(spread, (F.col("blob") == F.col("__blob")) & (F.pmod(F.xxhash64(key), F.lit(SALTS)) == F.col("__salt")), "left").drop("__blob", "__salt")
+
+
+def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scan what the ledger at ``path`` lacks, append it there, and return the stored (blob, spans) that have findings."""
+    spark = docs.sparkSession
+    new = scan_unseen(docs, read_ledger(spark, path), rules, version, key, text)
+    new.withColumn("found", F.size("spans") > 0).write.mode("append").partitionBy("rule_version", "found").parquet(path)
+    # Read by the folders of its version and of findings, so Spark knows its size and sends it to all tasks only where that is small.
+    stored = read_ledger(spark, path)
+    return spark.createDataFrame([], LEDGER).select("blob", "spans") if stored is None else stored.where((F.col("rule_version") == version) & F.col("found")).select("blob", "spans")
+
+
+def scan_with_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, version: str = RULE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, blob, spans) per row of ``docs``, scanning only blobs that the ledger at ``path`` lacks under this version."""
+    known = update_ledger(docs, path, rules, version, key, text)
+    return _to_paths(blobs_of(docs, key, text), key, known).select(key, "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -118,9 +170,10 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the spans of their blobs replaced by ``mark``; texts without findings stay as they are."""
-    found, _ = scan_secrets(docs, ledger, key=key, text=text)
-    known = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    marked = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(known, F.col("__own") == F.col("__blob"), "left")
+def redact_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the spans of their blobs, by the ledger at ``path``, replaced by ``mark``; texts without findings stay as they are."""
+    known = update_ledger(docs, path or ledger_path(docs.sparkSession), key=key, text=text)
+    spread = known.dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    own = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn("__at", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    marked = own.join(spread, (F.col("__own") == F.col("__blob")) & (F.col("__at") == F.col("__salt")), "left")
     return marked.select(*(F.when(F.col("__spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("__spans"), mark)).alias(text) if c == text else F.col(c) for c in docs.columns))
