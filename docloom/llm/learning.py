@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.arrays import slices
 
-#: The most labelled rows a model learns from, those with the least hashes of their ids.
+#: The most labelled rows a model learns from, those with the least hashes of their ids; of rows that share an id, one.
 SAMPLE = 20_000
 
 
@@ -21,11 +21,16 @@ def remainder(key: str, mod: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(key, label, text) of at most ``sample`` labelled rows; a key with several labels counts with the largest."""
+    """(key, label, text) of at most ``sample`` labelled rows.
+
+    A key with several labels counts with the largest, and one with several texts with that of the least hash.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(sample)
     # Bounded by ``sample``, so it is sent to all tasks and no text is shuffled for it.
-    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    met = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    # Tasks keep one row of a key before any text moves.
+    return met.groupBy(key).agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select(key, "label", "least.text")
 
 
 def train_in_one_task(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], np.ndarray], key: str = "doc_id") -> np.ndarray:
