@@ -1,13 +1,16 @@
-"""Language-model scoring: words by their counts, and by all their segmentations into pieces of an existing vocabulary.
+"""Language-model scoring: the marginal likelihood of a text over all segmentations of its words.
 
-The probability of a word is its discounted share of the training tokens plus what the discount frees, times the chance of
-its last mark of punctuation (or none) and of the stem before it.  A stem's chance is its discounted share of the distinct
-training words plus what that frees, times its marginal probability in the lattice of pieces: the sum over all segmentations,
-by a forward recursion in logs.  The vocabulary's own scores give the pieces their first weights, and expectation
-maximisation over the distinct training stems adapts them.  All shares sum to one.
+A word's lattice has the pieces of an existing vocabulary as arcs, and one more arc over the whole word if training had it,
+one over its stem if training had that.  Its probability is the sum over all paths, by a forward recursion in logs.  The
+vocabulary's own scores give the pieces their first weights, and expectation maximisation over the distinct training stems
+adapts them.  A whole-word arc has the word's discounted share of the training tokens; what the discount frees goes to the other
+paths, times the chance of the word's last mark of punctuation (or none) and of the stem before it.  A stem's arc likewise has
+its discounted share of the distinct training words, and the pieces share what that frees.  So what training gathers (the
+words) grows with it, and all shares sum to one.  ``lattice_score`` is the same without the arcs of words and stems: pieces only.
 
 Words are counted in the blocks (parts of input files) where they stand; each distinct stem and word is scored once and
-joined back to its blocks, and a block's documents meet just that block's words, so nothing is sent to all tasks.
+joined back to its blocks, and a block's documents meet just that block's words, so nothing is sent to all tasks.  A table that
+is not read from files (derived from others) is cut into blocks by its bytes, so blocks are many, not large.
 
 Edge cases: a null or empty text is the end alone; without training tokens all words are unknown and the end too, and the
 model is the lattice alone with one half for the end; repeated rows are counted and scored each.
@@ -29,6 +32,8 @@ from docloom.llm.arrays import Spans, slices
 from docloom.llm.common import staged
 
 ROUNDS = 2
+#: Bytes of a file (compressed) or of text (where there's no file) in a block, and blocks in a task of the last step.
+FILE_BLOCK, TEXT_BLOCK, BLOCKS = 1 << 22, 1 << 23, 4
 #: Words of the vocabulary's own weights that are added to what the corpus shows.
 PRIOR = 2000.0
 _MARK = "▁".encode()
@@ -201,17 +206,18 @@ def _shares(counted: DataFrame) -> tuple[int, int, float]:
 
 
 def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one counts), score; logs to base 10."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) >> 23)
-    own = F.xxhash64(key, F.length(text))
-    block = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(own, F.lit(salt)))).otherwise(F.pmod(own, F.lit(4 * parts)))
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one counts), score, lattice_score; logs to base 10."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    trains = ~F.coalesce(held_out, F.lit(False))
+    seen = docs.select(trains.alias("trains"), F.when(F.input_file_name() == "", F.octet_length(text)).alias("loose")).agg(F.count_if("trains").alias("ends"), F.sum("loose").alias("loose")).first()
+    own, ends = F.xxhash64(key, F.length(text)), seen.ends
+    cuts = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / FILE_BLOCK))
+    inside = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(own, cuts))
+    block = F.when(F.input_file_name() != "", inside).otherwise(F.pmod(own, F.lit((seen.loose or 0) // TEXT_BLOCK + 1)))
     docs = docs.select(F.col(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("body"), block.alias("block")).withColumn("trains", ~F.col("held_out"))
 
     in_blocks = staged(word_counts(docs), "words")
     vocabulary = staged(in_blocks.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
-    ends = docs.where("trains").count()
     n_all, v_words, discount = _shares(vocabulary)
     n_all, n_types = n_all + ends, v_words + (ends > 0)
     free = math.log(discount * n_types / n_all) if n_all else math.log(0.5)
@@ -236,38 +242,39 @@ def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str
         own = lattice_of(model_file, weight, stop)
         for batch in batches:
             c = np.asarray(batch.column("c")).astype(np.float64)
-            spelled = freed + own.marginals(batch.column("stem").to_pylist())
+            pieces = own.marginals(batch.column("stem").to_pylist())
+            spelled = freed + pieces
             counted = np.log(np.maximum(c - less, 1e-300) / max(n_stems, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("stem"), pa.array(np.where(c > 0, np.logaddexp(counted, spelled), spelled))], names=["stem", "log_stem"])
+            yield pa.RecordBatch.from_arrays([batch.column("stem"), pa.array(np.where(c > 0, np.logaddexp(counted, spelled), spelled)), pa.array(pieces)], names=["stem", "log_stem", "log_pieces"])
 
-    weighed = cut.join(stems.mapInArrow(weigh, "stem binary, log_stem double"), "stem")
+    weighed = cut.join(stems.mapInArrow(weigh, "stem binary, log_stem double, log_pieces double"), "stem")
     log_tail = F.lit(math.log(chance[""]))
     for t in TAILS:
         log_tail = F.when(F.col("tail") == t, F.lit(math.log(chance[t]))).otherwise(log_tail)
     back = F.lit(free) + log_tail + F.col("log_stem")
     share = F.when(F.col("c") > 0, F.log((F.col("c") - discount) / max(n_all, 1) + F.exp(back))).otherwise(back)
-    here = in_blocks.select("block", "word").join(weighed.select("word", "c", (share / math.log(10)).alias("logp")), "word").select("block", "word", "c", "logp")
+    goes_on = math.log(1 - (ends - discount) / n_all) if ends and n_all > ends - discount else math.log(0.5)
+    logs = [(x / math.log(10)).cast("float").alias(name) for x, name in ((share, "logp"), (F.lit(goes_on) + log_tail + F.col("log_pieces"), "pieces"))]
+    here = in_blocks.select("block", "word").join(weighed.select("word", "c", *logs), "word").select("block", "word", "c", "logp", "pieces")
+    n_blocks = in_blocks.select("block").distinct().count()
     base_end = math.log10((ends + 1) / (n_all + n_types)) if n_all else 0.0
     end = math.log10((ends - discount) / n_all) if ends else math.log10(0.5)
-    kind = T.StructType([docs.schema[key], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+    kind = T.StructType([docs.schema[key], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double").fields])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         at = {w: i for i, w in enumerate(right.column("word").to_pylist())}
         c = right.column("c").to_numpy().astype(np.float64)
-        logs = np.stack([np.log10((c + 1) / max(1, n_all + n_types)), right.column("logp").to_numpy(), (c > 0).astype(np.float64)])
+        logs = np.stack([np.log10((c + 1) / max(1, n_all + n_types)), right.column("logp").to_numpy().astype(np.float64), right.column("pieces").to_numpy().astype(np.float64), (c > 0).astype(np.float64)])
         rows = []
         for batch in slices(left.to_batches(), "body"):
             for body in batch.column("body").to_pylist():
                 words = body.encode().lower().split()
                 sums = logs[:, np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=1)
-                rows.append((len(words) + 1, int(sums[2]) + (ends > 0), n_all, sums[0] + base_end, sums[1] + end))
-        cols = list(zip(*rows)) or [()] * 5
+                rows.append((len(words) + 1, int(sums[3]) + (ends > 0), n_all, sums[0] + base_end, sums[1] + end, sums[2] + end))
+        cols = list(zip(*rows)) or [()] * 6
         return pa.table([left.column(key), left.column("held_out"), *(pa.array(x, pa.int64()) for x in cols[:3]), *(pa.array(x, pa.float64()) for x in cols[3:])], schema=None, names=kind.names)
 
-    return docs.select(key, "held_out", "block", "body").groupBy("block").cogroup(here.groupBy("block")).applyInArrow(score, kind)
-
-
-def _bytes(setting: str) -> int:
-    unit = setting.strip().lower().rstrip("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit[-1:], 1)
-    return int(float(unit.rstrip("kmg"))) * scale
+    # So many tasks that each has few blocks, whatever the session's number.
+    tasks = max(parts, n_blocks // BLOCKS)
+    left, right = docs.select(key, "held_out", "block", "body").repartition(tasks, "block"), here.repartition(tasks, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, kind)
