@@ -1,7 +1,8 @@
 """Quality rules, line first.
 
-Each line is judged by itself: lines that are navigation or boilerplate and lines made of symbols go; what is left is the
-cleaned text.  A document that loses too much of its text this way is rejected, as is one that fails the base rules (too few
+Each line is judged: lines that are navigation, boilerplate or mostly links, and lines made of symbols, capitals or
+exclamations go, as do runs of short lines that end in no mark of punctuation (menus), and lines that the document has already
+had twice; what is left is the cleaned text.  A document that loses too much of its text this way is rejected, as is one that fails the base rules (too few
 words, or too many of them in repeated three-word windows).  Documents are independent, so the work is one pass of Arrow
 batches without a shuffle.
 
@@ -39,6 +40,15 @@ _BAR = re.compile(r"\s[|»›·•]\s|\s>\s")
 MIN_BARS = 3
 #: How a sentence ends; a line of a few short items that does not end so is navigation with fewer marks, too.
 _ENDED = re.compile(r"""[.!?…:;。！？][)"'»”’\]]*\s*$""")
+#: Words of a line of a menu, and how many such lines in a row make one.
+MENU_WORDS, MENU_LINES = 3, 4
+#: Bytes above which a word is none of a menu (lines of keys have such).
+LONG_WORD = 30
+#: Percent of a line's words that are links, or exclamations, above which it goes.
+MAX_LINKS = 50
+#: A line of at least so many words goes from its third time on.
+REPEATED_WORDS = 4
+_LINK = (b"http://", b"https://", b"www.", b"mailto:")
 #: The armour of keys stays, so that the secret scan finds a key whole.
 _ARMOUR = re.compile(r"-----(?:BEGIN|END) ")
 #: Boilerplate that stands alone on a short line.
@@ -108,11 +118,32 @@ def line_fails(line: str, words: list[bytes]) -> bool:
         last, anywhere = (sum(1 for w in words if test(w) and not _FIGURE.fullmatch(w)) for test in (lambda w: w[-1:] in b"#*$%&|<>", lambda w: SYMBOLS.search(w.decode())))
         if 100 * (anywhere if n >= 3 else last) > MAX_SYMBOLS * n:
             return True
-    if n >= 8 and 100 * sum(1 for w in words if w[-2:] == b"!!") > MAX_SYMBOLS * n:
+    if n >= 2 and 100 * sum(1 for w in words if w.lower().startswith(_LINK)) > MAX_LINKS * n:
+        return True
+    if n >= 4 and 100 * sum(1 for w in words if w[-1:] == b"!") > MAX_LINKS * n:
         return True
     return 100 * capitals > MAX_CAPITALS * letters and (n >= 8 or n >= 3 and line.rstrip().endswith("!"))
 
 
+def in_menus(short: list[bool | None]) -> list[bool]:
+    """Which lines stand in a run of short ones; None is a line without a word, which neither counts nor ends a run."""
+    out, run = [False] * len(short), []
+    for i, is_short in enumerate([*short, False]):
+        if is_short:
+            run.append(i)
+        elif is_short is not None:
+            if len(run) >= MENU_LINES:
+                for k in run:
+                    out[k] = True
+            run = []
+    return out
+
+
+def is_short(line: str, words: list[bytes]) -> bool | None:
+    """A line of few words that ends in no mark of punctuation; None for one without a word."""
+    return None if not words else len(words) <= MENU_WORDS and max(map(len, words)) <= LONG_WORD and not _ENDED.search(line) and not _ARMOUR.search(line) and line[-1:] not in ",{}()[]"
+
+
 def judge(text: str | None) -> tuple:
     text = text or ""
     raw = text.encode()
@@ -121,15 +152,15 @@ def judge(text: str | None) -> tuple:
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\f\r")
     symbols = sum(text.count(c) for c in "#*$%&|<>")
     lines = text.split("\n")
-    seen: set[str] = set()
+    seen: Counter[str] = Counter()
     repeats, lost, clean = 0, 0, []
-    for line in lines:
-        own = words if len(lines) == 1 else line.encode().split()
+    split = [words] if len(lines) == 1 else [line.encode().split() for line in lines]
+    menu = in_menus([is_short(line, own) for line, own in zip(lines, split)]) if len(lines) >= MENU_LINES else [False] * len(lines)
+    for line, own, listed in zip(lines, split, menu):
         if own:
-            again = line in seen
-            repeats += again
-            seen.add(line)
-            if line_fails(line, own):
+            repeats += line in seen
+            seen[line] += 1
+            if listed or seen[line] > 2 and len(own) >= REPEATED_WORDS and not _ARMOUR.search(line) or line_fails(line, own):
                 lost += len(line)
                 continue
         clean.append(line)
