@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept: rules clean lines and reject junk,
 a classifier rejects what scores low, one document of each group of near-duplicates stays, secrets are redacted, and the
 token sequences are packed.  All but the last return the columns of documents.  Each row's edge cases are those of the
-operators: null texts count as empty (and are rejected by the rules), empty tables pass through, and columns that documents
-does not have are left out.
+operators: null texts count as empty (and are rejected by the rules), rows with a null id are linked with nothing and stay, and
+empty tables pass through.  Each stage reads the columns of documents (COLUMNS), all of which must be there, and leaves out others.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the least id of each group stays."""
     ship(spark)
     docs = docs.select(COLUMNS)
-    kept = near_dups.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    kept = near_dups.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
