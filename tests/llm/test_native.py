@@ -185,3 +185,46 @@ def test_edited_copies_are_near(spark):
         rows += [(i, " ".join(own)), (i + 1, " ".join([*own[:60], "changed", *own[61:]]))]
     got = [r.n_near for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("n_near is not null").collect()]
     assert len(got) == 20 and set(got) <= {0, 1} and sum(got) >= 18
+
+
+def test_fingerprint_values_against_python(spark):
+    import xxhash
+
+    def h(data, seed=42):
+        return xxhash.xxh64(data, seed=seed).intdigest()
+
+    def simhash(text):
+        words = text.split()
+        votes = [0] * 128
+        for a, b in zip(words, [*words[1:], None]):
+            h1 = h(a.encode())
+            h1 = h1 if b is None else h(b.encode(), h1)
+            h2 = h(h1.to_bytes(8, "little"))
+            both = h1 << 64 | h2
+            for k in range(128):
+                votes[k] += 1 if both >> k & 1 else -1
+        return f"{sum(1 << k for k in range(128) if votes[k] > 0):032x}"
+
+    texts = [(1, "one"), (2, "the quick brown fox jumps over the lazy dog the quick brown fox"), (3, "é 😀\n\t mehr  Wörter"), (4, " ".join(f"w{i % 37} x{i}" for i in range(300))), (5, None), (None, "no id here"), (None, "no id here")]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.fingerprint) for r in got), key=str) == sorted(((i, simhash(t or "")) for i, t in texts), key=str)
+    assert all((r.near_next is None) == (r.near_edited is None) == (r.edited_sha256 is None) == (r.doc_id is None) for r in got)
+
+
+def test_a_second_run_of_the_query_scans_nothing(spark, sf, tmp_path, monkeypatch):
+    path, scanned = f"file://{tmp_path}/ledger", []
+    spark.conf.set(secrets.LEDGER_SETTING, path)
+    scan = secrets.scan_unseen
+    monkeypatch.setattr(secrets, "scan_unseen", lambda *a, **k: (lambda df: (scanned.append(df.count()), df)[1])(scan(*a, **k)))
+    try:
+        first = sorted(queries.op4_secrets(spark, sf).collect())
+        again = sorted(queries.op4_secrets(spark, sf).collect())
+        blobs = spark.read.parquet(f"{sf}/documents.parquet").select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
+        assert scanned == [blobs, 0] and first == again and any(r.spans for r in first)
+        # The redaction of the same texts finds them in the same ledger, and one new text is all that it scans.
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "password = " + "q" * 20), (None, None)], "doc_id long, text string"))
+        clean = secrets.redact_documents(docs, path)
+        assert scanned[2] in (1, 2) and clean.where("doc_id = -1").first().text == "[SECRET]" and clean.count() == docs.count()
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+    assert sorted(queries.op4_secrets(spark, sf).collect()) == first and scanned[-1] == blobs

@@ -119,3 +119,54 @@ def test_stages(spark, sf):
     assert set(docs.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf).count() == 0
+
+
+def near_copies(n, rate, seed=1, words=100):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return [(i, edited(rng, base, rate * rng.random() * 2)) for i in range(n)]
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.03, 0.06])
+def test_components_of_edited_copies(spark, rate):
+    rows = near_copies(250, rate)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(near_dups.near_duplicates(docs, shingle=4)) == brute(rows)
+
+
+def test_rows_for_confirmation_grow_with_the_copies(spark, monkeypatch):
+    """Rows sent to stars, to differences and to blocks, for 500 near copies and for four times as many."""
+    sent = {}
+    for n in (500, 2000):
+        count = sent.setdefault(n, [])
+        deal, rest = near_dups._deal, near_dups._rest_of_stars
+        monkeypatch.setattr(near_dups, "_deal", lambda edges, sets, deal=deal, count=count: (count.append(edges.count()), deal(edges, sets))[1])
+        monkeypatch.setattr(near_dups, "_rest_of_stars", lambda *a, rest=rest, count=count: (lambda df: (count.append(df.count()), df)[1])(rest(*a)))
+        near_dups.near_duplicates(spark.createDataFrame(near_copies(n, 0.03), "doc_id long, text string"), shingle=4).count()
+        monkeypatch.undo()
+    small, large = sum(sent[500]), sum(sent[2000])
+    assert len(sent[500]) == 3 and large < 6 * small, sent
+
+
+@pytest.mark.parametrize("size", [4, 5, 9, 10, 14, 20])
+def test_buckets_of_short_sets(size):
+    """Sets of few elements fill few bins, and the bins that others lend are not independent: links are looked for, not computed."""
+    rng, banding, met, n = np.random.default_rng(size), near_dups.Banding(), 0, 400
+    for _ in range(n):
+        a = rng.integers(0, 2**63, size, dtype=np.uint64)
+        least = -(-4 * size // 5)  # a part of a with 0.8 of it
+        b = rng.permutation(a)[:least]
+        met += bool(set(banding.keys(np.sort(a)).tolist()) & set(banding.keys(np.sort(b)).tolist()))
+    assert met >= 0.99 * n, met
+
+
+def test_rows_without_an_id_stay(spark, sf):
+    docs = spark.createDataFrame([(None, "same words in both of these rows"), (None, "same words in both of these rows"), (3, "same words in both of these rows"), (4, None), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(docs, shingle=4).collect()), key=str)
+    assert got == sorted([(None, 4, None, True)] * 2 + [(3, 4, 3, True), (4, 0, 4, True), (None, 0, None, True)], key=str)
+    text = " ".join(f"plain{i} prose{i}," for i in range(60)) + "."
+    whole = spark.createDataFrame([(None, text, "en", "s", 1), (None, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        if k != 1:  # the classifier's verdict depends on its labels
+            whole = stage(spark, whole, sf)
+    assert sorted((r.doc_id for r in whole.collect()), key=str) == [1, None, None]
