@@ -32,8 +32,8 @@ from docloom.llm.arrays import Spans, slices
 from docloom.llm.common import staged
 
 ROUNDS = 2
-#: Bytes of a file (compressed) or of text (where there's no file) in a block, and blocks in a task of the last step.
-FILE_BLOCK, TEXT_BLOCK, BLOCKS = 1 << 22, 1 << 23, 4
+#: Bytes of a file or of text (where there's no file) in a block, and blocks in a task of the last step.
+FILE_BLOCK, TEXT_BLOCK, BLOCKS = 1 << 24, 1 << 24, 2
 #: Words of the vocabulary's own weights that are added to what the corpus shows.
 PRIOR = 2000.0
 _MARK = "▁".encode()
