@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Forms of a date, and the phrase that a date of taking effect follows.
 ISO = r"(\d{4})-(\d{1,2})-(\d{1,2})"
 SPELLED = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
 NUMBERS = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
@@ -20,7 +21,8 @@ def iso_date(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit(ISO)), made(ISO, (1, 2, 3))).when(F.rlike(c, F.lit(SPELLED)), made(SPELLED, (3, 2, 1))).when(F.rlike(c, F.lit(NUMBERS)), made(NUMBERS, (3, 2, 1)))
 
 
-EFFECT = r"(?iu)có\s+hiệu\s+lực(?:\s+thi\s+hành)?\s+(?:kể\s+)?từ\s+(ngày\s+(?:ký|ban\s+hành|\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4}))"
+_BARE = lambda pattern: pattern.removeprefix("(?iu)").replace("(", "").replace(")", "")
+EFFECT = rf"(?iu)có\s+hiệu\s+lực(?:\s+thi\s+hành)?\s+(?:kể\s+)?từ\s+(ngày\s+(?:ký|ban\s+hành|{_BARE(NUMBERS)})|{_BARE(SPELLED)})"
 
 
 def effective_date(c: Column, issued: Column) -> Column:

@@ -10,9 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.session import staged
 
 #: Weights of containment and Jaccard for a claim, and its least score; the least for a page.
 CLAIM, CLAIM_LEAST, PAGE_LEAST = (0.75, 0.25), 0.65, 0.85
+#: The score of a claim that cites an article, or a document number, that its source lacks; how both are cited; a
+#: footnote's mark, and words of sentences that say what must be.
+ARTICLE_MISSING, NUMBER_MISSING = 0.2, 0.25
+ARTICLE_CITED = r"(?iU)\bĐiều\s+(\d+[a-z]?)\b"
+NUMBER_CITED = r"\b(\d+(?:/\d{4})?/[A-Za-z0-9/_ĐđÀ-ỹ-]+)"
+MARK = r"\[\^[a-zA-Z0-9_-]+\]"
+NORMATIVE = ["quy định", "phải", "nghiêm cấm", "thời hạn", "mức phạt", "điều", "khoản"]
 
 
 def merge_concepts(items: DataFrame, term: str, definition: str, at: str) -> DataFrame:
@@ -37,13 +45,14 @@ def merge_relations(items: DataFrame, source: str, target: str, kind: str, evide
 
 def clusters(nodes: DataFrame, pairs: DataFrame, node: str = "id") -> DataFrame:
     """(node, cluster): the least node that pairs (a, b) reach.  Each round passes labels on and shortens their paths."""
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = nodes.select(F.col(node).alias("n"), F.col(node).alias("l")).checkpoint()
+    both = staged(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "pairs")
+    labels = nodes.select(F.col(node).alias("n"), F.col(node).alias("l"))
+    labels = staged(labels, "labels")
     while True:
         heard = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("l").alias("m"))
         nearer = labels.join(heard, labels["n"] == heard["a"], "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
         up = nearer.select(F.col("n").alias("l"), F.col("l").alias("top"))
-        after = nearer.join(up, "l", "left").select("n", F.coalesce("top", "l").alias("l")).checkpoint()
+        after = staged(nearer.join(up, "l", "left").select("n", F.coalesce("top", "l").alias("l")), "labels")
         if after.join(labels.withColumnRenamed("l", "was"), "n").where("l != was").isEmpty():
             return after.select(F.col("n").alias(node), F.col("l").alias("cluster"))
         labels = after
@@ -55,34 +64,78 @@ def covered(claims: DataFrame, terms: DataFrame, least: int = 3) -> DataFrame:
     return n.join(terms.where("covered").select(F.lower("term").alias("term")), "term", "left_anti")
 
 
-def claim_score(claim: Column, window: Column) -> Column:
-    """Containment and Jaccard of a claim's words in a window's."""
-    a, b = F.array_distinct(tx.tokens(claim)), F.array_distinct(tx.tokens(window))
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), CLAIM[0] * both / F.size(a) + CLAIM[1] * both / F.size(F.array_union(a, b))).otherwise(0.0)
+def cited(c: Column, pattern: str) -> Column:
+    """The articles or numbers that a text cites, folded, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), lambda x: F.lower(x)))
 
 
-def source_windows(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, window): paragraphs of over 20 characters, and pairs of sentences that follow each other of over 15."""
-    paragraphs = F.filter(F.split(F.col(text), r"\n+"), lambda p: F.length(F.trim(p)) > 20)
-    sentences = F.filter(F.transform(F.split(F.col(text), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    pairs = F.filter(F.transform(sentences, lambda s, i: F.concat_ws(" ", s, F.get(sentences, i + 1))), lambda s: F.length(s) > 15)
-    return docs.select(doc, F.explode(F.array_distinct(F.concat(paragraphs, pairs))).alias("window"))
+def source_windows(text: Column) -> Column:
+    """Words of paragraphs of over 20 characters and of pairs of sentences that follow each other, of over 15 each; of lone sentences where there is neither."""
+    trimmed = lambda pattern, least: F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: F.length(p) > least)
+    paragraphs, sentences = trimmed(r"\n\n", 20), trimmed(r"[.\n;]+", 15)
+    pairs = F.filter(F.transform(sentences, lambda s, i: F.concat(s, F.lit(". "), F.get(sentences, i + 1))), lambda s: s.isNotNull())
+    made = F.concat(paragraphs, pairs)
+    return F.transform(F.array_distinct(F.when(F.size(made) > 0, made).otherwise(sentences)), tx.distinct_tokens)
 
 
 def verify_claims(claims: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``claims`` (claim_id, doc, claim) with the best score among their own document's windows and whether it holds."""
-    met = claims.join(source_windows(docs, doc, text), doc, "left").withColumn("s", F.coalesce(claim_score(F.col("claim"), F.col("window")), F.lit(0.0)))
-    return met.groupBy("claim_id").agg(F.round(F.max("s"), 6).alias("score")).withColumn("holds", F.col("score") >= CLAIM_LEAST)
-
-
-def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text: str, least: int, rare: int | None = None) -> DataFrame:
-    """(claim_id, doc, n_shared): documents with ``least`` or more of a claim's distinct words; the join is on words, counted, never on pairs of texts."""
-    a = claims.select("claim_id", F.explode(F.array_distinct(tx.tokens(F.col(claim)))).alias("w"))
-    b = docs.select(doc, F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("w"))
-    if rare:
-        b = b.join(b.groupBy("w").count().where(F.col("count") <= rare).select("w"), "w", "left_semi")
-    return a.join(b, "w").groupBy("claim_id", doc).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
+    """(claim_id, score, reason, holds) of ``claims`` (claim_id, doc, claim), each against its own document.
+
+    In this order: an empty claim holds; without a source nothing does; an article, then a document number that the source does not
+    cite decides against; words for words decides for; else the best window's share of the claim's words counts, with Jaccard.
+    """
+    c = F.col
+    flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    sources = docs.select(doc, flat(c(text)).alias("__plain"), cited(c(text), ARTICLE_CITED).alias("__articles"), cited(c(text), NUMBER_CITED).alias("__numbers"), source_windows(c(text)).alias("__windows"))
+    own = claims.select("claim_id", doc, flat(c("claim")).alias("__claim"), cited(c("claim"), ARTICLE_CITED).alias("__a"), cited(c("claim"), NUMBER_CITED).alias("__n"))
+    own = own.withColumn("__words", F.filter(tx.distinct_tokens(c("__claim")), lambda w: F.length(w) > 1))
+    both = lambda w: F.size(F.array_intersect("__words", w))
+    likeness = lambda w: CLAIM[0] * both(w) / F.size("__words") + CLAIM[1] * both(w) / (F.size("__words") + F.size(w) - both(w))
+    best = F.coalesce(F.array_max(F.transform("__windows", likeness)), F.lit(0.0))
+    cases = [
+        (F.coalesce(c("__claim"), F.lit("")) == "", F.lit(1.0), "empty"), (F.coalesce(c("__plain"), F.lit("")) == "", F.lit(0.0), "no source"),
+        (F.size(F.array_except("__a", "__articles")) > 0, F.lit(ARTICLE_MISSING), "article missing"), (F.size(F.array_except("__n", "__numbers")) > 0, F.lit(NUMBER_MISSING), "number missing"),
+        (F.contains("__plain", "__claim"), F.lit(1.0), "verbatim"), (F.size("__words") == 0, F.lit(1.0), "trivial"),
+    ]
+    score, reason = F.round(best, 6), F.lit("overlap")
+    for test, value, why in reversed(cases):
+        score, reason = F.when(test, value).otherwise(score), F.when(test, F.lit(why)).otherwise(reason)
+    met = own.join(sources, doc, "left").select("claim_id", score.alias("score"), reason.alias("reason"))
+    return met.groupBy("claim_id").agg(F.max(F.struct("score", "reason")).alias("m")).select("claim_id", "m.score", "m.reason", (c("m.score") >= CLAIM_LEAST).alias("holds"))
+
+
+def page_claims(content: Column) -> Column:
+    """What a page claims: sentences with a footnote's mark, without it; where there are none, sentences that say what must be."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.trim(x))
+    prose = F.filter(lines, lambda x: (x != "") & ~F.rlike(x, F.lit(r"^[#>|]")))
+    cut = lambda xs: F.flatten(F.transform(xs, lambda x: F.split(x, r"[.!?]+")))
+    marked = F.filter(cut(F.filter(prose, lambda x: ~F.rlike(x, F.lit(r"^```|^\[\^[\w-]+\]:")))), lambda s: F.rlike(s, F.lit(MARK)))
+    marked = F.filter(F.transform(marked, lambda s: F.trim(F.regexp_replace(s, MARK, ""))), lambda s: F.length(s) > 15)
+    norms = F.filter(F.transform(cut(prose), lambda s: F.trim(s)), lambda s: (F.length(s) > 30) & F.rlike(F.lower(s), F.lit("|".join(NORMATIVE))))
+    return F.array_distinct(F.when(F.size(marked) > 0, marked).otherwise(norms))
+
+
+def verify_pages(pages: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(page, n_claims, n_held, score, flagged) of ``pages`` (page, doc, content): the share of its claims that hold; flagged under 0.85."""
+    each = pages.select("page", doc, F.explode(page_claims(F.col("content"))).alias("claim")).withColumn("claim_id", F.struct("page", F.lower(F.trim("claim")).alias("c")))
+    held = verify_claims(each, docs, doc, text).groupBy("claim_id.page").agg(F.count("*").alias("n_claims"), F.count_if("holds").alias("n_held"))
+    score = F.coalesce(F.round(F.col("n_held") / F.col("n_claims"), 6), F.lit(1.0))
+    return pages.select("page").distinct().join(held, "page", "left").select("page", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_held", F.lit(0)).alias("n_held"), score.alias("score"), (score < PAGE_LEAST).alias("flagged"))
+
+
+def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text: str, least: int) -> DataFrame:
+    """(claim_id, doc, n_shared): documents with ``least`` or more of a claim's distinct words.
+
+    Of a claim's n words, one of any n - least + 1 must be shared, so only its so many rarest ones are looked for; what is found
+    is counted on all words.  A common word so is a key only of claims that have little else.
+    """
+    said = claims.select("claim_id", F.explode(tx.distinct_tokens(F.col(claim))).alias("w"))
+    heard = staged(docs.select(doc, F.explode(tx.distinct_tokens(F.col(text))).alias("w")).join(said.select("w").distinct(), "w", "left_semi"), "words")
+    known = said.join(heard.groupBy("w").agg(F.count("*").alias("df")), "w")
+    sized = known.withColumn("n", F.count("*").over(W.partitionBy("claim_id"))).withColumn("r", F.row_number().over(W.partitionBy("claim_id").orderBy("df", "w")))
+    sized = staged(sized, "claims")
+    found = sized.where(F.col("r") <= F.col("n") - least + 1).join(heard, "w").select("claim_id", doc).distinct()
+    return found.join(heard, doc).join(sized.select("claim_id", "w"), ["claim_id", "w"], "left_semi").groupBy("claim_id", doc).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
 
 
 def greedy_fill(sections: DataFrame, budget: int, doc: str = "doc_id", size: str = "size", tier: str = "tier", order: str = "idx") -> DataFrame:

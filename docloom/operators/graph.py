@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import staged
+
 
 def links(pages: DataFrame, page: str, targets: Column, own: Column) -> DataFrame:
     """(from_page, to_slug): each target once, without links of a page to itself."""
@@ -34,10 +36,12 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a",
     """(node, dist): what is reachable from ``seeds`` (node) in at most ``depth`` (1 to 3) steps along edges of either way."""
     depth = min(3, max(1, depth))
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("node")).union(edges.select(b, a)).where("u is not null and node is not null").distinct()
-    found = seeds.select("node", F.lit(0).alias("dist")).distinct()
+    both = staged(both, "edges")  # each step reads it
+    found = staged(seeds.select("node", F.lit(0).alias("dist")).distinct(), "front")
     front = found
     for step in range(1, depth + 1):
         front = front.select(F.col("node").alias("u")).join(both, "u").select("node").distinct().join(found, "node", "left_anti").withColumn("dist", F.lit(step))
+        front = staged(front, "front")  # its size is known then, so a small one is sent to the edges
         found = found.unionByName(front)
     return found
 

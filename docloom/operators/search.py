@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.functions import vectors as vec
+from docloom.operators.consolidate import clusters
+from docloom.session import staged
 
 #: Rank constant of the fusion, rows from each arm, least cosine and coverage, weights of the local rerank and of the prior.
 RRF_K, POOL, FLOOR, STRONG = 60, 50, 0.35, 0.6
@@ -66,28 +68,55 @@ def _unit(v: pd.Series) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def similar_links(corpus: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, n_links, least_link): for each row how many others have a cosine of ``least`` or more, and the least key among them.
+def similarity_classes(corpus: DataFrame, least: float, doubtful: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, cluster, n_links, least_link, n_doubtful): each row's class, that of all rows that links reach, with its least key;
+    how many others have a cosine of ``least`` or more; the least key among them; and how many are from ``doubtful`` up to that.
 
-    Block by block like ``knn_join``; a task returns a row for each member, never pairs.
+    Block by block like ``knn_join``, every pair of blocks once.  A task returns a row for each member, and of its links no more
+    than join its members, which is all that classes need; pairs never leave it.  Rows without a vector are alone.
     """
     n = _blocks(corpus.count())
-    both = [
-        corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(0).alias("side")),
-        corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64(key), F.lit(n)).alias("j"), F.lit(1).alias("side")),
-    ]
+    low = least if doubtful is None else doubtful
+    mine = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = mine.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "v")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
-        if not len(q) or not len(c):
-            return pd.DataFrame({"id": [], "n": [], "low": []})
-        own, ids = q.id.to_numpy(), c.id.to_numpy()
-        hit = (np.round(_unit(q.v) @ _unit(c.v).T, 9) >= least) & (own[:, None] != ids[None, :])
-        return pd.DataFrame({"id": own, "n": hit.sum(axis=1), "low": np.where(hit.any(axis=1), ids[hit.argmax(axis=1)], np.iinfo(np.int64).max)})
+        pdf = pdf[pdf.v.notna()].sort_values("id")
+        ids, side = pdf.id.to_numpy(), pdf.b.to_numpy()
+        if not len(ids):
+            return pd.DataFrame({"id": [], "other": [], "n": [], "low": [], "doubt": []})
+        x = _unit(pdf.v)
+        s = np.round(x @ x.T, 9)
+        ok = (side[:, None] != side[None, :]) if pdf.i.iat[0] != pdf.j.iat[0] else np.ones_like(s, bool)
+        np.fill_diagonal(ok, False)
+        hit, near = ok & (s >= least), ok & (s >= low) & (s < least)
+        each = pd.DataFrame({"id": ids, "other": -1, "n": hit.sum(axis=1), "low": np.where(hit.any(axis=1), ids[hit.argmax(axis=1)], np.iinfo(np.int64).max), "doubt": near.sum(axis=1)})
+        root = list(range(len(ids)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        joins = []
+        for p, q in zip(*np.nonzero(np.triu(hit))):
+            p_, q_ = find(p), find(q)
+            if p_ != q_:
+                root[max(p_, q_)] = min(p_, q_)
+                joins.append((ids[p], ids[q], 0, np.iinfo(np.int64).max, 0))
+        return pd.concat([each, pd.DataFrame(joins, columns=each.columns)]) if joins else each
+
+    found = staged(dealt.groupBy("i", "j").applyInPandas(link, "id long, other long, n long, low long, doubt long"), "links")
+    counts = found.where("other < 0").groupBy("id").agg(F.sum("n").alias("n_links"), F.min(F.when(F.col("n") > 0, F.col("low"))).alias("least_link"), F.sum("doubt").alias("n_doubtful"))
+    classes = clusters(corpus.select(F.col(key).alias("id")).distinct(), found.where("other >= 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    out = classes.join(counts, "id", "left").select(F.col("id").alias(key), "cluster", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_link", F.coalesce("n_doubtful", F.lit(0)).alias("n_doubtful"))
+    return out if doubtful is not None else out.drop("n_doubtful")
 
-    each = both[0].unionByName(both[1]).groupBy("i", "j").applyInPandas(link, "id long, n long, low long")
-    low = F.min(F.when(F.col("n") > 0, F.col("low")))
-    return each.groupBy("id").agg(F.sum("n").alias("n_links"), low.alias("least_link")).withColumnRenamed("id", key)
+
+def similar_links(corpus: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, n_links, least_link) of ``similarity_classes``."""
+    return similarity_classes(corpus, least, None, key, vector).drop("cluster")
 
 
 def rrf(arms: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
@@ -105,15 +134,11 @@ def ranked(df: DataFrame, order: list[Column], pool: int = POOL) -> DataFrame:
 
 def lexical(docs: DataFrame, terms: list[str], phrases: list[str] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, hits, all_terms, needle, tf): rows with a phrase or any of the folded terms, and what they are ordered by."""
-    words = tx.tokens(F.col(text))
-    body = tx.fold_lower(F.col(text))
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    scored = docs.select(key, words.alias("words"), body.alias("body")).select(
-        key,
-        F.size(F.array_intersect(wanted, F.col("words"))).alias("hits"),
-        F.size(F.filter("words", lambda w: w.isin(*terms) if terms else F.lit(False))).alias("tf"),
-        (sum((F.contains("body", F.lit(p)).cast("int") for p in phrases), F.lit(0)) > 0).alias("needle"),
-    )
+    needle = F.lit(False)
+    for p in phrases:
+        needle = needle | F.contains(tx.fold_lower(F.col(text)), F.lit(p))
+    found = docs.select(key, tx.term_hits(F.col(text), terms).alias("found"), F.coalesce(needle, F.lit(False)).alias("needle"))
+    scored = found.select(key, F.size(F.array_distinct("found")).alias("hits"), F.size("found").alias("tf"), "needle")
     return scored.where("hits > 0 or needle").withColumn("all_terms", F.col("hits") == len(set(terms)))
 
 
@@ -121,13 +146,11 @@ def lexical_order(key: str = "doc_id") -> list[Column]:
     return [F.desc("needle"), F.desc("all_terms"), F.desc("hits"), F.desc("tf"), F.asc(key)]
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, bm25) of rows with any term: one pass for the statistics (a row), one for the scores."""
-    counted = docs.select(key, tx.tokens(F.col(text)).alias("words")).select(key, F.size("words").alias("size"), *(_count("words", t).alias(f"t{i}") for i, t in enumerate(terms)))
+    """(key, bm25) of rows with any term.  Texts are read once, into a narrow table of sizes and counts; statistics (a row) and scores come from that."""
+    found = docs.select(key, tx.n_tokens(F.col(text)).alias("size"), tx.term_hits(F.col(text), terms).alias("found"))
+    count = lambda t: F.size(F.filter("found", lambda w: w == t))
+    counted = staged(found.select(key, F.coalesce("size", F.lit(0)).alias("size"), *(F.when(F.size("found") > 0, count(t)).otherwise(0).alias(f"t{i}") for i, t in enumerate(terms))), "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -150,12 +173,15 @@ def hybrid(vectors: DataFrame, docs: DataFrame, query: list[float], terms: list[
 
 def local_rerank(hits: DataFrame, query: str, text: str = "text", prior: str | None = None) -> DataFrame:
     """``hits`` with rerank_score: coverage, Jaccard and a bonus for the phrase, blended with a prior if one is given."""
-    q = F.array_distinct(tx.tokens(F.lit(query)))
-    own = tx.tokens(F.col(text))
-    both, all_ = F.size(F.array_intersect(q, own)), F.size(F.array_union(q, own))
-    phrase = F.contains(F.array_join(own, " "), F.array_join(tx.tokens(F.lit(query)), " "))
-    score = F.when((F.size(q) > 0) & (F.size(own) > 0), RERANK[0] * both / F.size(q) + RERANK[1] * both / all_ + F.when(phrase, RERANK[2]).otherwise(0.0)).otherwise(0.0)
-    out = hits.withColumn("rerank_score", F.round(score, 4))
+    words = tx.words_of(query)
+    q = list(dict.fromkeys(words))
+    if not q:
+        out = hits.withColumn("rerank_score", F.lit(0.0))
+    else:
+        marked = hits.withColumn("__own", tx.distinct_tokens(F.col(text))).withColumn("__both", F.size(F.array_intersect(F.array(*map(F.lit, q)), "__own"))).withColumn("__n", F.size("__own"))
+        both, phrase = F.col("__both"), F.rlike(text, F.lit(tx.phrase_pattern(words)))
+        score = RERANK[0] * both / len(q) + RERANK[1] * both / (F.col("__n") + len(q) - both) + F.when(phrase, RERANK[2]).otherwise(0.0)
+        out = marked.withColumn("rerank_score", F.round(F.when(F.col("__n") > 0, score).otherwise(0.0), 4)).drop("__own", "__both", "__n")
     if prior:
         top = F.max(prior).over(W.partitionBy())
         out = out.withColumn("rerank_score", F.round(PRIOR[0] * F.col("rerank_score") + F.when(top > 0, PRIOR[1] * F.col(prior) / top).otherwise(0.0), 4))
@@ -197,7 +223,7 @@ def mmr(hits: DataFrame, k: int = 10, weight: float = 0.7, group: str = "query",
 
 def expand_neighbours(hits: DataFrame, units: DataFrame, relations: DataFrame, per_node: int = 5, nodes: int = 5) -> DataFrame:
     """One step along relations (source_unit, target_unit, relation_type) from hit units, either way, each neighbour once."""
-    start = hits.select("unit_id").limit(nodes)
+    start = hits.orderBy(*(["rank"] if "rank" in hits.columns else []), "unit_id").select("unit_id").limit(nodes)
     out = relations.join(start, relations["source_unit"] == start["unit_id"]).select(F.col("target_unit").alias("unit_id"), "relation_type", F.lit("out").alias("direction"))
     into = relations.join(start, relations["target_unit"] == start["unit_id"]).select(F.col("source_unit").alias("unit_id"), "relation_type", F.lit("in").alias("direction"))
     return out.unionByName(into).dropDuplicates().join(units, "unit_id", "left").orderBy("unit_id", "relation_type", "direction").limit(per_node * nodes * 2)
@@ -214,12 +240,9 @@ def route(units: DataFrame, number: str, article: str) -> DataFrame:
 def content_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k: int = 20) -> DataFrame:
     """(key, step, hits): rows with all terms; where there are none, rows with any; where there are none, rows that contain one of
     the first three longer terms.  One pass marks all three, and the least step that has rows is kept."""
-    body = tx.fold_lower(F.col(text))
-    part = F.lit(False)
-    for t in [t for t in terms if len(t) > 2][:3]:
-        part = part | F.contains(body, F.lit(t))
-    hits = F.size(F.array_intersect(F.array(*map(F.lit, terms)), tx.tokens(F.col(text))))
-    marked = docs.select(key, hits.alias("hits"), part.alias("part"))
+    longer = [t for t in terms if len(t) > 2][:3]
+    part = F.rlike(text, F.lit(tx.any_term(longer, False))) if longer else F.lit(False)
+    marked = docs.select(key, tx.term_hits(F.col(text), terms).alias("found"), part.alias("part")).select(key, F.size(F.array_distinct("found")).alias("hits"), "part")
     stepped = marked.withColumn("step", F.when(F.col("hits") == len(set(terms)), 1).when(F.col("hits") > 0, 2).when(F.col("part"), 3)).where("step is not null")
     first = stepped.groupBy("step").agg(F.min(F.lit(0)).alias("z")).agg(F.min("step").alias("least"))  # one row
     return stepped.join(F.broadcast(first), F.col("step") == F.col("least"), "left_semi").orderBy(F.desc("hits"), key).limit(k).select(key, "step", "hits")

@@ -26,20 +26,19 @@ class KnowledgeEngine:
         self.vectors = vectors if vectors is None or visible is None else vectors.join(self.documents.select("doc_id"), "doc_id", "left_semi")
         self.pages, self.embed = pages, embed
 
-    def terms(self, query: str) -> list[str]:
-        """The query's terms; one row, made where queries are."""
+    def terms(self, query: str) -> tuple[list[str], list[str]]:
+        """The query's terms, set phrases as their words, and its quoted phrases; one row, made where queries are."""
         found = self.spark.range(1).select(tx.keyword_terms(F.lit(query)).alias("t"), tx.quoted_phrases(F.lit(query)).alias("q")).first()
-        self._phrases = found.q
-        return [w for t in found.t for w in t.split("_")]
+        return [w for t in found.t for w in t.split("_")], list(found.q)
 
     def search(self, query: str, k: int = 10) -> DataFrame:
         """Vector and lexical hits, fused, reranked and cut at the threshold."""
         k = min(50, max(1, k))
-        terms = self.terms(query)
+        terms, phrases = self.terms(query)
         if self.vectors is not None and self.embed is not None:
-            hits = search.hybrid(self.vectors, self.documents, self.embed(query), terms, self._phrases, 2 * k)
+            hits = search.hybrid(self.vectors, self.documents, self.embed(query), terms, phrases, 2 * k)
         else:
-            words = search.ranked(search.lexical(self.documents, terms, self._phrases), search.lexical_order())
+            words = search.ranked(search.lexical(self.documents, terms, phrases), search.lexical_order())
             hits = search.rrf([words], "doc_id").orderBy(F.desc("rrf"), "doc_id").limit(2 * k)
         full = self.documents.join(F.broadcast(hits), "doc_id")  # 100 rows at most
         ranked = search.pass_threshold(search.local_rerank(full, query, prior="rrf"))
@@ -77,5 +76,4 @@ class KnowledgeEngine:
         return legal.relations(self.documents, "doc_id", "text")
 
     def sql(self, statement: str, tables: dict[str, DataFrame], rows: int = guard.ROWS) -> DataFrame:
-        names = [n for name, df in tables.items() for n in guard.register(df, name)]
-        return guard.run(self.spark, statement, names, rows)
+        return guard.query(self.spark, statement, tables, rows)

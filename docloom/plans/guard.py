@@ -1,13 +1,18 @@
-"""Read-only SQL over registered tables.
+"""Read-only SQL over given tables.
 
-Spark's own parser reads the statement, so a keyword inside a string is no matter: commands are refused, as are relations that
-are not registered and table functions; the row limit is set on the result.
+Spark's own parser reads the statement, so a keyword inside a string is no matter.  What may run is listed, not what may not:
+kinds of plan nodes, functions, and relations.  So commands, scripts, files as tables, table functions, hints and functions that
+reach outside the data (such as calls of Java methods) are refused, wherever in the statement they stand; the row limit is set on
+the result.  The parser is that of a classic session.
 """
 
 from __future__ import annotations
 
 import re
+import threading
+from collections.abc import Iterator
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +20,27 @@ from docloom.functions import text as tx
 
 #: Rows by default and at most.
 ROWS, MOST = 50, 100
+NODES = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Union Distinct Except Intersect SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving "
+    "WithWindowDefinition UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedSubqueryColumnAliases Pivot Unpivot".split()
+)
+FUNCTIONS = frozenset(
+    """count sum avg mean min max min_by max_by any_value first last stddev stddev_pop stddev_samp variance var_pop var_samp median percentile percentile_approx approx_count_distinct
+    count_if bool_and bool_or every some any collect_list collect_set array_agg listagg string_agg mode corr skewness kurtosis grouping
+    row_number rank dense_rank percent_rank ntile lag lead first_value last_value nth_value cume_dist
+    abs ceil ceiling floor round bround sign sqrt cbrt exp ln log log2 log10 power pow mod pmod greatest least sin cos tan pi div negative positive
+    coalesce ifnull nvl nvl2 nullif nullifzero zeroifnull if iff isnull isnotnull isnan decode equal_null
+    lower lcase upper ucase trim ltrim rtrim btrim length char_length character_length len concat concat_ws substring substr substring_index left right lpad rpad repeat reverse replace
+    translate initcap instr locate position startswith endswith contains split split_part like ilike rlike regexp regexp_like regexp_extract regexp_extract_all regexp_replace regexp_count regexp_substr
+    levenshtein format_number to_number try_to_number cast try_cast string int bigint double float decimal boolean date timestamp tinyint smallint binary
+    current_date current_timestamp now date_add date_sub dateadd datediff date_diff add_months months_between date_trunc trunc date_format to_date to_timestamp try_to_timestamp year
+    quarter month day dayofmonth dayofweek dayofyear weekday weekofyear hour minute second last_day next_day make_date extract date_part unix_timestamp from_unixtime
+    array map struct named_struct size cardinality element_at try_element_at get array_contains array_distinct array_except array_intersect array_join array_max array_min array_position
+    array_sort sort_array array_union arrays_overlap slice sequence flatten transform filter exists forall aggregate map_keys map_values get_json_object to_json
+    and or not in when between try_add try_subtract try_multiply try_divide md5 sha1 sha2 crc32 hash xxhash64""".split()
+)
+_views = threading.Lock()
+_CATALYST = "org.apache.spark.sql.catalyst."
 
 
 class Refused(ValueError):
@@ -32,16 +58,39 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def register(df: DataFrame, name: str) -> list[str]:
-    """Views of a table under its safe name and its bare lower-case one."""
+def table_names(name: str) -> list[str]:
+    """A table's safe name and its bare lower-case one."""
     safe = re.sub(r"\W+", "_", name).strip("_") or "sheet"
     bare = "".join(dict(zip(*tx.fold_table())).get(ch, ch) for ch in safe).lower()
-    names = list(dict.fromkeys([safe, bare]))
+    return list(dict.fromkeys([safe, bare]))
+
+
+def register(df: DataFrame, name: str) -> list[str]:
+    """Views of a table under its names, for the session; ``query`` makes none that last."""
+    names = table_names(name)
     for n in names:
         clean_names(df).createOrReplaceTempView(f"`{n}`")
     return names
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _walk(gateway, root) -> Iterator[tuple[object, str, bool]]:
+    """(node, class, whether it is a plan) of every plan and expression under ``root``, those of subqueries and named queries, too."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        is_plan = is_instance_of(gateway, node, _CATALYST + "plans.logical.LogicalPlan")
+        yield node, node.getClass().getSimpleName(), is_plan
+        todo += _items(node.children().toList())
+        if is_plan:
+            todo += _items(node.expressions().toList()) + [x for x in _items(node.innerChildren().toList()) if is_instance_of(gateway, x, _CATALYST + "plans.logical.LogicalPlan")]
+        elif is_instance_of(gateway, node, _CATALYST + "expressions.PlanExpression"):
+            todo.append(node.plan())
+
+
 def check(spark: SparkSession, sql: str, tables: list[str]) -> None:
     if not sql or not sql.strip():
         raise Refused("empty statement")
@@ -49,22 +98,46 @@ def check(spark: SparkSession, sql: str, tables: list[str]) -> None:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise Refused(f"not a statement: {str(e)[:300]}") from None
-    tree = plan.toString()
-    top = plan.getClass().getSimpleName()
-    if plan.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical.Command") or top.startswith(("Create", "Drop", "Insert", "Alter", "Delete", "Update", "Merge", "Set", "Show", "Add", "Cache", "Clear", "Refresh", "Load", "Truncate", "Describe", "Explain", "Use", "Repair", "Analyze", "Uncache", "Comment", "Overwrite", "Append", "Replace", "Rename", "Reset", "Unresolved")) and top not in ("UnresolvedWith", "UnresolvedHaving"):
-        raise Refused(f"only queries may run: {top}")
-    known = {t.lower() for t in tables} | {m.lower() for m in re.findall(r"(?i)CTE \[(.*?)\]", tree) for m in re.split(r",\s*", m)}
-    for names in re.findall(r"'?UnresolvedRelation \[([^\]]*)\]", tree):
-        if names.lower() not in known:
-            raise Refused(f"no such table: {names}")
-    if "UnresolvedTableValuedFunction" in tree:
-        raise Refused("table functions may not be called")
+    found = list(_walk(spark.sparkContext._gateway, plan))
+    known = {t.lower() for t in tables}
+    for node, kind, _ in found:
+        if kind == "UnresolvedWith":
+            known |= {x._1().lower() for x in _items(node.cteRelations().toList())}
+    for node, kind, is_plan in found:
+        if is_plan and kind not in NODES:
+            raise Refused(f"only queries over the tables may run: {kind}")
+        if kind == "UnresolvedRelation":
+            parts = _items(node.multipartIdentifier().toList())
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise Refused(f"no such table: {'.'.join(parts)}")
+        elif kind == "UnresolvedFunction":
+            parts = _items(node.nameParts().toList())
+            if len(parts) != 1 or parts[0].lower() not in FUNCTIONS:
+                raise Refused(f"function may not be called: {'.'.join(parts)}")
+        elif not is_plan and ("UnresolvedIdentifier" in kind or "Generator" in kind or "Callable" in kind):
+            raise Refused(f"may not be called: {kind}")
 
 
 def run(spark: SparkSession, sql: str, tables: list[str], rows: int = ROWS) -> DataFrame:
-    """The statement's result, of at most ``rows`` rows; Refused if it may not run."""
+    """The statement's result over registered tables, of at most ``rows`` rows; Refused if it may not run."""
     check(spark, sql, tables)
     try:
         return spark.sql(sql).limit(min(MOST, max(1, rows)))
     except PySparkException as e:
         raise Refused(str(e)[:500]) from None
+
+
+def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], rows: int = ROWS) -> DataFrame:
+    """Like ``run`` over tables that no other statement sees: their views last for its analysis only, and hide none for longer."""
+    with _views:
+        hidden = {n: spark.table(f"`{n}`") for name in tables for n in table_names(name) if any(t.isTemporary and t.name.lower() == n.lower() for t in spark.catalog.listTables(pattern=n))}
+        names: list[str] = []
+        try:
+            for name, df in tables.items():
+                names += register(df, name)
+            return run(spark, sql, names, rows)
+        finally:
+            for n in names:
+                spark.catalog.dropTempView(n)
+            for n, df in hidden.items():
+                df.createOrReplaceTempView(f"`{n}`")

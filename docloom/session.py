@@ -1,12 +1,13 @@
-"""Sessions: sending this package to the workers."""
+"""Sessions: sending this package to the workers, and tables between jobs."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HOME = Path(__file__).resolve().parent
 
@@ -22,3 +23,36 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         sc._docloom_sent = str(path)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); also set as the checkpoint folder.
+
+    Where none is set, a temporary one serves a local session; on a cluster that is an error, for executors would write to
+    their own disks.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if found is None:
+        own = sc._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+            own = sc._jsc.sc().getCheckpointDir()
+        found = own.get()
+    return found.rstrip("/")
+
+
+def staged(df: DataFrame, what: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the tables that this application has staged; results that still read from them can't be computed after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
