@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import ship
+from docloom.session import shared_dir, ship, staged
+
+__all__ = ["SPACES", "ascii_lower", "shared_dir", "staged", "table", "words"]
 
 #: Characters between words: space and \\t \\n \\v \\f \\r.  ``bytes.split()`` uses just these.
 SPACES = "[\\x20\\x09-\\x0D]"
@@ -28,24 +27,3 @@ def words(c: Column) -> Column:
     """The words of a text; an empty text gives one empty string."""
     trimmed = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.split(trimmed, SPACES + "+")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-            own = sc._jsc.sc().getCheckpointDir()
-        found = own.get()
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
