@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,10 +180,11 @@ def local_rerank(hits: DataFrame, query: str, text: str = "text", prior: str | N
     if not q:
         out = hits.withColumn("rerank_score", F.lit(0.0))
     else:
-        marked = hits.withColumn("__own", tx.distinct_tokens(F.col(text))).withColumn("__both", F.size(F.array_intersect(F.array(*map(F.lit, q)), "__own"))).withColumn("__n", F.size("__own"))
-        both, phrase = F.col("__both"), F.rlike(text, F.lit(tx.phrase_pattern(words)))
+        folded = hits.withColumn("__text", tx.fold_lower(F.col(text)))
+        marked = folded.withColumn("__own", F.array_distinct(tx.words_in(F.col("__text")))).withColumn("__both", F.size(F.array_intersect(F.array(*map(F.lit, q)), "__own"))).withColumn("__n", F.size("__own"))
+        both, phrase = F.col("__both"), F.rlike("__text", F.lit(tx.phrase_pattern(words)))
         score = RERANK[0] * both / len(q) + RERANK[1] * both / (F.col("__n") + len(q) - both) + F.when(phrase, RERANK[2]).otherwise(0.0)
-        out = marked.withColumn("rerank_score", F.round(F.when(F.col("__n") > 0, score).otherwise(0.0), 4)).drop("__own", "__both", "__n")
+        out = marked.withColumn("rerank_score", F.round(F.when(F.col("__n") > 0, score).otherwise(0.0), 4)).drop("__text", "__own", "__both", "__n")
     if prior:
         top = F.max(prior).over(W.partitionBy())
         out = out.withColumn("rerank_score", F.round(PRIOR[0] * F.col("rerank_score") + F.when(top > 0, PRIOR[1] * F.col(prior) / top).otherwise(0.0), 4))
@@ -241,8 +244,9 @@ def content_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text:
     """(key, step, hits): rows with all terms; where there are none, rows with any; where there are none, rows that contain one of
     the first three longer terms.  One pass marks all three, and the least step that has rows is kept."""
     longer = [t for t in terms if len(t) > 2][:3]
-    part = F.rlike(text, F.lit(tx.any_term(longer, False))) if longer else F.lit(False)
-    marked = docs.select(key, tx.term_hits(F.col(text), terms).alias("found"), part.alias("part")).select(key, F.size(F.array_distinct("found")).alias("hits"), "part")
+    part = F.rlike("folded", F.lit("|".join(map(re.escape, longer)))) if longer else F.lit(False)
+    body = docs.select(key, tx.fold_lower(F.col(text)).alias("folded"))
+    marked = body.select(key, F.size(F.array_intersect(F.array(*map(F.lit, terms)), tx.words_in(F.col("folded")))).alias("hits"), part.alias("part"))
     stepped = marked.withColumn("step", F.when(F.col("hits") == len(set(terms)), 1).when(F.col("hits") > 0, 2).when(F.col("part"), 3)).where("step is not null")
     first = stepped.groupBy("step").agg(F.min(F.lit(0)).alias("z")).agg(F.min("step").alias("least"))  # one row
     return stepped.join(F.broadcast(first), F.col("step") == F.col("least"), "left_semi").orderBy(F.desc("hits"), key).limit(k).select(key, "step", "hits")
