@@ -183,3 +183,31 @@ def export_rows(metrics: DataFrame) -> DataFrame:
     """Rows of the CSV export: null is empty."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return metrics.select(F.date_format("day", "yyyy-MM-dd").alias("date"), "metric_key", blank("dimensions").alias("dimensions_json"), blank("value_numeric").alias("value_numeric"), blank("value_json").alias("value_json"))
+
+
+def stage_totals(timings: DataFrame, key: str = "source_id") -> DataFrame:
+    """(key, n_stages, total_ms, slowest) of stage timings (key, stage, duration_ms)."""
+    by = timings.groupBy(key, "stage").agg(F.sum("duration_ms").alias("ms"))
+    return by.groupBy(key).agg(F.count("*").alias("n_stages"), F.sum("ms").alias("total_ms"), F.max_by("stage", F.struct("ms", "stage")).alias("slowest"))
+
+
+def per_source(pages: DataFrame, images: DataFrame, sources: str = "source_ids", key: str = "source_id") -> DataFrame:
+    """(key, n_pages, n_images): pages that name a source among theirs, and images of it; either may be absent."""
+    named = pages.select(F.explode(F.array_distinct(sources)).alias(key)).groupBy(key).agg(F.count("*").alias("n_pages"))
+    shown = images.groupBy(key).agg(F.count("*").alias("n_images"))
+    return named.join(shown, key, "full_outer").select(key, F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_images", F.lit(0)).alias("n_images"))
+
+
+#: Replies that tell of no result, forms in which a reply tells how many there are, and tools that read one thing.
+NO_RESULT = ["no wiki pages found", "no sources found", "no results", "no pages found", "no drafts pending"]
+COUNTED = [r"(\d+)\s+result\(s\)", r"(\d+)\s+pages?\s+found", r"(\d+)\s+sources?\s+found", r"(\d+)\s+drafts?\s+pending", r"\b(\d+)\s+matches?\b"]
+ONE_RESULT = ["read_wiki_page", "get_source"]
+
+
+def result_count(reply: Column, tool: Column, status: Column) -> Column:
+    """How many results a logged reply tells of: none by a hint, else the first count in it, else one for reading tools that went well."""
+    told = F.coalesce(*(F.nullif(F.regexp_extract(reply, p, 1), F.lit("")) for p in COUNTED)).try_cast("int")
+    none = F.lit(False)
+    for hint in NO_RESULT:
+        none = none | F.contains(F.lower(reply), F.lit(hint))
+    return F.when(reply.isNull(), None).when(none, 0).otherwise(F.coalesce(told, F.when(tool.isin(*ONE_RESULT) & (status == "ok"), 1)))

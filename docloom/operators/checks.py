@@ -168,3 +168,60 @@ def islands(hits: DataFrame, group: str, index: str, text: str, score: str) -> D
     run = F.col(index) - F.row_number().over(W.partitionBy(group).orderBy(index))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(index), F.col(text)))), lambda x: x[text])
     return hits.withColumn("__run", run).groupBy(group, "__run").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.array_join(parts, "\n\n").alias(text), F.max(score).alias(score)).drop("__run")
+
+
+#: Outcomes of a check, and how much of a draft a proofread text keeps, adds and grows at most.
+STATUSES = ["pass", "warn", "fail", "skipped"]
+KEPT, NEW, GROWTH = 0.7, 0.35, (1.6, 200)
+
+
+def check_summary(checks: DataFrame, key: str) -> DataFrame:
+    """(key, pass, warn, fail, skipped): how many checks (key, check_id, status) of each outcome; none is a pass, unknown ones count nowhere."""
+    status = F.coalesce("status", F.lit("pass"))
+    return checks.groupBy(key).agg(*(F.count_if(status == s).alias(s) for s in STATUSES))
+
+
+def merge_checks(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
+    """``base`` with ``extra`` in place of checks of the same (key, check_id)."""
+    return base.join(extra.select(key, "check_id").distinct(), [key, "check_id"], "left_anti").unionByName(extra.select(*base.columns))
+
+
+def proofread_drift(draft: Column, refined: Column) -> Column:
+    """Why a text is no proofread of its draft (too_long, draft_not_kept, too_much_new_text), or null."""
+    long = F.length(refined) > F.length(draft) * GROWTH[0] + GROWTH[1]
+    a, b = tx.tokens(draft), tx.tokens(refined)
+    same = F.pandas_udf(_words_kept, "int")(a, b)
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(long, "too_long").when(empty, None).when(same / F.size(a) < KEPT, "draft_not_kept").when((F.size(b) - same) / F.size(b) > NEW, "too_much_new_text")
+
+
+def _words_kept(a: pd.Series, b: pd.Series) -> pd.Series:
+    from difflib import SequenceMatcher
+
+    def common(x, y) -> int:
+        return sum(m.size for m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_matching_blocks())
+
+    return pd.Series([0 if x is None or y is None else common(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def trim_repetition(c: Column) -> Column:
+    """A text without the loop that it ends in, but for the loop's first turn; other texts stay."""
+    return F.pandas_udf(_trimmed, "string")(c)
+
+
+def _trimmed(s: pd.Series) -> pd.Series:
+    def trim(text: str | None) -> str | None:
+        import numpy as np
+
+        if not text or len(text) < SPAN:
+            return text
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n, keep = len(codes), None
+        for period in range(1, min(PERIOD, n // CYCLES) + 1):
+            differs = np.flatnonzero(codes[period:] != codes[:-period])
+            start = int(differs[-1]) + 1 if len(differs) else 0  # from here to the end each equals the one a period on
+            if n - start >= max(SPAN, period * CYCLES) and (keep is None or start + period < keep):
+                keep = start + period
+        return text if keep is None else text[:keep].rstrip()
+
+    return s.map(trim)

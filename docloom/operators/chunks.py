@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.consolidate import in_order_batches
+
 #: Characters of a chunk, of its overlap, and the least of one; of a chunk for extraction and its overlap.
 SIZE, OVERLAP, LEAST = 2000, 200, 50
 EXTRACT, EXTRACT_OVERLAP = 20_000, 1_000
@@ -160,3 +162,55 @@ def repeated_edges(pages: DataFrame, doc: str, page: str, text: str, share: floa
     counted = listed.where(F.size("l") > 0).select(doc, page, F.explode(edge).alias("line")).groupBy(doc, "line").agg(F.countDistinct(page).alias("n_pages"))
     sizes = pages.groupBy(doc).agg(F.countDistinct(page).alias("__n"))
     return counted.join(sizes, doc).where(F.col("n_pages") >= F.greatest(F.lit(least), (F.col("__n") * share).cast("int"))).drop("__n")
+
+
+#: What stands before the end of the chunk before, and where numbers of chunks of questions and of images begin.
+BEFORE = "[CONTEXT FROM PREVIOUS SECTION]\n"
+QUESTIONS, IMAGES = 70_000, 80_000
+CUT = "\n\n[…truncated…]"
+
+
+def extraction_chunks(docs: DataFrame, doc: str, text: str, size: int = EXTRACT, overlap: int = EXTRACT_OVERLAP) -> DataFrame:
+    """(doc, chunk_index, start, end, path, chunk, prefix): texts packed along headings of levels 1 and 2 into chunks of ``size`` characters.
+
+    Sections run from heading to heading, the first from the start; a chunk ends before the section that would not fit, so a
+    longer section is a chunk by itself.  Texts without such headings are cut every ``size``.  prefix is how many characters at
+    the head of chunk are the end of the one before, for context; start and end leave them out.
+    """
+    c = F.col
+    heads = outline(docs, doc, text).where("level <= 2").select(doc, "start", "title")
+    w = W.partitionBy(doc).orderBy("start")
+    long = docs.where(F.length(text) > 0).select(doc, F.length(text).alias("n"))
+    cut = heads.join(long, doc).withColumn("idx", F.row_number().over(w) - 1)
+    cut = cut.withColumn("end", F.coalesce(F.lead("start").over(w), c("n"))).withColumn("start", F.when(c("idx") == 0, 0).otherwise(c("start")))
+    batches = in_order_batches(cut.withColumn("size", c("end") - c("start")).select(doc, "idx", "start", "end", "title", "size"), doc, "size", "idx", size)
+    along = batches.groupBy(doc, c("batch").alias("chunk_index")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "title"))), lambda x: x["title"]), " > ").alias("path"))
+    bare = long.join(heads.select(doc).distinct(), doc, "left_anti")
+    even = bare.select(doc, "n", F.posexplode(F.sequence(F.lit(0), F.floor((c("n") - 1) / size).cast("int") * size, F.lit(size))).alias("chunk_index", "start"))
+    even = even.select(doc, "chunk_index", "start", F.least(c("start") + size, "n").alias("end"), F.concat(F.lit("chunk_"), c("chunk_index").cast("string")).alias("path"))
+    full = along.unionByName(even).join(docs.select(doc, c(text).alias("__text")), doc)
+    first = F.greatest(F.lit(0), c("start") - overlap)
+    prefix = F.when(c("chunk_index") > 0, F.concat(F.lit(BEFORE), F.substring(c("__text"), first + 1, c("start") - first), F.lit("\n"))).otherwise("")
+    return full.select(doc, "chunk_index", "start", "end", "path", F.concat(prefix, F.substring(c("__text"), c("start") + 1, c("end") - c("start"))).alias("chunk"), F.length(prefix).alias("prefix"))
+
+
+def page_slices(full: DataFrame, doc: str, numbers: list[int]) -> DataFrame:
+    """(doc, page, content) of pages by number, from 1, of assembled texts (doc, full_text, page_offsets); numbers beyond them have no row."""
+    c = F.col
+    asked = full.select(doc, "full_text", "page_offsets", F.explode(F.array(*map(F.lit, dict.fromkeys(numbers))).cast("array<int>")).alias("page")).where((c("page") >= 1) & (c("page") <= F.size("page_offsets")))
+    start = F.get("page_offsets", c("page") - 1)
+    end = F.coalesce(F.get("page_offsets", c("page")) - 2, F.length("full_text"))
+    return asked.select(doc, "page", F.substring(c("full_text"), start + 1, end - start).alias("content"))
+
+
+def slice_of(text: Column, start: Column, end: Column, longest: int | None = None) -> Column:
+    """A section's text; what is over ``longest`` is cut off and marked."""
+    own = F.substring(text, start + 1, end - start)
+    return own if longest is None else F.when(F.length(own) > longest, F.concat(F.substring(own, 1, longest), F.lit(CUT))).otherwise(own)
+
+
+def question_chunks(questions: DataFrame, doc: str, page: Column, question: Column, preview: Column) -> DataFrame:
+    """(doc, chunk_index, chunk): generated questions as chunks of their own, numbered in order (``idx``) from 70,000."""
+    about = F.substring(F.trim(F.replace(F.coalesce(preview, F.lit("")), F.lit("\n"), F.lit(" "))), 1, 300)
+    text = F.concat(F.lit("[câu_hỏi_tìm_kiếm | Trang "), page.cast("string"), F.lit("]: "), question, F.when(about != "", F.concat(F.lit("\n\nNội dung liên quan: "), about)).otherwise(""))
+    return questions.select(doc, (F.row_number().over(W.partitionBy(doc).orderBy("idx")) - 1 + QUESTIONS).alias("chunk_index"), text.alias("chunk"))

@@ -188,3 +188,79 @@ def extract(chunks: DataFrame, model, doc: str, text: str, done: DataFrame | Non
 
     made = todo.select(F.col(doc).alias("d"), "chunk_index", F.col(text).alias("t")).mapInPandas(run, f"d {chunks.schema[doc].dataType.simpleString()}, chunk_index int, answer string")
     return made.withColumnRenamed("d", doc).withColumn("parsed", tx.loose_json(F.col("answer")))
+
+
+ITEMS = "struct<entities:array<struct<name:string,type:string,local_offset:int>>,concepts:array<struct<term:string,definition_excerpt:string,local_offset:int>>,claims:array<struct<text:string,local_offset:int>>>"
+
+
+def collect_items(extracts: DataFrame, doc: str) -> DataFrame:
+    """(doc, chunk_index, kind, term, definition, offset) of ``extracts`` (doc, chunk_index, start, answer), one row an item.
+
+    Entities become concepts whose definition is their type.  Offsets are those of the document: the chunk's start and the item's
+    place in it, not below nought.  An answer that is no JSON object has no items.
+    """
+    a = F.from_json("answer", ITEMS)
+
+    def of(xs, kind, term, text):
+        return F.coalesce(F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), F.coalesce(term(x), F.lit("")).alias("term"), text(x).alias("definition"), F.greatest(F.lit(0), F.coalesce(x["local_offset"], F.lit(0))).alias("at"))), F.array())
+
+    found = F.concat(
+        of(a["entities"], "concept", lambda x: x["name"], lambda x: F.coalesce(x["type"], F.lit("other"))),
+        of(a["concepts"], "concept", lambda x: x["term"], lambda x: x["definition_excerpt"]),
+        of(a["claims"], "claim", lambda x: x["text"], lambda x: F.lit(None).cast("string")),
+    )
+    return extracts.select(doc, "chunk_index", "start", F.explode(found).alias("i")).select(doc, "chunk_index", "i.kind", "i.term", "i.definition", (F.col("start") + F.col("i.at")).alias("offset"))
+
+
+def fold_classes(concepts: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame:
+    """(cluster, kept, term, definition, mentions, n): one concept for each class.
+
+    ``concepts`` (key, term, definition, mentions), ``classes`` (key, cluster).  The one with most mentions, the first of equals,
+    gives its name; the longest definition stays, that of the more mentioned of equals; mentions are summed.
+    """
+    c = F.col
+    size = F.length(F.coalesce("definition", F.lit("")))
+    first = F.struct("mentions", -c(key))
+    return concepts.join(classes.select(key, "cluster"), key).groupBy("cluster").agg(
+        F.max_by(key, first).alias("kept"), F.max_by("term", first).alias("term"), F.max_by("definition", F.struct(size, c("mentions"), -c(key))).alias("definition"),
+        F.sum("mentions").alias("mentions"), F.count("*").alias("n"),
+    )
+
+
+#: By strategy, the least and most pages to plan, and concepts to a page.
+PAGES = {"single_pass": (3, 30, 2), "standard": (8, 80, 3), "hierarchical": (15, 200, 3)}
+#: What evidence inside a section counts, how far evidence beside it counts, and what each place further down costs.
+INSIDE, NEAR, LATER = 3.0, 5000, 0.02
+
+
+def target_pages(concepts: Column, strategy: Column) -> Column:
+    """How many pages to plan for so many concepts."""
+    of = lambda low, high, per: F.greatest(F.lit(low), F.least(F.lit(high), F.floor(concepts / per).cast("int")))
+    return F.when(strategy == "single_pass", of(*PAGES["single_pass"])).when(strategy == "standard", of(*PAGES["standard"])).otherwise(of(*PAGES["hierarchical"]))
+
+
+def section_scores(sections: DataFrame, hits: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``sections`` (doc, idx, start, end) with n_hits and score, for evidence (doc, pos).
+
+    Evidence inside counts 3 and 1, evidence beside it the less the further away, earlier sections a little more; in documents
+    without evidence each scores 1.
+    """
+    c = F.col
+    inside = (c("pos") >= c("start")) & (c("pos") < c("end"))
+    away = F.least(F.abs(c("pos") - c("start")), F.abs(c("pos") - c("end")))
+    near = F.when(inside, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - away / NEAR))
+    met = sections.join(hits.groupBy(doc, "pos").agg(F.count("*").alias("w")), doc, "left").groupBy(doc, "idx", "start", "end").agg(
+        F.coalesce(F.sum(F.when(inside, c("w"))), F.lit(0)).alias("n_hits"), F.sum(near * c("w")).alias("near")
+    )
+    bonus = F.greatest(F.lit(0.0), 1.0 - c("idx") * LATER)
+    return met.select(doc, "idx", "start", "end", "n_hits", F.when(c("near").isNull(), 1.0).otherwise(INSIDE * c("n_hits") + c("near") + bonus).alias("score"))
+
+
+def images_near(images: DataFrame, hits: DataFrame, doc: str = "doc_id", reach: int = 1500) -> DataFrame:
+    """(doc, image, away): images (doc, image, pos) within reach of evidence (doc, pos), each once with its least distance."""
+    w = W.partitionBy(doc).orderBy("pos")
+    spots = images.select(doc, "image", "pos").unionByName(hits.select(doc, F.lit(None).cast(images.schema["image"].dataType).alias("image"), "pos"))
+    known = F.when(F.col("image").isNull(), F.col("pos"))
+    sides = spots.withColumn("before", F.last(known, True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))).withColumn("after", F.first(known, True).over(w.rangeBetween(W.currentRow, W.unboundedFollowing)))
+    away = F.least(F.col("pos") - F.col("before"), F.col("after") - F.col("pos"))
+    return sides.where("image is not null").select(doc, "image", away.alias("away")).groupBy(doc, "image").agg(F.min("away").alias("away")).where(F.col("away") <= reach)

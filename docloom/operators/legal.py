@@ -41,6 +41,25 @@ def metadata(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, number.alias("doc_number"), issued.alias("issued_date"), dates.effective_date(c, issued).alias("effective_date"), F.size(F.array_distinct(F.transform(articles, lambda x: F.lower(x)))).alias("n_articles"))
 
 
+#: An article's heading within a line; its title begins with a capital.
+GLUED = r"(?<=\S)\s+(?=(\*\*)?_*Điều\s+\d+[a-z]?\.\s+[^\W\d_])"
+
+
+def _unglued(lines: list[str]) -> Iterator[str]:
+    """Lines in which a heading follows other text, cut before it: one in bold, or after nothing but capitals; quoted ones stay."""
+    for line in lines:
+        for m in re.finditer(GLUED, line):
+            before = re.sub(r"</?[a-zA-Z][^>]*>", "", line[: m.start()])
+            letters = [x for x in before if x.isalpha()]
+            title = re.match(r"[*_]*Điều\s+\d+[a-z]?\.\s+(\S)", line[m.end() :])
+            if letters and title and title[1].isupper() and not re.search("[“\"]", before) and (m[1] or all(x.isupper() for x in letters)):
+                yield line[: m.start()]
+                yield from _unglued([line[m.end() :]])
+                break
+        else:
+            yield line
+
+
 def parse_units(text: str) -> list[tuple]:
     """Chapters, articles, clauses and points in order; text in quotation marks (an amendment's wording) opens no unit.
 
@@ -49,7 +68,7 @@ def parse_units(text: str) -> list[tuple]:
     rows: list[list] = []
     chapter = article = clause = None
     quoted, last = False, 0
-    for line in text.split("\n"):
+    for line in _unglued(text.split("\n")):
         bare = re.sub(r"</?[a-zA-Z][^>]*>", "", re.sub(r"(?i)<sup>.*?</sup>", "", line))
         bare = re.sub(r"\*\*|__", "", re.sub(r"^(?:[#>]+\s*)+", "", bare)).strip()
         opens = bare.count("“") + bare.count("”") + bare.count('"')
@@ -153,3 +172,70 @@ def slugs(found: DataFrame) -> DataFrame:
     base = F.concat_ws("-", F.lit("dieu"), "article", tx.slugify(F.col("doc_number")))
     turn = F.row_number().over(W.partitionBy("__base").orderBy("unit_id"))
     return found.withColumn("__base", base).withColumn("slug", F.when(turn == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", turn.cast("string")))).drop("__base")
+
+
+#: Who issues acts, and kinds of acts; the first in this order whose line the head of a text has.
+AUTHORITIES = [
+    "Chính phủ", "Ủy ban Thường vụ Quốc hội", "Quốc hội", "Văn phòng Quốc hội", "Thủ tướng Chính phủ", "Bộ Công an", "Bộ Tư pháp", "Bộ Tài chính", "Bộ Xây dựng",
+    "Bộ Giao thông vận tải", "Tòa án nhân dân tối cao", "Viện kiểm sát nhân dân tối cao",
+]
+ACTS = ["Thông tư liên tịch", "Thông tư", "Nghị định", "Nghị quyết", "Quyết định", "Văn bản hợp nhất", "Pháp lệnh", "Bộ luật", "Luật", "Lệnh"]
+#: Fixed value: openings of the line that ends an act's title.
+AFTER_TITLE = r"Căn\s+cứ|Theo\s+đề\s+nghị|Để\s+thi\s+hành|Quy\s+định\s+này"
+TITLE = 250
+
+
+def identity(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, doc_type, authority, title, citation): what kind of act a text is, whose, its title and how it is cited; all built-in.
+
+    The title is what stands between the line with the kind and the preamble, on one line, 250 characters at most.
+    """
+    head = F.substring(F.col(text), 1, 4000)
+    line = lambda name: r"\s+".join(name.split())
+    first = lambda names, of, tail: F.coalesce(*(F.when(F.rlike(of, F.lit(rf"(?iu)(?:^|\n)[#>*_ \t]*{line(n)}{tail}")), n) for n in names))
+    kind = first(ACTS, head, r"[*_ \t]*(?:\n|$|\s+số|\s+\p{L})")
+    block = F.regexp_extract(head, rf"(?iu)(?:^|\n)[#>*_ \t]*(?:{'|'.join(map(line, ACTS))})[*_ \t]*\n([\s\S]*?)(?=\n[*_ \t]*(?:{AFTER_TITLE})|$)", 1)
+    title = F.nullif(F.trim(F.substring(F.regexp_replace(F.trim(block), r"[\s*_]+", " "), 1, TITLE)), F.lit(""))
+    number = F.try_element_at(F.regexp_extract_all(head, F.lit(NUMBER), F.lit(1)), F.lit(1))
+    return docs.select(key, kind.alias("doc_type"), first(AUTHORITIES, F.substring(head, 1, 700), r"[-\s*_]").alias("authority"), title.alias("title"), F.concat_ws(" ", kind, number).alias("citation"))
+
+
+def document_relations(found: DataFrame) -> DataFrame:
+    """(doc_number, direction, relation, other_number, article, clause, from_article, quote): each document's relations, both ways.
+
+    ``found`` has (source_number, source_article, relation, target_number, target_article, target_clause, quote).  What a document
+    says is outgoing; what others say about it is incoming, by number, case and blanks aside.
+    """
+    norm = lambda name: F.upper(F.trim(F.col(name)))
+    rest = ["relation", F.col("target_article").alias("article"), F.col("target_clause").alias("clause"), F.col("source_article").alias("from_article"), "quote"]
+    side = lambda own, way, other, rows: rows.select(norm(own).alias("doc_number"), F.lit(way).alias("direction"), norm(other).alias("other_number"), *rest)
+    foreign = found.where(F.col("target_number").isNotNull() & (norm("target_number") != F.coalesce(norm("source_number"), F.lit(""))))
+    return side("source_number", "outgoing", "target_number", found).unionByName(side("target_number", "incoming", "source_number", foreign))
+
+
+def unit_context(found: DataFrame, key: str) -> DataFrame:
+    """Units (of ``units``) with full_path and, for clauses and points, the title and content of their article."""
+    parts = [F.concat(F.lit("Chương "), "chapter"), F.concat(F.lit("Điều "), "article"), F.concat(F.lit("khoản "), "clause"), F.concat(F.lit("điểm "), "point")]
+    heads = found.where("clause is null and point is null").groupBy(key, "article").agg(F.min_by(F.struct("title", "content"), "seq").alias("a"))
+    inner = F.col("clause").isNotNull() | F.col("point").isNotNull()
+    return found.join(heads, [key, "article"], "left").select(*found.columns, F.concat_ws(" > ", *parts).alias("full_path"), F.when(inner, F.col("a.title")).alias("article_title"), F.when(inner, F.col("a.content")).alias("article_content"))
+
+
+#: Relations after which a unit is not what it was.
+CHANGES = ["sua_doi", "bo_sung", "thay_the", "bai_bo"]
+
+
+def unit_warnings(linked: DataFrame) -> DataFrame:
+    """(unit_id, relation, by_number, by_article, quote): units that others have changed, for relations with target_unit (of ``relink``)."""
+    changed = linked.where(F.col("target_unit").isNotNull() & F.col("relation").isin(*CHANGES))
+    return changed.select(F.col("target_unit").alias("unit_id"), "relation", F.coalesce("source_number", "target_number").alias("by_number"), F.col("source_article").alias("by_article"), "quote")
+
+
+def reextract(stored: DataFrame, articles: DataFrame, key: str) -> DataFrame:
+    """``stored`` relations (key, relation, target_number, target_article, target_clause, quote) with those of articles read anew.
+
+    ``articles`` has (key, content, doc_number).  Relations of preambles stay, as their text is not among the articles'.
+    """
+    fresh = relations(articles, key, "content", "doc_number").drop("seq")
+    kept = stored.where("relation = 'can_cu'").unionByName(stored.where("relation != 'can_cu'").join(articles.select(key).distinct(), key, "left_anti"))
+    return kept.unionByName(fresh.select(*stored.columns))

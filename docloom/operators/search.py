@@ -250,3 +250,12 @@ def content_search(docs: DataFrame, terms: list[str], key: str = "doc_id", text:
     stepped = marked.withColumn("step", F.when(F.col("hits") == len(set(terms)), 1).when(F.col("hits") > 0, 2).when(F.col("part"), 3)).where("step is not null")
     first = stepped.groupBy("step").agg(F.min(F.lit(0)).alias("z")).agg(F.min("step").alias("least"))  # one row
     return stepped.join(F.broadcast(first), F.col("step") == F.col("least"), "left_semi").orderBy(F.desc("hits"), key).limit(k).select(key, "step", "hits")
+
+
+#: From what cosine on a new page repeats an existing one, and how many of those are named.
+REPEATS, REPEATS_NAMED = 0.85, 5
+
+
+def semantic_duplicates(drafts: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query, match, similarity, rank): for each draft (vec_id, embedding) the pages most like it, five at most, of a cosine of 0.85 or more."""
+    return knn_join(drafts, pages, REPEATS_NAMED).where(F.col("similarity") >= REPEATS)

@@ -103,3 +103,50 @@ def delete_with_children(key: str, gone: DataFrame, **children: DataFrame) -> di
 def switch_model(vectors: DataFrame, made: DataFrame, spec: str, keys: list[str]) -> DataFrame:
     """Vectors after a switch of the model: those of the new one, made ones in place of older ones; all others go."""
     return upsert(vectors.where(F.col("model_spec") == spec), made.where(F.col("model_spec") == spec), keys)
+
+
+def rollback(pages: DataFrame, revisions: DataFrame, targets: DataFrame) -> DataFrame:
+    """(page_id, version, content, change_type, note, outcome): the revision that puts a page back to an earlier one.
+
+    ``pages`` (page_id, version, content), ``revisions`` (page_id, version, content), ``targets`` (page_id, target).  It is a new
+    version, one above the page's; where the page or the revision is not there, outcome is error and nothing is to be written.
+    """
+    old = revisions.select("page_id", F.col("version").alias("target"), F.col("content").alias("was")).dropDuplicates(["page_id", "target"])
+    now = pages.select("page_id", F.col("version").alias("current"))
+    met = targets.join(now, "page_id", "left").join(old.withColumn("found", F.lit(True)), ["page_id", "target"], "left")
+    fine = F.col("found") & F.col("current").isNotNull()
+    return met.select(
+        "page_id", F.when(fine, F.col("current") + 1).alias("version"), F.when(fine, F.col("was")).alias("content"), F.lit("rollback").alias("change_type"),
+        F.concat(F.lit("rollback to v"), F.col("target").cast("string")).alias("note"), F.when(fine, "restored").otherwise("error").alias("outcome"),
+    )
+
+
+def direct_edits(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """(page_id, version, content, outcome) of ``edits`` (page_id, base_version, content): applied, conflict (made on an older version), unchanged or error (no page)."""
+    now = pages.select("page_id", F.col("version").alias("current"), F.col("content").alias("was"))
+    met = edits.join(now, "page_id", "left")
+    outcome = F.when(F.col("current").isNull(), "error").when(F.col("base_version") < F.col("current"), "conflict").when(F.col("was").eqNullSafe(F.col("content")), "unchanged").otherwise("applied")
+    done = met.withColumn("outcome", outcome)
+    applied = F.col("outcome") == "applied"
+    return done.select("page_id", F.when(applied, F.col("current") + 1).otherwise(F.col("current")).alias("version"), F.when(applied, F.col("content")).otherwise(F.col("was")).alias("content"), "outcome")
+
+
+def resubmit(drafts: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rounds, drafts) when authors send drafts again: what was there before is kept as a round, and the draft is pending, a round further.
+
+    ``drafts`` (draft_id, author, status, round, content, returned_note), ``sent`` (draft_id, author, content).  Only drafts that
+    need revision, and only by their own author; other drafts stay as they are.
+    """
+    new = sent.select("draft_id", F.col("author").alias("__by"), F.col("content").alias("__new")).dropDuplicates(["draft_id"])
+    met = drafts.join(new, "draft_id", "left")
+    ok = F.coalesce((F.col("status") == "needs_revision") & (F.col("author").isNull() | (F.col("author") == F.col("__by"))) & F.col("__new").isNotNull(), F.lit(False))
+    met = met.withColumn("__ok", ok)
+    round_ = F.coalesce("round", F.lit(0))
+    rounds = met.where("__ok").select("draft_id", round_.alias("round_no"), "content", "returned_note")
+    after = {"status": F.lit("pending"), "round": round_ + 1, "content": F.col("__new"), "returned_note": F.lit(None).cast("string")}
+    return rounds, met.select(*(F.when(F.col("__ok"), after[n]).otherwise(F.col(n)).alias(n) if n in after else F.col(n) for n in drafts.columns))
+
+
+def outcome_counts(judged: DataFrame) -> DataFrame:
+    """One row: how many drafts of a bulk approval were approved, skipped, in conflict and in error."""
+    return judged.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("approved", "skipped", "conflict", "error")))

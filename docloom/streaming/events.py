@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.status import branch_status
 from docloom.operators.versions import overwrite_days
 
 DELAY = "1 day"
@@ -96,3 +97,21 @@ def latest_attempts(batch: DataFrame, key: str = "source_id", attempt: str = "at
 def write_days(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
     """Start a query that keeps a table by day up to date: late data overwrite their own keys."""
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: overwrite_days(path, df, keys) if not df.isEmpty() else None).start()
+
+
+def expired(events: DataFrame, state: str = "awaiting_approval", hours: int = 72, delay: str = DELAY) -> DataFrame:
+    """(source_id, state, since): sources that wait in a state for longer than allowed, to be deleted with what belongs to them."""
+    waits = events.withColumn("state", F.when(F.col("state") == state, F.col("state")).otherwise("ready"))
+    return stuck(waits, hours * 60, delay)
+
+
+def branch_statuses(events: DataFrame, delay: str = DELAY) -> DataFrame:
+    """(source_id, chunks, pages, verbatim, status): one status from the newest events (source_id, branch, status, ts, verbatim) of both branches.
+
+    An aggregate by source, in update mode: each event replaces an older one of its branch only, so no lock is needed and late
+    events change nothing.
+    """
+    last = lambda branch: F.max(F.when(F.col("branch") == branch, F.struct("ts", "status")))["status"].alias(f"{branch}s")
+    seen = events.withWatermark("ts", delay) if events.isStreaming else events
+    both = seen.groupBy("source_id").agg(last("chunk"), last("page"), F.bool_or("verbatim").alias("verbatim"))
+    return both.select("source_id", "chunks", "pages", "verbatim", branch_status(F.col("verbatim"), F.col("chunks"), F.col("pages")).alias("status"))
