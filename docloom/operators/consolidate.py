@@ -135,7 +135,10 @@ def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text:
     sized = known.withColumn("n", F.count("*").over(W.partitionBy("claim_id"))).withColumn("r", F.row_number().over(W.partitionBy("claim_id").orderBy("df", "w")))
     sized = staged(sized, "claims")
     found = sized.where(F.col("r") <= F.col("n") - least + 1).join(heard, "w").select("claim_id", doc).distinct()
-    return found.join(heard, doc).join(sized.select("claim_id", "w"), ["claim_id", "w"], "left_semi").groupBy("claim_id", doc).agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least)
+    # Each side's words meet as arrays, one row for a pair, so that pairs and their words are not multiplied out.
+    mine, theirs = sized.groupBy("claim_id").agg(F.collect_list("w").alias("cw")), heard.groupBy(doc).agg(F.collect_list("w").alias("dw"))
+    shared = F.size(F.array_intersect("cw", "dw")).cast("long")
+    return found.join(mine, "claim_id").join(theirs, doc).select("claim_id", doc, shared.alias("n_shared")).where(F.col("n_shared") >= least)
 
 
 def greedy_fill(sections: DataFrame, budget: int, doc: str = "doc_id", size: str = "size", tier: str = "tier", order: str = "idx") -> DataFrame:

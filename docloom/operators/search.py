@@ -232,6 +232,17 @@ def expand_neighbours(hits: DataFrame, units: DataFrame, relations: DataFrame, p
     return out.unionByName(into).dropDuplicates().join(units, "unit_id", "left").orderBy("unit_id", "relation_type", "direction").limit(per_node * nodes * 2)
 
 
+def expand_by_citation(hits: DataFrame, units: DataFrame, relations: DataFrame, per_node: int = 5, nodes: int = 5) -> DataFrame:
+    """One step from hit units along what they cite and what cites them, by document number and article where no unit was linked.
+
+    ``units`` has (unit_id, doc_number, unit_number), ``relations`` (source_unit, target_number, target_article, relation_type).
+    """
+    norm = lambda name: F.upper(F.trim(F.col(name)))
+    named = units.select(F.col("unit_id").alias("target_unit"), norm("doc_number").alias("__n"), F.lower("unit_number").alias("__a")).groupBy("__n", "__a").agg(F.min("target_unit").alias("target_unit"))
+    linked = relations.select("source_unit", "relation_type", norm("target_number").alias("__n"), F.lower("target_article").alias("__a")).join(named, ["__n", "__a"]).select("source_unit", "target_unit", "relation_type")
+    return expand_neighbours(hits, units, linked, per_node, nodes)
+
+
 def route(units: DataFrame, number: str, article: str) -> DataFrame:
     """The unit of a document number and article: an exact number first, then one that begins so, then one that has it."""
     own = F.upper(F.regexp_replace(tx.fold(tx.plain_dashes(F.col("doc_number"))), r"\s", ""))

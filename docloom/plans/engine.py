@@ -44,6 +44,48 @@ class KnowledgeEngine:
         ranked = search.pass_threshold(search.local_rerank(full, query, prior="rrf"))
         return ranked.orderBy(F.desc("rerank_score"), F.desc("rrf"), "doc_id").limit(k)
 
+    def legal_search(self, query: str, units: DataFrame, relations: DataFrame) -> DataFrame:
+        """(unit_id, arm): the unit whose document number and article the query names, and the units one step from it.
+
+        ``units`` has (unit_id, doc_number, unit_number), ``relations`` (source_unit, target_number, target_article, relation_type).
+        A query that names no number, or no article, has no rows; ``search`` serves it.
+        """
+        found = self.spark.range(1).select(tx.doc_numbers(F.lit(query)).alias("n"), F.regexp_extract(tx.fold_lower(F.lit(query)), r"\bdieu\s+(\d+[a-z]?)\b", 1).alias("a")).first()
+        if not found.n or not found.a:
+            return units.select("unit_id").limit(0).withColumn("arm", F.lit("exact"))
+        number = self.spark.range(1).select(F.upper(F.regexp_replace(F.lit(found.n[0]), r"\s", "")).alias("n")).first().n
+        exact = search.route(units, number, found.a).select("unit_id")
+        near = search.expand_by_citation(exact, units, relations).select("unit_id").distinct().join(exact, "unit_id", "left_anti")
+        return exact.withColumn("arm", F.lit("exact")).unionByName(near.withColumn("arm", F.lit("graph")))
+
+    def page(self, slug: str) -> DataFrame:
+        """A page with the slugs it links to and those that link to it, sorted."""
+        links = self.links().join(self.pages.select(F.col("page").alias("from_page"), F.col("slug").alias("from_slug")), "from_page").select("from_slug", "to_slug")
+        out = links.where(F.col("from_slug") == slug).groupBy(F.col("from_slug").alias("slug")).agg(F.array_sort(F.collect_set("to_slug")).alias("links_to"))
+        back = links.where(F.col("to_slug") == slug).groupBy(F.col("to_slug").alias("slug")).agg(F.array_sort(F.collect_set("from_slug")).alias("linked_from"))
+        empty = F.array().cast("array<string>")
+        met = self.pages.where(F.col("slug") == slug).join(out, "slug", "left").join(back, "slug", "left")
+        return met.withColumns({"links_to": F.coalesce("links_to", empty), "linked_from": F.coalesce("linked_from", empty)})
+
+    def document_pages(self, pages: DataFrame, doc_id: int, numbers: list[int]) -> DataFrame:
+        """(doc_id, page, content) of some pages of a document; ``pages`` has (doc_id, page_no, content)."""
+        own = pages.where(F.col("doc_id") == doc_id).join(self.documents.select("doc_id").distinct(), "doc_id", "left_semi")
+        return chunks.page_slices(chunks.assemble(own, "doc_id", "page_no", "content"), "doc_id", numbers).orderBy("page")
+
+    def list_documents(self, query: str | None = None, columns: Sequence[str] = ("text",), order: Sequence[Column] = (), number: int = 1, size: int = 20, **given) -> DataFrame:
+        """Documents by what is given (column=value or values) and a text in any of the columns, with has_more."""
+        rows = access.where_given(self.documents, **given)
+        rows = rows if not query else rows.where(access.contains_any(query, *columns))
+        return access.page_with_more(rows, [*order, F.col("doc_id")], number, size)
+
+    def kinds(self, column: str) -> DataFrame:
+        """(column, n): how many documents there are of each kind."""
+        return self.documents.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+    def document_relations(self, number: str, found: DataFrame) -> DataFrame:
+        """What a document says of others and others of it; ``found`` as in ``legal.document_relations``."""
+        return legal.document_relations(found).where(F.col("doc_number") == number.strip().upper())
+
     def outline(self, doc_id: int) -> DataFrame:
         return chunks.outline(self.documents.where(F.col("doc_id") == doc_id), "doc_id", "text").orderBy("idx")
 
