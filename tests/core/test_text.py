@@ -29,6 +29,8 @@ def test_normalize(spark):
 
 def test_query_terms(spark):
     assert x(spark, tx.keyword_terms, "phòng cháy chữa cháy là gì") == ["phong_chay_chua_chay"]
+    assert x(spark, tx.keyword_terms, "Tìm kiếm nhà ga như thế nào?") == ["nha", "ga"]
+    assert x(spark, tx.keyword_terms, "cho tôi là gì") == [] and x(spark, tx.keyword_terms, "") == []
     assert x(spark, tx.keyword_terms, "và của các") == ["va", "cua", "cac"]
     assert x(spark, tx.doc_numbers, "theo 13/2023/NĐ–CP, ngày 15/03/2023 và 123 / QĐ - UBND") == ["13/2023/ND-CP", "123/QD-UBND"]
     assert x(spark, tx.quoted_phrases, 'tìm "An Toàn" và “Cơ sở”') == ["an toan", "co so"]
