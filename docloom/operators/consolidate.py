@@ -126,19 +126,20 @@ def verify_pages(pages: DataFrame, docs: DataFrame, doc: str, text: str) -> Data
 def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text: str, least: int) -> DataFrame:
     """(claim_id, doc, n_shared): documents with ``least`` or more of a claim's distinct words.
 
-    Of a claim's n words, one of any n - least + 1 must be shared, so only its so many rarest ones are looked for; what is found
-    is counted on all words.  A common word so is a key only of claims that have little else.
+    Of a claim's n words, one of any n - least + 1 must be shared, so only its so many rarest ones are joined, and counted there;
+    its least - 1 most common words meet the documents that were found so as arrays, and are no keys.
     """
     said = claims.select("claim_id", F.explode(tx.distinct_tokens(F.col(claim))).alias("w"))
     heard = staged(docs.select(doc, F.explode(tx.distinct_tokens(F.col(text))).alias("w")).join(said.select("w").distinct(), "w", "left_semi"), "words")
     known = said.join(heard.groupBy("w").agg(F.count("*").alias("df")), "w")
     sized = known.withColumn("n", F.count("*").over(W.partitionBy("claim_id"))).withColumn("r", F.row_number().over(W.partitionBy("claim_id").orderBy("df", "w")))
-    sized = staged(sized, "claims")
-    found = sized.where(F.col("r") <= F.col("n") - least + 1).join(heard, "w").select("claim_id", doc).distinct()
-    # Each side's words meet as arrays, one row for a pair, so that pairs and their words are not multiplied out.
-    mine, theirs = sized.groupBy("claim_id").agg(F.collect_list("w").alias("cw")), heard.groupBy(doc).agg(F.collect_list("w").alias("dw"))
-    shared = F.size(F.array_intersect("cw", "dw")).cast("long")
-    return found.join(mine, "claim_id").join(theirs, doc).select("claim_id", doc, shared.alias("n_shared")).where(F.col("n_shared") >= least)
+    sized = staged(sized.select("claim_id", "w", (F.col("r") <= F.col("n") - least + 1).alias("rare")), "claims")
+    found = sized.where("rare").join(heard, "w").groupBy("claim_id", doc).agg(F.count("*").alias("n_rare"))
+    common = sized.where("not rare")
+    mine = common.groupBy("claim_id").agg(F.collect_list("w").alias("cw"))
+    theirs = heard.join(common.select("w").distinct(), "w", "left_semi").groupBy(doc).agg(F.collect_list("w").alias("dw"))
+    shared = F.col("n_rare") + F.coalesce(F.size(F.array_intersect("cw", "dw")), F.lit(0))
+    return found.join(theirs, doc, "left").join(mine, "claim_id", "left").select("claim_id", doc, shared.alias("n_shared")).where(F.col("n_shared") >= least)
 
 
 def greedy_fill(sections: DataFrame, budget: int, doc: str = "doc_id", size: str = "size", tier: str = "tier", order: str = "idx") -> DataFrame:
