@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,19 +142,59 @@ def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text:
     return found.join(theirs, doc, "left").join(mine, "claim_id", "left").select("claim_id", doc, shared.alias("n_shared")).where(F.col("n_shared") >= least)
 
 
+#: Characters of evidence that a claim shows at most, and where it gives no length.
+EXCERPT, EXCERPT_USUAL = 2000, 200
+
+
+def assemble_evidence(items: DataFrame, claims: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(item, claim_id, doc, excerpt): claims about one of an item's names, each with its place in its document, 2,000 characters at most.
+
+    ``items`` (item, name), ``claims`` (claim_id, doc, subject, offset, length).  A name is met where it stands in the subject as
+    whole words, case and accents aside: runs of the subject's words, no longer than the longest name, are joined with names.
+    """
+    c = F.col
+    words = lambda name: tx.tokens(F.coalesce(c(name), F.lit("")))
+    named = items.select("item", words("name").alias("w")).where(F.size("w") > 0).select("item", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).distinct()
+    longest = named.agg(F.max("n")).first()[0] or 0
+    said = claims.select("claim_id", doc, "offset", "length", words("subject").alias("w"))
+    runs = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " "))))
+    about = said.where(F.size("w") > 0).select("claim_id", doc, "offset", "length", F.explode(F.array_distinct(runs)).alias("run")) if longest else said.select("claim_id", doc, "offset", "length", F.lit("").alias("run"))
+    met = about.join(named, "run").select("item", "claim_id", doc, "offset", "length").distinct()
+    size = F.least(F.coalesce("length", F.lit(EXCERPT_USUAL)), F.lit(EXCERPT)).cast("int")
+    return met.join(docs.select(doc, c(text).alias("__text")), doc, "left").select("item", "claim_id", doc, F.coalesce(F.substring(c("__text"), c("offset").cast("int") + 1, size), F.lit("")).alias("excerpt"))
+
+
+def _running(rows: DataFrame, group: str, order: list[str], size: str, name: str, kind: str, start: Callable[[], dict], step: Callable[[dict, float], object]) -> DataFrame:
+    """``rows`` with a column that depends on the rows before in a group's order.
+
+    A group's rows stand together, sorted, in one partition and are read as they come: only the state of one group is kept, so a
+    group may be of any length, and many small ones cost no call each.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, start()
+        for pdf in frames:
+            out = []
+            for key, n in zip(pdf[group], pdf[size]):
+                key = None if pd.isna(key) else key  # rows without a group are one group
+                if now is None or key != now[0]:
+                    now, state = (key,), start()
+                out.append(step(state, n))
+            yield pdf.assign(**{name: out})
+
+    dealt = rows.repartition(group).sortWithinPartitions(group, *order)
+    return dealt.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {name} {kind}")
+
+
 def greedy_fill(sections: DataFrame, budget: int, doc: str = "doc_id", size: str = "size", tier: str = "tier", order: str = "idx") -> DataFrame:
     """``sections`` with taken: in order of tier and place, each that still fits; one that does not fit is passed over."""
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([tier, order])
-        left, out = budget, []
-        for n in pdf[size]:
-            fits = n <= left
-            left -= n if fits else 0
-            out.append(bool(fits))
-        return pdf.assign(taken=out)
+    def fill(state: dict, n: float) -> bool:
+        fits = bool(n <= state["left"])
+        state["left"] -= n if fits else 0
+        return fits
 
-    return sections.groupBy(doc).applyInPandas(fill, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sections.schema.fields) + ", taken boolean")
+    return _running(sections, doc, [tier, order], size, "taken", "boolean", lambda: {"left": budget}, fill)
 
 
 def section_tiers(sections: DataFrame, hits: DataFrame, doc: str = "doc_id", near: int = 5000) -> DataFrame:
@@ -170,16 +210,13 @@ def section_tiers(sections: DataFrame, hits: DataFrame, doc: str = "doc_id", nea
 def in_order_batches(rows: DataFrame, group: str, size: str, order: str, budget: int) -> DataFrame:
     """``rows`` with batch: a new one whenever the next row would not fit."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, used, no, out = pdf.sort_values(order), 0, 0, []
-        for n in pdf[size]:
-            if used and used + n > budget:
-                no, used = no + 1, 0
-            used += n
-            out.append(no)
-        return pdf.assign(batch=out)
+    def pack(state: dict, n: float) -> int:
+        if state["used"] and state["used"] + n > budget:
+            state["no"], state["used"] = state["no"] + 1, 0
+        state["used"] += n
+        return state["no"]
 
-    return rows.groupBy(group).applyInPandas(pack, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch int")
+    return _running(rows, group, [order], size, "batch", "int", lambda: {"used": 0, "no": 0}, pack)
 
 
 def extract(chunks: DataFrame, model, doc: str, text: str, done: DataFrame | None = None) -> DataFrame:

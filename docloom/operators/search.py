@@ -186,17 +186,17 @@ def local_rerank(hits: DataFrame, query: str, text: str = "text", prior: str | N
         score = RERANK[0] * both / len(q) + RERANK[1] * both / (F.col("__n") + len(q) - both) + F.when(phrase, RERANK[2]).otherwise(0.0)
         out = marked.withColumn("rerank_score", F.round(F.when(F.col("__n") > 0, score).otherwise(0.0), 4)).drop("__text", "__own", "__both", "__n")
     if prior:
-        top = F.max(prior).over(W.partitionBy())
-        out = out.withColumn("rerank_score", F.round(PRIOR[0] * F.col("rerank_score") + F.when(top > 0, PRIOR[1] * F.col(prior) / top).otherwise(0.0), 4))
+        top = hits.agg(F.max(prior).alias("__top"))  # one row, met by every hit
+        share = F.when(F.col("__top") > 0, PRIOR[1] * F.col(prior) / F.col("__top"))
+        out = out.join(F.broadcast(top), F.col(prior) <= F.col("__top"), "left").withColumn("rerank_score", F.round(PRIOR[0] * F.col("rerank_score") + F.coalesce(share, F.lit(0.0)), 4)).drop("__top")
     return out
 
 
 def pass_threshold(hits: DataFrame, score: str = "rerank_score", least: float = 0.2, floor: float = 0.15) -> DataFrame:
-    """Rows at the threshold; if none is, at the floor; if none is, all."""
-    w = W.partitionBy()
-    strong, weak = (F.sum((F.col(score) >= x).cast("int")).over(w) for x in (least, floor))
-    cut = F.when(strong > 0, F.lit(least)).when(weak > 0, F.lit(floor)).otherwise(F.lit(-1.0))
-    return hits.withColumn("__cut", cut).where(F.col(score) >= F.col("__cut")).drop("__cut")
+    """Rows at the threshold; if none is, at the floor; if none is, all.  The best score, one row, says which."""
+    best = F.max(score)
+    cut = hits.agg(F.when(best >= least, least).when(best >= floor, floor).otherwise(F.lit(float("-inf"))).alias("__cut"))
+    return hits.join(F.broadcast(cut), F.col(score) >= F.col("__cut"), "left_semi")
 
 
 def mmr(hits: DataFrame, k: int = 10, weight: float = 0.7, group: str = "query", key: str = "doc_id", text: str = "text", score: str = "rerank_score", pool: int = 100) -> DataFrame:

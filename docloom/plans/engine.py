@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import access, chunks, graph, legal, search
 from docloom.plans import guard
-from docloom.session import ship
+from docloom.session import ship, staged
 
 
 class KnowledgeEngine:
@@ -40,7 +40,7 @@ class KnowledgeEngine:
         else:
             words = search.ranked(search.lexical(self.documents, terms, phrases), search.lexical_order())
             hits = search.rrf([words], "doc_id").orderBy(F.desc("rrf"), "doc_id").limit(2 * k)
-        full = self.documents.join(F.broadcast(hits), "doc_id")  # 100 rows at most
+        full = staged(self.documents.join(F.broadcast(hits), "doc_id"), "hits")  # 100 rows at most; scores and the cut read them again
         ranked = search.pass_threshold(search.local_rerank(full, query, prior="rrf"))
         return ranked.orderBy(F.desc("rerank_score"), F.desc("rrf"), "doc_id").limit(k)
 

@@ -57,14 +57,25 @@ def docx_pages(raw: bytes) -> list[str]:
 
 
 def pptx_pages(raw: bytes) -> list[str]:
-    """A page for each slide: its text, then its notes."""
+    """A page for each slide: its text, tables as tables, then its notes."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         names = set(z.namelist())
         slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
 
+        def said(node) -> str:
+            return "".join(x.text or "" for x in node.iter(f"{_A}t")).strip()
+
+        def parts(node) -> Iterator[str]:
+            if node.tag == f"{_A}tbl":
+                yield markdown_table([["\n".join(filter(None, map(said, c.iter(f"{_A}p")))) for c in row.iter(f"{_A}tc")] for row in node.iter(f"{_A}tr")])
+            elif node.tag == f"{_A}p":
+                yield said(node)
+            else:
+                for child in node:
+                    yield from parts(child)
+
         def lines(name: str) -> list[str]:
-            root = ElementTree.fromstring(z.read(name))
-            return [t for p in root.iter(f"{_A}p") if (t := "".join(x.text or "" for x in p.iter(f"{_A}t")).strip())]
+            return [t for t in parts(ElementTree.fromstring(z.read(name))) if t]
 
         out = []
         for name in slides:
@@ -192,31 +203,39 @@ def read_pages(spark: SparkSession, path: str, parsers: dict[str, Callable[[byte
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row_index, line) of every row of the spreadsheets below ``path``."""
+    """(path, sheet, row_index, line, error) of every row of the spreadsheets below ``path``; one that cannot be read is a row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(name, sheet, i, line) for name, raw in zip(pdf["path"], pdf["content"]) for sheet, table in xlsx_sheets(bytes(raw)) if table for i, line in enumerate(row_lines(sheet, table), 1)]
-            yield pd.DataFrame(rows, columns=["path", "sheet", "row_index", "line"])
+            rows = []
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(name, sheet, i, line, None) for sheet, table in xlsx_sheets(bytes(raw)) if table for i, line in enumerate(row_lines(sheet, table), 1)]
+                except Exception as e:  # one bad file must not end the job
+                    rows.append((name, None, 0, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row_index", "line", "error"])
 
-    return files.mapInPandas(run, "path string, sheet string, row_index int, line string")
+    return files.mapInPandas(run, "path string, sheet string, row_index int, line string, error string")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, idx, name, size) of the images inside office files that are not tiny."""
+    """(path, idx, name, size, error) of the images inside office files that are not tiny; a file that cannot be read is a row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").where(F.rlike("path", F.lit(r"(?i)\.(docx|pptx|xlsx)$")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for name, raw in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
-                    big = [i for i in z.infolist() if "/media/" in i.filename and i.file_size >= IMAGE_LEAST]
-                rows += [(name, k, i.filename, i.file_size) for k, i in enumerate(sorted(big, key=lambda i: i.filename))]
-            yield pd.DataFrame(rows, columns=["path", "idx", "name", "size"])
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                        big = [i for i in z.infolist() if "/media/" in i.filename and i.file_size >= IMAGE_LEAST]
+                    rows += [(name, k, i.filename, i.file_size, None) for k, i in enumerate(sorted(big, key=lambda i: i.filename))]
+                except Exception as e:  # one bad file must not end the job
+                    rows.append((name, -1, None, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["path", "idx", "name", "size", "error"]).astype({"size": "Int64"})
 
-    return files.mapInPandas(run, "path string, idx int, name string, size long")
+    return files.mapInPandas(run, "path string, idx int, name string, size long, error string")
 
 
 def folder_hash(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.status import branch_status
 from docloom.operators.versions import overwrite_days
+from docloom.session import shared_dir
 
 DELAY = "1 day"
 
@@ -48,22 +50,38 @@ def once(events: DataFrame, key: str = "event_id", delay: str = DELAY) -> DataFr
 def debounced(events: DataFrame, seconds: int = 60, delay: str = DELAY) -> DataFrame:
     """(user_id, ts): the first event of a user, then the first of each that comes a minute or more after the last one kept.
 
-    State is one time for each user; within a batch a user's events are taken in order.
+    State is one time for each user, until the watermark is past the break that it stands for; within a batch a user's events are taken in order.
     """
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         out = []
-        for ts in sorted(t for pdf in frames for t in pdf["ts"]):
-            micros = int(ts.value // 1000)
-            if last is None or micros - last >= seconds * 1_000_000:
-                out.append(ts)
-                last = micros
-        if last is not None:
-            state.update((last,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for ts in sorted(t for pdf in frames for t in pdf["ts"]):
+                micros = int(ts.value // 1000)
+                if last is None or micros - last >= seconds * 1_000_000:
+                    out.append(ts)
+                    last = micros
+            if last is not None:
+                state.update((last,))
+                state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": out})
 
-    return events.select("user_id", "ts").withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(keep, "user_id long, ts timestamp", "last long", "append", "NoTimeout")
+    return events.select("user_id", "ts").withWatermark("ts", delay).groupBy("user_id").applyInPandasWithState(keep, "user_id long, ts timestamp", "last long", "append", "EventTimeTimeout")
+
+
+def drained(stream: DataFrame, mode: str, what: str = "stream") -> DataFrame:
+    """What a stream of what is there now comes to, as a table in the shared folder: in append mode all its rows, else those of its last batch."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def stuck(events: DataFrame, minutes: int = 30, delay: str = DELAY) -> DataFrame:

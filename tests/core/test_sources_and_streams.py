@@ -43,6 +43,10 @@ def folder(tmp_path_factory):
     slide = lambda t: f"<p {A}>" + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in t) + "</p>"
     (d / "a.docx").write_bytes(archive(**{"word/document.xml": docx, "word/media/big.png": b"x" * 3000, "word/media/small.png": b"x"}))
     (d / "b.pptx").write_bytes(archive(**{"ppt/slides/slide2.xml": slide(["Two"]), "ppt/slides/slide1.xml": slide(["One", "text"]), "ppt/notesSlides/notesSlide1.xml": slide(["say this"])}))
+    cells = "".join(f"<a:tr>{''.join(f'<a:tc><a:txBody><a:p><a:r><a:t>{x}</a:t></a:r></a:p></a:txBody></a:tc>' for x in row)}</a:tr>" for row in (("h", "i"), ("1", "2")))
+    grid = f"<p {A}><a:p><a:r><a:t>Top</a:t></a:r></a:p><g><a:tbl>{cells}</a:tbl></g></p>"
+    (d / "i.pptx").write_bytes(archive(**{"ppt/slides/slide1.xml": grid}))
+    (d / "j.xlsx").write_bytes(b"broken")
     (d / "c.xlsx").write_bytes(workbook())
     (d / "d.csv").write_text("x,y\n1,a|b\n")
     (d / "e.txt").write_bytes("plain \xff text".encode("latin-1"))
@@ -55,18 +59,21 @@ def folder(tmp_path_factory):
 def test_pages_of_files(spark, folder):
     got = {(r.path.rpartition("/")[2], r.page_number): r.content for r in files.read_pages(spark, folder).where("error is null").collect()}
     assert got["a.docx", 1] == "# Title\n\nBody\n\n| a | b |\n| --- | --- |\n| 1 |  |" and got["a.docx", 2] == "Next"
+    assert got["i.pptx", 1] == "# Top\n| h | i |\n| --- | --- |\n| 1 | 2 |"
     assert got["b.pptx", 1] == "# One\ntext\nNotes: say this" and got["b.pptx", 2] == "# Two"
     assert "| STT | Cột_2 | Tên |" in got["c.xlsx", 1] and "| 1 | x\\|y | Nguyễn Văn A |" in got["c.xlsx", 1]
     assert got["d.csv", 1] == "| x | y |\n| --- | --- |\n| 1 | a\\|b |" and got["e.txt", 1] == "plain  text" and got["f.html", 1] == "## Head\nOne & two"
     good, dead = sinks.split_errors(files.read_pages(spark, folder))
-    assert {r.path.rpartition("/")[2] for r in dead.collect()} == {"g.docx", "h.bin"} and "error" not in good.columns
+    assert {r.path.rpartition("/")[2] for r in dead.collect()} == {"g.docx", "h.bin", "j.xlsx"} and "error" not in good.columns
 
 
 def test_rows_and_images(spark, folder):
-    assert [(r.sheet, r.row_index, r.line) for r in files.read_rows(spark, folder).orderBy("row_index").collect()] == [
+    assert [(r.sheet, r.row_index, r.line) for r in files.read_rows(spark, folder).where("error is null").orderBy("row_index").collect()] == [
         ("Cán bộ", 1, "[Bảng: Cán bộ | Dòng 1]: STT: 1 | Cột_2: x|y | Tên: Nguyễn Văn A"), ("Cán bộ", 2, "[Bảng: Cán bộ | Dòng 2]: STT: 2.5")]
     good = folder + "/a.docx"
     assert [(r.idx, r.name, r.size) for r in files.read_images(spark, good).collect()] == [(0, "word/media/big.png", 3000)]
+    assert [r.path.rpartition("/")[2] for r in files.read_rows(spark, folder).where("error is not null").collect()] == ["j.xlsx"]
+    assert {r.path.rpartition("/")[2] for r in files.read_images(spark, folder).where("error is not null").collect()} == {"g.docx", "j.xlsx"}
 
 
 def test_sinks(spark, tmp_path):
