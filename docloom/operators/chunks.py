@@ -209,6 +209,23 @@ def slice_of(text: Column, start: Column, end: Column, longest: int | None = Non
     return own if longest is None else F.when(F.length(own) > longest, F.concat(F.substring(own, 1, longest), F.lit(CUT))).otherwise(own)
 
 
+#: Kinds of text that an image has, and the number of its first chunk.
+IMAGE_TEXTS, IMAGES = ("image_caption", "image_ocr"), 80_000
+
+
+def image_chunks(images: DataFrame, doc: str) -> DataFrame:
+    """(doc, chunk_index, image, kind, chunk): captions and texts of images as chunks of their own, numbered from 80,000.
+
+    ``images`` has (doc, idx, image, page, caption, ocr); an image without a page is on page 1, and one without text has no chunk.
+    """
+    texts = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(name).alias("kind"), F.trim(name.removeprefix("image_")).alias("t")) for k, name in enumerate(IMAGE_TEXTS)))
+    each = images.select(doc, "idx", "image", "page", F.explode(texts).alias("x")).where("x.t != ''")
+    head = F.concat(F.lit("["), F.col("x.kind"), F.lit(" | Trang "), F.coalesce("page", F.lit(1)).cast("string"), F.lit("]: "))
+    chunk = F.when(F.startswith("x.t", F.concat(F.lit("["), F.col("x.kind"))), F.col("x.t")).otherwise(F.concat(head, F.col("x.t")))
+    number = F.row_number().over(W.partitionBy(doc).orderBy("idx", "image", "x.n")) - 1 + IMAGES
+    return each.select(doc, number.alias("chunk_index"), "image", F.col("x.kind").alias("kind"), chunk.alias("chunk"))
+
+
 def question_chunks(questions: DataFrame, doc: str, page: Column, question: Column, preview: Column) -> DataFrame:
     """(doc, chunk_index, chunk): generated questions as chunks of their own, numbered in order (``idx``) from 70,000."""
     about = F.substring(F.trim(F.replace(F.coalesce(preview, F.lit("")), F.lit("\n"), F.lit(" "))), 1, 300)

@@ -123,6 +123,20 @@ def verify_pages(pages: DataFrame, docs: DataFrame, doc: str, text: str) -> Data
     return pages.select("page").distinct().join(held, "page", "left").select("page", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("n_held", F.lit(0)).alias("n_held"), score.alias("score"), (score < PAGE_LEAST).alias("flagged"))
 
 
+#: Opening of the block that warns of claims without ground, its second line, and how many it shows, how long.
+WARNING = "> [!warning] **Cảnh báo trích dẫn"
+WARNING_REST = (": Phát hiện nội dung chưa xác minh (", " khẳng định)**\n> Các nội dung sau chưa tìm thấy căn cứ trực tiếp trong tài liệu nguồn:\n")
+SHOWN, SHOWN_LENGTH = 5, 120
+
+
+def with_warning(content: Column, claims: Column) -> Column:
+    """A page below a block that lists its claims (array) that do not hold; as it is where there are none, or where it has such a block."""
+    short = lambda x: F.when(F.length(x) > SHOWN_LENGTH, F.concat(F.substring(x, 1, SHOWN_LENGTH - 3), F.lit("…"))).otherwise(x)
+    lines = F.transform(F.slice(claims, 1, SHOWN), lambda x: F.concat(F.lit("> - "), short(F.replace(F.trim(x), F.lit("\n"), F.lit(" ")))))
+    block = F.concat(F.lit(WARNING + WARNING_REST[0]), F.size(claims).cast("string"), F.lit(WARNING_REST[1]), F.array_join(lines, "\n"), F.lit("\n\n"))
+    return F.when((F.size(claims) > 0) & ~F.contains(content, F.lit(WARNING)), F.concat(block, content)).otherwise(content)
+
+
 def shared_words(claims: DataFrame, docs: DataFrame, claim: str, doc: str, text: str, least: int) -> DataFrame:
     """(claim_id, doc, n_shared): documents with ``least`` or more of a claim's distinct words.
 

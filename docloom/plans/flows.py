@@ -380,3 +380,19 @@ def evidence_excerpts(spark, sf):
     claims = table(spark, sf, "orders").join(table(spark, sf, "part"), c("p_partkey") == c("o_custkey")).select(k.alias("claim_id"), (c("o_custkey") % 50).alias("doc_id"), subject.alias("subject"), (k % 400).alias("offset"), F.when(k % 2 == 0, 3000).alias("length"))
     items = table(spark, sf, "part").where("p_partkey < 40").select(c("p_partkey").alias("item"), c("p_name").alias("name"))
     return consolidate.assemble_evidence(items, claims, table(spark, sf, "documents"), "doc_id", "text").select("item", "claim_id", "doc_id", F.md5("excerpt").alias("excerpt"))
+
+
+@query("""with i as (select p_partkey % 40 as doc_id, p_partkey as image, 0 as n, 'image_caption' as kind, '[image_caption | Trang ' || case when p_partkey % 3 = 0 then 1 else p_size end || ']: ' || p_name as chunk from part
+ union all select p_partkey % 40, p_partkey, 1, 'image_ocr', case when p_partkey % 4 = 0 then '[image_ocr] ' || p_type else '[image_ocr | Trang ' || case when p_partkey % 3 = 0 then 1 else p_size end || ']: ' || p_type end from part where p_partkey % 2 = 0)
+select doc_id, (80000 + row_number() over (partition by doc_id order by image, n) - 1)::INT as chunk_index, image, kind, chunk from i""")
+def image_chunks(spark, sf):
+    k = c("p_partkey")
+    images = table(spark, sf, "part").select((k % 40).alias("doc_id"), k.alias("idx"), k.alias("image"), F.when(k % 3 != 0, c("p_size")).alias("page"), c("p_name").alias("caption"), F.when(k % 4 == 0, said("[image_ocr] ", c("p_type"))).when(k % 2 == 0, c("p_type")).otherwise(" ").alias("ocr"))
+    return chunks.image_chunks(images, "doc_id")
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then 'page' when p_partkey % 3 = 1 then '> [!warning] **Cảnh báo trích dẫn: x' else '> [!warning] **Cảnh báo trích dẫn: Phát hiện nội dung chưa xác minh (2 khẳng định)**' || chr(10) || '> Các nội dung sau chưa tìm thấy căn cứ trực tiếp trong tài liệu nguồn:' || chr(10) || '> - ' || p_name || ' b' || chr(10) || '> - ' || repeat('x', 117) || '…' || chr(10) || chr(10) || 'page' end as body from part""")
+def warning_blocks(spark, sf):
+    m = c("p_partkey") % 3
+    claims = F.when(m == 0, F.array().cast("array<string>")).otherwise(F.array(said(" ", c("p_name"), "\nb"), F.repeat(F.lit("x"), 130)))
+    return table(spark, sf, "part").select("p_partkey", consolidate.with_warning(F.when(m == 1, consolidate.WARNING + ": x").otherwise("page"), claims).alias("body"))
