@@ -72,10 +72,13 @@ def cited(c: Column, pattern: str) -> Column:
 def source_windows(text: Column) -> Column:
     """Words of paragraphs of over 20 characters and of pairs of sentences that follow each other, of over 15 each; of lone sentences where there is neither."""
     trimmed = lambda pattern, least: F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: F.length(p) > least)
-    paragraphs, sentences = trimmed(r"\n\n", 20), trimmed(r"[.\n;]+", 15)
-    pairs = F.filter(F.transform(sentences, lambda s, i: F.concat(s, F.lit(". "), F.get(sentences, i + 1))), lambda s: s.isNotNull())
-    made = F.concat(paragraphs, pairs)
-    return F.transform(F.array_distinct(F.when(F.size(made) > 0, made).otherwise(sentences)), tx.distinct_tokens)
+
+    def made(x: Column) -> Column:
+        pairs = F.filter(F.transform(x["s"], lambda s, i: F.concat(s, F.lit(". "), F.get(x["s"], i + 1))), lambda s: s.isNotNull())
+        return F.struct(F.concat(x["p"], pairs).alias("made"), x["s"].alias("s"))
+
+    both = tx.let(F.struct(trimmed(r"\n\n", 20).alias("p"), trimmed(r"[.\n;]+", 15).alias("s")), made)
+    return F.transform(tx.let(both, lambda x: F.array_distinct(F.when(F.size(x["made"]) > 0, x["made"]).otherwise(x["s"]))), tx.distinct_tokens)
 
 
 def verify_claims(claims: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -90,7 +93,7 @@ def verify_claims(claims: DataFrame, docs: DataFrame, doc: str, text: str) -> Da
     own = claims.select("claim_id", doc, flat(c("claim")).alias("__claim"), cited(c("claim"), ARTICLE_CITED).alias("__a"), cited(c("claim"), NUMBER_CITED).alias("__n"))
     own = own.withColumn("__words", F.filter(tx.distinct_tokens(c("__claim")), lambda w: F.length(w) > 1))
     both = lambda w: F.size(F.array_intersect("__words", w))
-    likeness = lambda w: CLAIM[0] * both(w) / F.size("__words") + CLAIM[1] * both(w) / (F.size("__words") + F.size(w) - both(w))
+    likeness = lambda w: tx.let(both(w), lambda n: CLAIM[0] * n / F.size("__words") + CLAIM[1] * n / (F.size("__words") + F.size(w) - n))
     best = F.coalesce(F.array_max(F.transform("__windows", likeness)), F.lit(0.0))
     cases = [
         (F.coalesce(c("__claim"), F.lit("")) == "", F.lit(1.0), "empty"), (F.coalesce(c("__plain"), F.lit("")) == "", F.lit(0.0), "no source"),
