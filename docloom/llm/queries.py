@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, fingerprints, lattice, near_dups, packing, quality, secrets, textstats, toxicity, url_filters
+from docloom.llm import byte_bpe, filter_audit, fingerprints, lattice, near_dups, packing, quality, secrets, textstats, toxicity, url_filters
 from docloom.llm.common import table
 from docloom.llm.learning import remainder
 
@@ -89,6 +89,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 4) == 2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+m as (select doc_id, part,
+    (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from d),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+h as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from m left join l using (doc_id) group by part, mask),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as x(f, bit)),
+o as (select '' as filter_order union all select filter_order || f from o, f where not contains(filter_order, f)),
+s as (select filter_order, step, bit, coalesce((select sum(b.bit) from f b where contains(left(filter_order, step - 1), b.f)), 0)::int as before
+  from o, range(1, 6) as r(step), f where length(filter_order) = 5 and f = substr(filter_order, step, 1))
+select part, filter_order, step::int as step,
+  coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (mask & bit > 0 and mask & before > 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) filter (mask & bit > 0), 0)::bigint as shapley
+from h, s group by part, filter_order, step
+"""
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_fingerprints": op2_fingerprints,
@@ -100,5 +129,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
 }
-ORACLES = {"op1_url_filters": OP1_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op11_filter_audit": OP11_SQL}
