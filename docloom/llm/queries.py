@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, filter_audit, fingerprints, lattice, near_dups, packing, quality, resampling, secrets, textstats, toxicity, url_filters
+from docloom.llm import byte_bpe, filter_audit, fingerprints, lattice, near_dups, ngram_join, packing, quality, resampling, secrets, textstats, toxicity, url_filters
 from docloom.llm.common import table
 from docloom.llm.learning import remainder
 
@@ -118,6 +118,10 @@ from h, s group by part, filter_order, step
 """
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -134,6 +138,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ngram_join": op12_ngram_join,
     "op13_resampling": op13_resampling,
 }
 ORACLES = {"op1_url_filters": OP1_SQL, "op11_filter_audit": OP11_SQL}
