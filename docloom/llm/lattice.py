@@ -8,9 +8,11 @@ paths, times the chance of the word's last mark of punctuation (or none) and of
 its discounted share of the distinct training words, and the pieces share what that frees.  So what training gathers (the
 words) grows with it, and all shares sum to one.  ``lattice_score`` is the same without the arcs of words and stems: pieces only.
 
-Words are counted in the blocks (parts of input files) where they stand; each distinct stem and word is scored once and
-joined back to its blocks, and a block's documents meet just that block's words, so nothing is sent to all tasks.  A table that
-is not read from files (derived from others) is cut into blocks by its bytes, so blocks are many, not large.
+Words are counted in the blocks (runs of rows of a file, by their numbers there) where they stand; each distinct stem and word is
+scored once and joined back to its blocks, and a block's documents meet just that block's words, so nothing is sent to all
+tasks.  A row's number does not depend on how files are split, so a later scan finds the same blocks.  Rows that are not read
+from files (derived from others) have no number; their blocks come from a hash of the id and the text's length.  A very long
+word is walked in windows of positions.
 
 Edge cases: a null or empty text is the end alone; without training tokens all words are unknown and the end too, and the
 model is the lattice alone with one half for the end; repeated rows are counted and scored each.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +35,10 @@ from docloom.llm.arrays import Spans, slices
 from docloom.llm.common import staged
 
 ROUNDS = 2
-#: Bytes of a file or of text (where there's no file) in a block, and blocks in a task of the last step.
-FILE_BLOCK, TEXT_BLOCK, BLOCKS = 1 << 24, 1 << 24, 2
+#: Bytes of text in a block, on average, and blocks in a task of the last step.
+TEXT_BLOCK, BLOCKS = 1 << 25, 2
+#: Bytes from which a word is walked by itself, and positions in a window of it.
+LONG_WORD, WINDOW = 1024, 1 << 13
 #: Words of the vocabulary's own weights that are added to what the corpus shows.
 PRIOR = 2000.0
 _MARK = "▁".encode()
@@ -109,6 +114,60 @@ class Lattice:
             alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
         return alpha
 
+    def _windows(self, word: bytes, reverse: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begin, end, piece) of the arcs of one word that end in each window of positions, by end (or that begin there, from the last begin)."""
+        raw = np.frombuffer(_MARK + word, np.uint8)
+        size, spans, longs = len(raw), Spans(raw), np.arange(1, self.longest + 1)
+        starts = range(0, size, WINDOW)
+        for start in reversed(starts) if reverse else starts:
+            own = np.arange(start, min(size, start + WINDOW)) + (0 if reverse else 1)
+            near, long = np.meshgrid(own, longs, indexing="ij")
+            begin, end = (near, near + long) if reverse else (near - long, near)
+            ok = (begin >= 0) & (end <= size) & ((begin == 0) | (begin >= len(_MARK))) & ((begin > 0) | (end >= len(_MARK)))
+            begin, end = begin[ok], end[ok]
+            hashes = spans.hash(begin, end)
+            maybe = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+            hit = self.hashes[found] == hashes[maybe]
+            at, piece = maybe[hit], self.order[found[hit]]
+            if reverse:
+                at, piece = at[::-1], piece[::-1]
+            yield begin[at], end[at], piece
+
+    def _recur(self, word: bytes, reverse: bool = False) -> np.ndarray:
+        """Logs of the sums over paths from the word's start to each position (from each position to its end), in scaled numbers."""
+        size = len(word) + len(_MARK)
+        out = np.full(size + 1, _NEVER)
+        at0 = size if reverse else 0
+        out[at0] = 0.0
+        live, scale = {at0: 1.0}, 0.0
+        for begin, end, piece in self._windows(word, reverse):
+            near, far = (begin, end) if reverse else (end, begin)
+            weight = np.exp(self.weight[piece]).tolist()
+            edges = np.flatnonzero(np.diff(near, prepend=-1)).tolist() + [len(near)]
+            far, places = far.tolist(), near[edges[:-1]].tolist()
+            for k, j in enumerate(places):
+                total = 0.0
+                for a in range(edges[k], edges[k + 1]):
+                    total += live.get(far[a], 0.0) * weight[a]
+                if total > 0:
+                    out[j] = scale + math.log(total)
+                    live[j] = total
+                live.pop(j + self.longest if reverse else j - self.longest, None)
+                if 0 < total < 1e-30:
+                    live = {p: x / total for p, x in live.items()}
+                    scale += math.log(total)
+        return out
+
+    def _long_marginal(self, word: bytes, counts: np.ndarray | None) -> float:
+        """``marginals`` of one word in memory that is a few numbers a byte."""
+        ahead = self._recur(word)
+        if counts is not None:
+            back = self._recur(word, reverse=True)
+            for begin, end, piece in self._windows(word):
+                counts += np.bincount(piece, np.exp(ahead[begin] + self.weight[piece] + back[end] - ahead[-1]), len(counts))
+        return ahead[-1] + self.stop
+
     def marginals(self, words: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
         """The log probability of each word; with ``counts``, its expected pieces are added there."""
         out = np.zeros(len(words))
@@ -116,6 +175,10 @@ class Lattice:
         at = 0
         while at < len(order):
             n = len(words[order[at]])
+            if n >= LONG_WORD:
+                out[order[at]] = self._long_marginal(words[order[at]], counts)
+                at += 1
+                continue
             most = max(1, min(2048, 400_000 // (n + 3) ** 2))
             part = [i for i in order[at : at + most] if len(words[i]) == n]
             at += len(part)
@@ -205,15 +268,23 @@ def _shares(counted: DataFrame) -> tuple[int, int, float]:
     return r.n or 0, r.v, min(max(discount, 0.1), 0.9)
 
 
+def numbered(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files that number them."""
+    try:
+        return bool(docs.select("_metadata.file_path", "_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
 def score_documents(docs: DataFrame, held_out: Column, model_file: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score (add-one counts), score, lattice_score; logs to base 10."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trains = ~F.coalesce(held_out, F.lit(False))
-    seen = docs.select(trains.alias("trains"), F.when(F.input_file_name() == "", F.octet_length(text)).alias("loose")).agg(F.count_if("trains").alias("ends"), F.sum("loose").alias("loose")).first()
-    own, ends = F.xxhash64(key, F.length(text)), seen.ends
-    cuts = F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / FILE_BLOCK))
-    inside = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(own, cuts))
-    block = F.when(F.input_file_name() != "", inside).otherwise(F.pmod(own, F.lit((seen.loose or 0) // TEXT_BLOCK + 1)))
+    seen = docs.agg(F.count_if(trains).alias("ends"), F.count("*").alias("rows"), F.sum(F.octet_length(text)).alias("size")).first()
+    ends, size = seen.ends, seen.size or 0
+    block = F.pmod(F.xxhash64(key, F.length(text)), F.lit(size // TEXT_BLOCK + 1))
+    if numbered(docs):
+        block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / max(1, TEXT_BLOCK * seen.rows // max(1, size))))
     docs = docs.select(F.col(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("body"), block.alias("block")).withColumn("trains", ~F.col("held_out"))
 
     in_blocks = staged(word_counts(docs), "words")

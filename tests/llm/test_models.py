@@ -220,3 +220,58 @@ def test_scores_against_python(spark, tmp_path, files, monkeypatch):
     for i, ws in words.items():
         assert got[i].score == pytest.approx(sum(score(w)[0] for w in ws) + end, abs=1e-3), i
         assert got[i].lattice_score == pytest.approx(sum(score(w)[1] for w in ws) + end, rel=1e-5), i
+
+
+def test_blocks_do_not_depend_on_splits(spark, sf, tmp_path, monkeypatch):
+    """Scans that are split differently, as where executors come and go between them, see the same blocks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    docs.coalesce(1).write.option("parquet.block.size", 20_000).option("parquet.page.row.count.limit", 10).parquet(f"{tmp_path}/docs")
+    docs, staged = spark.read.parquet(f"{tmp_path}/docs"), lattice.staged
+    assert lattice.numbered(docs) and not lattice.numbered(docs.groupBy("doc_id", "text").count())
+    monkeypatch.setattr(lattice, "TEXT_BLOCK", 30_000)
+    held = remainder("doc_id", 7) == 2
+    told = lambda df: sorted((r.doc_id, r.n_known, round(r.score, 4)) for r in df.collect())
+    want = told(lattice.score_documents(docs, held, PIECES, rounds=0))
+
+    def split(df, what):
+        out = staged(df, what)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k" if what == "words" else "128m")
+        return out
+
+    monkeypatch.setattr(lattice, "staged", split)
+    try:
+        found = lattice.score_documents(docs, held, PIECES, rounds=0)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        assert told(found) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_long_words_in_windows(monkeypatch):
+    own, rng = lattice.Lattice(PIECES), np.random.default_rng(2)
+    words = [b"a", "straße".encode(), b"internationalisation" * 9, bytes(rng.integers(33, 127, 700, dtype=np.uint8)), bytes(rng.integers(128, 256, 300, dtype=np.uint8)), b"\x00" * 50]
+    counts = np.zeros((2, len(own.pieces)))
+    want = own.marginals(words, counts[0])
+    monkeypatch.setattr(lattice, "LONG_WORD", 1)
+    monkeypatch.setattr(lattice, "WINDOW", 64)
+    assert own.marginals(words, counts[1]) == pytest.approx(want, rel=1e-9)
+    assert counts[1] == pytest.approx(counts[0], abs=1e-6)
+
+
+def test_a_word_of_a_megabyte():
+    import time
+    import tracemalloc
+
+    own, rng = lattice.Lattice(PIECES), np.random.default_rng(4)
+    word = bytes(rng.choice(list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 1 << 20).astype(np.uint8))
+    began = time.process_time()
+    tracemalloc.start()
+    got = own.marginals([word[:200_000]])  # tracing makes it several times slower
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert math.isfinite(got[0]) and most < 100e6
+    began = time.process_time()
+    assert math.isfinite(own.marginals([word])[0])
+    assert time.process_time() - began < 20
