@@ -163,11 +163,14 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     return counted.select(key, score.alias("bm25")).where("bm25 > 0")
 
 
-def hybrid(vectors: DataFrame, docs: DataFrame, query: list[float], terms: list[str], phrases: list[str] = (), k: int = 10, floor: float = FLOOR, key: str = "doc_id") -> DataFrame:
-    """(key, rrf, similarity, lexical): vector and lexical arms fused; a row needs the least cosine or a lexical hit."""
+def hybrid(vectors: DataFrame, found: DataFrame, query: list[float], k: int = 10, floor: float = FLOOR, key: str = "doc_id") -> DataFrame:
+    """(key, rrf, similarity, lexical): vector and lexical arms fused; a row needs the least cosine or a lexical hit.
+
+    ``found`` are rows of ``lexical``, from texts or from an index.
+    """
     near = nearest(vectors, query, POOL, key)
     arm = near.select(key, F.row_number().over(W.orderBy(F.desc("similarity"), key)).alias("rank"), "similarity", F.lit(False).alias("lexical"))
-    words = ranked(lexical(docs, terms, phrases, key), lexical_order(key)).select(key, "rank", F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("lexical"))
+    words = ranked(found, lexical_order(key)).select(key, "rank", F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("lexical"))
     score = F.sum(F.lit(1.0) / (F.col("rank") + F.lit(RRF_K)))
     fused = arm.unionByName(words).groupBy(key).agg(score.alias("rrf"), F.max("similarity").alias("similarity"), F.bool_or("lexical").alias("lexical"))
     return fused.where((F.col("similarity") >= floor) | F.col("lexical")).orderBy(F.desc("rrf"), key).limit(k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import status as st
 from docloom.functions import text as tx
-from docloom.operators import access, analytics, checks, chunks, consolidate, graph, search, versions
+from docloom.operators import access, analytics, checks, chunks, consolidate, graph, search, textindex, versions
 from docloom.plans import guard
 from docloom.session import ship
 
@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def words_index(spark: SparkSession, sf: str) -> textindex.TextIndex:
+    """The index of the documents, made by the first query that asks for it."""
+    return textindex.index_of(table(spark, sf, "documents"), f"{sf}/documents")
+
+
 def first_vector(spark: SparkSession, sf: str) -> list[float]:
     """The query of the vector searches: one row, as a constant."""
     return list(table(spark, sf, "embeddings").where("vec_id = 0").first().embedding)
@@ -96,7 +101,7 @@ _TERMS = "['the', 'and', 'tion', 'ing', 'that']"
 h as (select doc_id, len(list_intersect({_TERMS}, list_distinct(ws))) as hits, len(list_filter(ws, lambda x: list_contains({_TERMS}, x))) as tf from w)
 select doc_id, hits, tf, hits = 5 as all_terms from h where hits > 0""")
 def lexical_any_all(spark, sf):
-    return search.lexical(table(spark, sf, "documents"), TERMS).select("doc_id", c("hits").cast("long").alias("hits"), c("tf").cast("long").alias("tf"), "all_terms")
+    return words_index(spark, sf).lexical(TERMS).select("doc_id", c("hits").cast("long").alias("hits"), c("tf").cast("long").alias("tf"), "all_terms")
 
 
 @query(f"""with w as (select doc_id, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+')) as ws from documents)
@@ -108,8 +113,8 @@ def term_coverage(spark, sf):
 
 @query("select doc_id, lang from documents where contains(lower(strip_accents(text)), 'creative commons') or contains(lower(strip_accents(text)), 'apache license')")
 def phrase_needle(spark, sf):
-    body = tx.fold_lower(c("text"))
-    return table(spark, sf, "documents").where(F.contains(body, F.lit("creative commons")) | F.contains(body, F.lit("apache license"))).select("doc_id", "lang")
+    found = words_index(spark, sf).with_phrase(["creative commons", "apache license"])
+    return table(spark, sf, "documents").join(found, "doc_id", "left_semi").select("doc_id", "lang")
 
 
 @query(f"""with v as (select e.vec_id as doc_id, {_COS} as s from embeddings e, {_Q0} order by s desc, doc_id limit 50),
@@ -122,7 +127,7 @@ select doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) as rrf from b group by d
 def rrf_fusion(spark, sf):
     near = search.nearest(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), first_vector(spark, sf), search.POOL, "doc_id")
     arm = near.select("doc_id", F.row_number().over(W.orderBy(F.desc("similarity"), "doc_id")).alias("rank"))
-    words = search.ranked(search.lexical(table(spark, sf, "documents"), TERMS), search.lexical_order())
+    words = search.ranked(words_index(spark, sf).lexical(TERMS), search.lexical_order())
     return search.rrf([arm, words], "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
 
 
@@ -130,7 +135,7 @@ def rrf_fusion(spark, sf):
 select f.doc_id, round(f.rrf, 9) as rrf, round(v.s, 6) as similarity, la.doc_id is not null as lexical from f left join v using (doc_id) left join la using (doc_id)
 where v.s >= 0.35 or la.doc_id is not null order by f.rrf desc, f.doc_id limit 10""")
 def hybrid_search(spark, sf):
-    hits = search.hybrid(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), table(spark, sf, "documents"), first_vector(spark, sf), TERMS)
+    hits = search.hybrid(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), words_index(spark, sf).lexical(TERMS), first_vector(spark, sf))
     return hits.select("doc_id", F.round("rrf", 9).alias("rrf"), F.round("similarity", 6).alias("similarity"), "lexical")
 
 
@@ -154,7 +159,13 @@ s as (select count(*) as n, avg(size) as mean, count(*) filter (where t0 > 0) as
 select doc_id, round((case when t0 > 0 then ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 / (t0 + 1.2 * (0.25 + 0.75 * size / mean)) else 0 end
   + case when t1 > 0 then ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 / (t1 + 1.2 * (0.25 + 0.75 * size / mean)) else 0 end)::DOUBLE, 6) as bm25 from t, s where t0 > 0 or t1 > 0""")
 def bm25_rank(spark, sf):
-    return search.bm25(table(spark, sf, "documents"), ["thing", "with"]).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return words_index(spark, sf).bm25(["thing", "with"]).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(ORACLES["bm25_rank"] + " order by bm25 desc, doc_id limit 25")
+def bm25_top(spark, sf):
+    """The best rows alone, from the ranges whose bounds allow them."""
+    return words_index(spark, sf).top(["thing", "with"], 25).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 # ---- text

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import access, chunks, graph, legal, search
+from docloom.operators.textindex import TextIndex
 from docloom.plans import guard
 from docloom.session import ship, staged
 
@@ -17,28 +18,36 @@ class KnowledgeEngine:
     """Documents (doc_id, text, ...), their vectors (doc_id, embedding) and pages (page, slug, title, content, ...).
 
     ``embed`` turns a query into a vector; any model will do.  ``visible`` is a condition on documents that every answer keeps
-    to; it is applied before anything is searched, so it also narrows what is scanned.
+    to; it is applied before anything is searched, so it also narrows what is scanned.  With an ``index`` of the documents, words
+    are looked up there and texts are read for the hits alone.
     """
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, vectors: DataFrame | None = None, pages: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, visible: Column | None = None):
+    def __init__(self, spark: SparkSession, documents: DataFrame, vectors: DataFrame | None = None, pages: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, visible: Column | None = None, index: TextIndex | None = None):
         self.spark = ship(spark)
         self.documents = documents if visible is None else documents.where(visible)
         self.vectors = vectors if vectors is None or visible is None else vectors.join(self.documents.select("doc_id"), "doc_id", "left_semi")
-        self.pages, self.embed = pages, embed
+        self.pages, self.embed, self.index, self.limited = pages, embed, index, visible is not None
 
     def terms(self, query: str) -> tuple[list[str], list[str]]:
         """The query's terms, set phrases as their words, and its quoted phrases; one row, made where queries are."""
         found = self.spark.range(1).select(tx.keyword_terms(F.lit(query)).alias("t"), tx.quoted_phrases(F.lit(query)).alias("q")).first()
         return [w for t in found.t for w in t.split("_")], list(found.q)
 
+    def lexical(self, terms: list[str], phrases: list[str]) -> DataFrame:
+        """Rows as ``search.lexical`` has them, from the index if there is one."""
+        if self.index is None:
+            return search.lexical(self.documents, terms, phrases)
+        found = self.index.lexical(terms, phrases)
+        return found.join(self.documents.select("doc_id"), "doc_id", "left_semi") if self.limited else found
+
     def search(self, query: str, k: int = 10) -> DataFrame:
         """Vector and lexical hits, fused, reranked and cut at the threshold."""
         k = min(50, max(1, k))
         terms, phrases = self.terms(query)
         if self.vectors is not None and self.embed is not None:
-            hits = search.hybrid(self.vectors, self.documents, self.embed(query), terms, phrases, 2 * k)
+            hits = search.hybrid(self.vectors, self.lexical(terms, phrases), self.embed(query), 2 * k)
         else:
-            words = search.ranked(search.lexical(self.documents, terms, phrases), search.lexical_order())
+            words = search.ranked(self.lexical(terms, phrases), search.lexical_order())
             hits = search.rrf([words], "doc_id").orderBy(F.desc("rrf"), "doc_id").limit(2 * k)
         full = staged(self.documents.join(F.broadcast(hits), "doc_id"), "hits")  # 100 rows at most; scores and the cut read them again
         ranked = search.pass_threshold(search.local_rerank(full, query, prior="rrf"))

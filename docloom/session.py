@@ -56,3 +56,4 @@ def drop_staged(spark: SparkSession) -> None:
     """Remove the tables that this application has staged; results that still read from them can't be computed after that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark.sparkContext._docloom_indexes = {}
