@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.arrays import slices
@@ -40,35 +41,39 @@ SHINGLE, PERCENT = 3, 90
 BLOCK, BLOCK_ELEMENTS, WALKERS = 256, 1 << 21, 32
 #: Bits of the counters' number, and of the filter that finds the rows whose sets are wanted.
 COUNTER_BITS, FILTER_BITS = 20, 22
+#: Counters in a row.
+CHUNK = 4096
 #: Cells of a table of sets by elements.
 _CELLS = 1 << 23
 
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """A row (id, n, digest) for each document and (bucket, c) for each counter of a task."""
-    names = ["id", "n", "digest", "bucket", "c"]
+    """A row (id, n, digest) for each document and (chunk, counts) for each part of a task's counters."""
+    names = ["id", "n", "digest", "chunk", "counts"]
+    counted = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        total = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
-            nothing = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), nothing, nothing], names=names)
-        at = np.flatnonzero(total)
-        for start in range(0, len(at), 1 << 16):
-            own = at[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), pa.array(own), pa.array(total[own])], names=names)
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, counted)], names=names)
+        if total.any():
+            parts = len(total) // CHUNK
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(total) + 1, CHUNK, dtype=np.int32)), pa.array(total))
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(np.arange(parts, dtype=np.int32)), lists], names=names)
 
-    return texts.mapInArrow(run, "id long, n long, digest binary, bucket long, c long")
+    return texts.mapInArrow(run, "id long, n long, digest binary, chunk int, counts array<int>")
 
 
 def counter_levels(counts: DataFrame) -> np.ndarray:
-    """The logs of the counters (bucket, c), in quarters: one byte for each, however large the corpus."""
-    found = counts.groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    """The logs of the counters (chunk, counts), in quarters: one byte for each, however large the corpus."""
+    each = counts.repartition("chunk").select("chunk", F.posexplode("counts").alias("pos", "c"))
+    found = each.groupBy("chunk", "pos").agg(F.sum("c").alias("c")).toArrow()
     total = np.zeros(1 << COUNTER_BITS, np.int64)
-    total[np.asarray(found.column("bucket"))] = np.asarray(found.column("c"))
+    total[np.asarray(found.column("chunk")).astype(np.int64) * CHUNK + np.asarray(found.column("pos"))] = np.asarray(found.column("c"))
     return np.minimum(255, 4 * np.log2(1 + total)).astype(np.uint8)
 
 
@@ -79,7 +84,7 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, shingle: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(digest, rep, n, prefix): each class's least id and the first elements, one of which every linked set has among its own."""
+    """(node, digest, rep, n, prefix): each class's number, least id, and first elements, one of which every linked set has among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -88,29 +93,30 @@ def _prefixes(texts: DataFrame, shingle: int, percent: int, levels: np.ndarray)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "digest", "prefix"])
 
     found = texts.where("id is not null").mapInArrow(run, "id long, n long, digest binary, prefix array<long>").where("n > 0")
-    return found.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n", "prefix")).alias("x")).select("digest", "rep", "x.n", "x.prefix")
+    return found.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n", "prefix")).alias("x")).select(F.monotonically_increasing_id().alias("node"), "digest", "rep", F.col("x.n").cast("int").alias("n"), "x.prefix")
 
 
 def _groups(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members, groups) by (element, z): members have pos and own (of the group's own range of sizes, not the one below it)."""
+    """(members, groups) by (element, z): members have node, n, pos and own (of the group's own range of sizes, not the one below it)."""
     c, group = F.col, ["element", "z"]
-    entries = classes.select("digest", "rep", "n", F.posexplode("prefix").alias("pos", "element")).repartition("element")
-    shared = entries.groupBy("element").agg(F.count("*").alias("size")).where("size > 1").select("element")
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "element"))
+    shared = entries.withColumn("size", F.count("*").over(W.partitionBy("element"))).where("size > 1").drop("size")
     # The largest set that a first shared element at this place allows; ranges are a little wider than the greatest ratio of linked sizes.
     up = F.floor((100 * c("n") - (100 + percent) * c("pos")) / percent)
     z = F.floor(F.log(c("n")) / float(np.log(102 / percent)))
-    met = entries.join(shared, "element").withColumn("up", up).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("z", z + F.when(c("own"), 0).otherwise(1))
-    met = staged(met, "entries")
-    of = lambda f, x, on: f(F.when(on, c(x)))
-    bounds = met.groupBy(*group).agg(
-        F.count("*").alias("size"), F.count_if("own").alias("owners"), F.min("n").alias("n_min"), of(F.min, "n", c("own")).alias("own_min"), F.max("up").alias("up_max"), of(F.max, "up", c("own")).alias("own_up"),
-    ).where("size > 1 and owners > 0")
-    able = "if(own, up >= n_min and n <= up_max, up >= own_min and n <= own_up)"
-    left = met.join(bounds.select(*group, "n_min", "own_min", "up_max", "own_up"), group).where(able).select(*group, "digest", "rep", "n", "pos", "own")
-    left = staged(left, "members")
+    met = shared.withColumn("up", up).withColumn("low", F.ceil(percent * c("n") / 100)).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("z", z + F.when(c("own"), 0).otherwise(1))
+    whole, by_size = W.partitionBy(*group), W.partitionBy(*group).orderBy("n", "node")
+    owner = lambda x: F.when(c("own"), c(x))
+    bounds = {
+        "owners": F.count_if("own").over(whole), "n_min": F.min("n").over(whole), "own_min": F.min(owner("n")).over(whole), "up_max": F.max("up").over(whole), "own_up": F.max(owner("up")).over(whole),
+        "before": F.lag("n").over(by_size), "after": F.lead("n").over(by_size),
+    }
+    near = "coalesce(before >= low, false) or coalesce(after <= up, false)"
+    able = f"owners > 0 and ({near}) and if(own, up >= n_min and n <= up_max, up >= own_min and n <= own_up)"
+    left = staged(met.withColumns(bounds).where(able).select(*group, "node", "n", "pos", "own"), "members")
     # Of equal groups the one of the element that is first in all its members stays.
     sums = left.groupBy(*group).agg(
-        F.count("*").alias("size"), F.sum("n").alias("elements"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("digest", "own")).alias("x"), F.sum(F.hash("digest", "own").cast("long")).alias("y"), F.sum("pos").alias("place"),
+        F.count("*").alias("size"), F.sum("n").alias("elements"), F.count_if("own").alias("owners"), F.bit_xor(F.xxhash64("node", "own")).alias("x"), F.sum(F.hash("node", "own").cast("long")).alias("y"), F.sum("pos").alias("place"),
     ).where("size > 1 and owners > 0")
     once = sums.groupBy("z", "size", "elements", "owners", "x", "y").agg(F.min(F.struct("place", "element")).alias("least")).select("z", "least.element", "size", "elements")
     return left, once
@@ -127,7 +133,7 @@ def _wanted(reps: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, shingle: int, levels: np.ndarray) -> DataFrame:
-    """(digest, codes): the ordered set of each class of ``wanted`` (digest, rep)."""
+    """(digest, codes): the ordered set of each class of ``wanted`` (rep, digest), and of few others."""
     bits = _wanted(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +145,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, shingle: int, levels: np.ndarray)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in once], pa.int64()), pa.array([d for _, d in once], pa.binary()), pa.array(once.values(), pa.binary())], names=["rep", "digest", "codes"])
 
     made = texts.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))).mapInArrow(run, "rep long, digest binary, codes binary")
-    return made.join(wanted, ["rep", "digest"], "left_semi").groupBy("digest").agg(F.first("codes").alias("codes"))
+    return made.groupBy("digest").agg(F.first("codes").alias("codes"))
 
 
 class Trie:
@@ -310,20 +316,23 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     """Per row: key, n_shingles and component_id, the least key that is reachable by links of ``percent`` or more."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = staged(_sketches(texts, shingle), "sketches")
-    levels = counter_levels(sketches.where("bucket is not null").select("bucket", "c"))
-    rows = sketches.where("bucket is null").select("id", "n", "digest")
+    levels = counter_levels(sketches.where("chunk is not null").select("chunk", "counts"))
+    rows = sketches.where("chunk is null").select("id", "n", "digest")
     classes = staged(_prefixes(texts, shingle, percent, levels), "prefixes")
     members, groups = _groups(classes, percent)
-    joined = staged(members.join(groups.withColumn("blocks", _blocks("size", "elements")).select("element", "z", "blocks"), ["element", "z"]), "groups")
-    sets = staged(_sets(texts, joined.select("digest", "rep").distinct(), shingle, levels), "sets")
+    blocks = groups.select("element", "z", _blocks("size", "elements").alias("blocks"))
+    joined = staged(members.join(blocks, ["element", "z"]).join(classes.select("node", "digest", "rep"), "node").drop("node"), "groups")
     at = F.pmod(F.hash("digest"), F.col("blocks"))
     tasks = joined.select("element", "z", at.alias("i"), at.alias("j"), F.lit(0).alias("side"), "own", "digest", "rep", "n", "pos", F.col("rep").alias("label"))
-    within = staged(_join_blocks(tasks, sets, percent), "links")
-    more = _join_blocks(_between_blocks(joined.where("blocks > 1").drop("blocks"), components(within)), sets, percent)
+    links = staged(_join_blocks(tasks, _sets(texts, joined, shingle, levels), percent), "links")
+    large = joined.where("blocks > 1").drop("blocks")
+    if not large.isEmpty():
+        tasks = staged(_between_blocks(large, components(links)), "tasks")
+        links = links.unionByName(staged(_join_blocks(tasks, _sets(texts, tasks, shingle, levels), percent), "links"))
     # An id with several texts links their classes.
     several = rows.where("id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("n").alias("n_min")).where("low != high or low is not null and n_min = 0")
     own = rows.join(several.select("id"), "id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = staged(components(within.unionByName(more).unionByName(own)), "roots")
+    roots = staged(components(links.unionByName(own)), "roots")
     found = classes.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component"))
     empty = rows.where("digest is null").join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.col("root").alias("component"))
     out = rows.where("digest is not null").join(found, "digest", "left").select("id", "n", "component").unionByName(empty)

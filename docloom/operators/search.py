@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from docloom.functions import text as tx
 from docloom.functions import vectors as vec
 from docloom.operators.consolidate import clusters
+from docloom.operators.vectorindex import VectorIndex
 from docloom.session import staged
 
 #: Rank constant of the fusion, rows from each arm, least cosine and coverage, weights of the local rerank and of the prior.
@@ -32,84 +33,19 @@ def best_per_group(hits: DataFrame, group: str, score: str, key: str) -> DataFra
     return hits.groupBy(group).agg(best.alias("hit")).select("hit.*")
 
 
-def _blocks(n: int, size: int = 2000) -> int:
-    return max(1, -(-n // size))
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 1, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True) -> DataFrame:
-    """(query, match, similarity, rank): the ``k`` nearest of ``corpus`` for every query, exactly.
-
-    Both sides are cut into blocks of a bounded size; each pair of blocks is one task's matrix product, which returns k rows a
-    query, and a window keeps the best of them.
-    """
-    a, b = _blocks(queries.count()), _blocks(corpus.count())
-    left = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(a)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("j"), F.lit(0).alias("side"))
-    right = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("i"), F.pmod(F.xxhash64(key), F.lit(b)).alias("j"), F.lit(1).alias("side"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query": [], "match": [], "similarity": []})
-        x, y = (_unit(df.v) for df in (q, c))
-        s = x @ y.T
-        ids, own = c.id.to_numpy(), q.id.to_numpy()
-        if skip_self:
-            s[own[:, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query": np.repeat(own, top.shape[1]), "match": ids[top].ravel(), "similarity": np.take_along_axis(s, top, axis=1).ravel()})
-        return out[np.isfinite(out.similarity)]
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(match, "query long, match long, similarity double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "match"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _unit(v: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(a, np.float64) for a in v])
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    """(query, match, similarity, rank): the ``k`` nearest of ``corpus`` for every query, exactly, by an index of the corpus."""
+    return VectorIndex.build(corpus, key, vector).nearest(queries, k, key, vector, skip_self)
 
 
 def similarity_classes(corpus: DataFrame, least: float, doubtful: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, cluster, n_links, least_link, n_doubtful): each row's class, that of all rows that links reach, with its least key;
     how many others have a cosine of ``least`` or more; the least key among them; and how many are from ``doubtful`` up to that.
 
-    Block by block like ``knn_join``, every pair of blocks once.  A task returns a row for each member, and of its links no more
-    than join its members, which is all that classes need; pairs never leave it.  Rows without a vector are alone.
+    Rows meet those of the cells that their bounds allow.  A task returns a row for each that visits, and of its links no more
+    than join its rows, which is all that classes need; pairs never leave it.  Rows without a vector are alone.
     """
-    n = _blocks(corpus.count())
-    low = least if doubtful is None else doubtful
-    mine = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = mine.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "v")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.v.notna()].sort_values("id")
-        ids, side = pdf.id.to_numpy(), pdf.b.to_numpy()
-        if not len(ids):
-            return pd.DataFrame({"id": [], "other": [], "n": [], "low": [], "doubt": []})
-        x = _unit(pdf.v)
-        s = np.round(x @ x.T, 9)
-        ok = (side[:, None] != side[None, :]) if pdf.i.iat[0] != pdf.j.iat[0] else np.ones_like(s, bool)
-        np.fill_diagonal(ok, False)
-        hit, near = ok & (s >= least), ok & (s >= low) & (s < least)
-        each = pd.DataFrame({"id": ids, "other": -1, "n": hit.sum(axis=1), "low": np.where(hit.any(axis=1), ids[hit.argmax(axis=1)], np.iinfo(np.int64).max), "doubt": near.sum(axis=1)})
-        root = list(range(len(ids)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        joins = []
-        for p, q in zip(*np.nonzero(np.triu(hit))):
-            p_, q_ = find(p), find(q)
-            if p_ != q_:
-                root[max(p_, q_)] = min(p_, q_)
-                joins.append((ids[p], ids[q], 0, np.iinfo(np.int64).max, 0))
-        return pd.concat([each, pd.DataFrame(joins, columns=each.columns)]) if joins else each
-
-    found = staged(dealt.groupBy("i", "j").applyInPandas(link, "id long, other long, n long, low long, doubt long"), "links")
+    found = staged(VectorIndex.build(corpus, key, vector).links(least, doubtful), "links")
     counts = found.where("other < 0").groupBy("id").agg(F.sum("n").alias("n_links"), F.min(F.when(F.col("n") > 0, F.col("low"))).alias("least_link"), F.sum("doubt").alias("n_doubtful"))
     classes = clusters(corpus.select(F.col(key).alias("id")).distinct(), found.where("other >= 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     out = classes.join(counts, "id", "left").select(F.col("id").alias(key), "cluster", F.coalesce("n_links", F.lit(0)).alias("n_links"), "least_link", F.coalesce("n_doubtful", F.lit(0)).alias("n_doubtful"))

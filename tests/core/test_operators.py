@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import dates
-from docloom.operators import access, analytics, checks, chunks, consolidate, graph, legal, search, versions
+from docloom.operators import access, analytics, checks, chunks, consolidate, graph, legal, search, vectorindex, versions
 from docloom.plans import guard
 
 
@@ -113,7 +113,7 @@ def test_rerank_threshold_and_mmr(spark):
 def test_knn_join_and_links(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(search, "_blocks", lambda n, size=2000: 3)
+    monkeypatch.setattr(vectorindex, "BLOCK", 7)
     x = np.random.default_rng(2).normal(size=(40, 6))
     df = frame(spark, [(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
     u = x.astype(np.float32).astype(np.float64)

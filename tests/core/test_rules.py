@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import consolidate, search
+from docloom.operators import consolidate, search, vectorindex
 from docloom.plans import guard
 
 
@@ -80,7 +80,7 @@ def test_term_hits_are_the_tokens(spark, sf):
 
 
 def test_similarity_classes(spark, monkeypatch):
-    monkeypatch.setattr(search, "_blocks", lambda n, size=3: max(1, -(-n // 3)))
+    monkeypatch.setattr(vectorindex, "BLOCK", 3)
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.3]), (3, [1.0, 0.6]), (4, [0.0, 1.0]), (5, [0.0, 2.0]), (6, None), (7, [0.0, 0.0]), (8, [-1.0, 0.0]), (9, [-1.0, 0.1])]
     got = sorted(tuple(r) for r in search.similarity_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, 0.85).select("vec_id", "cluster", "n_links", "n_doubtful").collect())
     assert got == [(1, 1, 1, 1), (2, 1, 2, 0), (3, 1, 1, 1), (4, 4, 1, 0), (5, 4, 1, 0), (6, 6, 0, 0), (7, 7, 0, 0), (8, 8, 1, 0), (9, 8, 1, 0)]
