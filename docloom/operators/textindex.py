@@ -129,6 +129,23 @@ class TextIndex:
         scored = met.select(F.col("key").alias(key), F.col("hits").cast("int").alias("hits"), F.col("tf").cast("int").alias("tf"), needle.alias("needle"))
         return scored.where("hits > 0 or needle").withColumn("all_terms", F.col("hits") == len(set(terms)))
 
+    def lexical_many(self, queries: DataFrame, query: str = "query", terms: str = "terms", phrases: str = "phrases") -> DataFrame:
+        """(query, key, hits, all_terms, needle, tf) for a table of queries with arrays of folded terms and of phrases (arrays of words).
+
+        Terms meet posting blocks by an equal join, so a search is as large as its terms' lists; no text is read.
+        """
+        listed = [r.segment for r in self.segments().select("segment").collect()]
+        asked = queries.select(F.col(query).alias("q"), F.size(F.array_distinct(terms)).alias("of"), F.explode(F.array_distinct(terms)).alias("token"))
+        met = self.postings(self._read(listed).join(asked.select("token").distinct(), "token", "left_semi")).join(asked, "token")
+        rows = ["q", *_ROW]
+        hits = met.groupBy(*rows).agg(F.count("*").alias("hits"), F.sum("tf").alias("tf"), F.max("of").alias("of"))
+        words = queries.select(F.col(query).alias("q"), F.posexplode(phrases).alias("phrase", "words")).select("q", "phrase", F.size("words").alias("need"), F.posexplode("words").alias("place", "token"))
+        places = self.postings(self._read(listed).join(words.select("token").distinct(), "token", "left_semi"), positions=True).join(words, "token")
+        starts = places.withColumn("at_word", F.explode("positions")).withColumn("start", F.col("at_word") - F.col("place")).groupBy(*rows, "phrase", "start").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n = need")
+        both = hits.unionByName(starts.select(*rows).distinct().withColumn("needle", F.lit(True)), allowMissingColumns=True)
+        out = both.groupBy(*rows).agg(F.coalesce(F.max("hits"), F.lit(0)).alias("hits"), F.coalesce(F.max("tf"), F.lit(0)).alias("tf"), F.max("of").alias("of"), F.coalesce(F.bool_or("needle"), F.lit(False)).alias("needle"))
+        return out.select(F.col("q").alias(query), "key", "hits", (F.col("hits") == F.coalesce("of", F.lit(-1))).alias("all_terms"), "needle", "tf")
+
     def with_phrase(self, phrases: Sequence[str], key: str = "doc_id") -> DataFrame:
         """(key) of rows with one of the phrases; a document number is a phrase, whatever stands between its parts."""
         return self.lexical((), phrases, key).where("needle").select(key)

@@ -61,8 +61,8 @@ class VectorIndex:
         self.radius[-1] = np.inf
 
     @classmethod
-    def build(cls, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None) -> VectorIndex:
-        rows = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    def build(cls, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None, tag: str | None = None) -> VectorIndex:
+        rows = cls._rows(corpus, key, vector, tag)
         most = pivots or min(PIVOTS, max(1, int(rows.count() ** 0.5)))
         sample = [r.v for r in rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").collect()]
         x = unit(sample) if sample else np.zeros((0, 1))
@@ -70,14 +70,20 @@ class VectorIndex:
         found = spread(x, most) if len(x) else np.zeros((0, x.shape[1]))
         return cls(staged(cls._assign(rows, found), "cells"), found)
 
-    def append(self, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding") -> VectorIndex:
+    @staticmethod
+    def _rows(corpus: DataFrame, key: str, vector: str, tag: str | None) -> DataFrame:
+        own = F.lit(None).cast("string") if tag is None else F.col(tag).cast("string")
+        return corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), own.alias("tag"))
+
+    def append(self, corpus: DataFrame, key: str = "vec_id", vector: str = "embedding", tag: str | None = None) -> VectorIndex:
         """The index with more rows, in cells of the same pivots."""
-        rows = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        rows = self._rows(corpus, key, vector, tag)
         return VectorIndex(self.members.unionByName(staged(self._assign(rows, self.pivots), "cells")), self.pivots)
 
     @staticmethod
     def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-        kind = f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, cell int, angle double"
+        extra = [c for c in rows.columns if c not in ("id", "v")]
+        kind = f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, " + "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in extra) + "cell int, angle double"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -86,7 +92,7 @@ class VectorIndex:
                     zero = np.abs(x).sum(axis=1) == 0
                     s = x @ pivots.T if len(pivots) else np.zeros((len(x), 1))
                     cell = np.where(zero, len(pivots), s.argmax(axis=1)).astype(np.int32)
-                    yield pd.DataFrame({"id": pdf.id, "v": list(x), "cell": cell, "angle": np.where(zero, 0.0, np.arccos(np.clip(s.max(axis=1), -1, 1)))})
+                    yield pd.DataFrame({"id": pdf.id, "v": list(x), **{c: pdf[c] for c in extra}, "cell": cell, "angle": np.where(zero, 0.0, np.arccos(np.clip(s.max(axis=1), -1, 1)))})
 
         return rows.mapInPandas(run, kind)
 
@@ -146,7 +152,8 @@ class VectorIndex:
         left = visits.withColumn("j", mine).withColumn("i", F.explode(targets))
         pairs = left.select("i", "j").distinct()
         right = self.members.withColumn("i", block(F.col("cell"))).join(pairs, "i")
-        both = left.select("i", "j", "id", "v", "cell", "visits").unionByName(right.select("i", "j", "id", "v", "cell", F.lit(None).cast("array<int>").alias("visits")))
+        sees = [F.col(c) if c in visits.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("tags", "array<string>"), ("inverse", "boolean"))]
+        both = left.select("i", "j", "id", "v", "cell", "visits", *sees).unionByName(right.select("i", "j", "id", "v", "cell", F.lit(None).cast("array<int>").alias("visits"), "tag"), allowMissingColumns=True)
         empty = pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")})
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,13 +164,21 @@ class VectorIndex:
             table = np.zeros((len(q), int(max(cells.max(), max(v.max() for v in q.visits))) + 1), bool)
             for k, v in enumerate(q.visits):
                 table[k, v] = True
-            return work(q.id.to_numpy(), m.id.to_numpy(), np.stack(list(q.v)) @ np.stack(list(m.v)).T, table[:, cells])
+            allowed = table[:, cells]
+            if q.tags.notna().any():
+                names, codes = np.unique(m.tag.fillna("").to_numpy(str), return_inverse=True)
+                sees = np.array([np.full(len(names), True) if tags is None else np.isin(names, list(tags)) != bool(inverse) for tags, inverse in zip(q.tags, q.inverse)])
+                allowed = allowed & sees[:, codes]
+            return work(q.id.to_numpy(), m.id.to_numpy(), np.stack(list(q.v)) @ np.stack(list(m.v)).T, allowed)
 
         return both.groupBy("i", "j").applyInPandas(run, kind)
 
-    def nearest(self, queries: DataFrame, k: int = 1, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True) -> DataFrame:
-        """(query, match, similarity, rank): the ``k`` nearest members of every query, exactly."""
-        asked = self.located(queries, key, vector)
+    def nearest(self, queries: DataFrame, k: int = 1, key: str = "vec_id", vector: str = "embedding", skip_self: bool = True, tags: str | None = None, inverse: bool = False) -> DataFrame:
+        """(query, match, similarity, rank): the ``k`` nearest members of every query, exactly.
+
+        ``tags`` is a column of arrays: a query sees members of these tags only (with ``inverse`` of all others), and all if it is null.
+        """
+        asked = self.located(queries, key, vector, tags, inverse)
 
         def work(ids: np.ndarray, others: np.ndarray, s: np.ndarray, ok: np.ndarray) -> pd.DataFrame:
             s = np.where(ok & (ids[:, None] != others[None, :]) if skip_self else ok, s, -np.inf)
@@ -177,8 +192,9 @@ class VectorIndex:
         more = self._meet(self.other_visits(asked, first, k, skip_self), work, "query long, match long, similarity double")
         return best(first.drop("rank").unionByName(more))
 
-    def located(self, rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    def located(self, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", tags: str | None = None, inverse: bool = False) -> DataFrame:
+        sees = [] if tags is None else [F.col(tags).cast("array<string>").alias("tags"), F.lit(inverse).alias("inverse")]
+        own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *sees)
         return staged(self._assign(own, self.pivots).drop("angle"), "located")
 
     def first_visits(self, asked: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
