@@ -4,6 +4,11 @@ Spark's own parser reads the statement, so a keyword inside a string is no matte
 kinds of plan nodes, functions, and relations.  So commands, scripts, files as tables, table functions, hints and functions that
 reach outside the data (such as calls of Java methods) are refused, wherever in the statement they stand; the row limit is set on
 the result.  The parser is that of a classic session.
+
+The work of a statement is bounded, too.  Each join needs an equality of its two sides or one side of a few rows, as the optimised
+plan has them; joins and uses of tables are few, named queries expanded; nothing is recursive.  Functions that make a value of any
+length (repeat, sequence, folds, what gathers a group's values or counts its distinct ones in memory) are not listed, pads have
+a bound, and those that make a text longer by a factor may do so by a bounded one in all.  Texts of the result are cut.
 """
 
 from __future__ import annotations
@@ -15,28 +20,31 @@ from collections.abc import Iterator
 from py4j.java_gateway import is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 
 #: Rows by default and at most.
 ROWS, MOST = 50, 100
+#: Joins, uses of tables, rows of a side that needs no equality, length of a pad, growth of texts, and characters of a returned one.
+JOINS, USES, FEW, PAD, GROWTH, CHARACTERS = 6, 16, 100, 1000, 4096, 100_000
 NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Union Distinct Except Intersect SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving "
     "WithWindowDefinition UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedSubqueryColumnAliases Pivot Unpivot".split()
 )
 FUNCTIONS = frozenset(
-    """count sum avg mean min max min_by max_by any_value first last stddev stddev_pop stddev_samp variance var_pop var_samp median percentile percentile_approx approx_count_distinct
-    count_if bool_and bool_or every some any collect_list collect_set array_agg listagg string_agg mode corr skewness kurtosis grouping
+    """count sum avg mean min max min_by max_by any_value first last stddev stddev_pop stddev_samp variance var_pop var_samp percentile_approx approx_count_distinct
+    count_if bool_and bool_or every some any corr skewness kurtosis grouping
     row_number rank dense_rank percent_rank ntile lag lead first_value last_value nth_value cume_dist
     abs ceil ceiling floor round bround sign sqrt cbrt exp ln log log2 log10 power pow mod pmod greatest least sin cos tan pi div negative positive
     coalesce ifnull nvl nvl2 nullif nullifzero zeroifnull if iff isnull isnotnull isnan decode equal_null
-    lower lcase upper ucase trim ltrim rtrim btrim length char_length character_length len concat concat_ws substring substr substring_index left right lpad rpad repeat reverse replace
+    lower lcase upper ucase trim ltrim rtrim btrim length char_length character_length len concat concat_ws substring substr substring_index left right lpad rpad reverse replace
     translate initcap instr locate position startswith endswith contains split split_part like ilike rlike regexp regexp_like regexp_extract regexp_extract_all regexp_replace regexp_count regexp_substr
     levenshtein format_number to_number try_to_number cast try_cast string int bigint double float decimal boolean date timestamp tinyint smallint binary
     current_date current_timestamp now date_add date_sub dateadd datediff date_diff add_months months_between date_trunc trunc date_format to_date to_timestamp try_to_timestamp year
     quarter month day dayofmonth dayofweek dayofyear weekday weekofyear hour minute second last_day next_day make_date extract date_part unix_timestamp from_unixtime
     array map struct named_struct size cardinality element_at try_element_at get array_contains array_distinct array_except array_intersect array_join array_max array_min array_position
-    array_sort sort_array array_union arrays_overlap slice sequence flatten transform filter exists forall aggregate map_keys map_values get_json_object to_json
+    array_sort sort_array array_union arrays_overlap slice flatten transform filter exists forall map_keys map_values get_json_object to_json
     and or not in when between try_add try_subtract try_multiply try_divide md5 sha1 sha2 crc32 hash xxhash64""".split()
 )
 _views = threading.Lock()
@@ -103,6 +111,15 @@ def check(spark: SparkSession, sql: str, tables: list[str]) -> None:
     for node, kind, _ in found:
         if kind == "UnresolvedWith":
             known |= {x._1().lower() for x in _items(node.cteRelations().toList())}
+    uses = _uses(plan, found)
+    if uses > USES:
+        raise Refused(f"tables may be used {USES} times, named queries expanded")
+    growth = 1
+    for node, kind, is_plan in found:
+        if kind == "UnresolvedFunction":
+            growth *= _growth(_items(node.nameParts().toList())[-1].lower(), _items(node.children().toList()))
+            if growth > GROWTH:
+                raise Refused("texts could grow too long")
     for node, kind, is_plan in found:
         if is_plan and kind not in NODES:
             raise Refused(f"only queries over the tables may run: {kind}")
@@ -118,11 +135,83 @@ def check(spark: SparkSession, sql: str, tables: list[str]) -> None:
             raise Refused(f"may not be called: {kind}")
 
 
+def _uses(plan, found: list) -> int:
+    """How often tables are read, where each use of a named query counts as all that it uses."""
+    withs = [node for node, kind, _ in found if kind == "UnresolvedWith"]
+    if any(node.allowRecursion() for node in withs):
+        raise Refused("nothing may be recursive")
+    if len(withs) > 1 or withs and not withs[0].equals(plan):
+        raise Refused("named queries may stand at the beginning only")
+    known: dict[str, int] = {}
+
+    def count(root) -> int:
+        names = [_items(n.multipartIdentifier().toList())[-1].lower() for n, kind, _ in _walk(SparkSession.active().sparkContext._gateway, root) if kind == "UnresolvedRelation"]
+        return sum(known.get(n, 1) for n in names)
+
+    for named in _items(withs[0].cteRelations().toList()) if withs else []:
+        known[named._1().lower()] = max(1, count(named._2()))
+    return count(withs[0].child() if withs else plan)
+
+
+def _literal(node) -> str | None:
+    return node.toString() if node.getClass().getSimpleName() == "Literal" else None
+
+
+def _growth(name: str, args: list) -> int:
+    """By what factor a function can make a text or an array longer than its longest argument."""
+    if name in ("lpad", "rpad"):
+        size = _literal(args[1]) if len(args) > 1 else None
+        if size is None or not size.isdigit() or int(size) > PAD:
+            raise Refused(f"{name} takes a constant of {PAD} at most")
+    if name in ("concat", "concat_ws", "array", "array_union", "map", "format_string"):
+        return max(1, len(args))
+    if name in ("replace", "regexp_replace", "overlay") and len(args) > 2:
+        by = _literal(args[2])
+        if by is None:
+            raise Refused(f"{name} takes a constant replacement")
+        return max(1, len(by))
+    return 1
+
+
+def check_plan(spark: SparkSession, df: DataFrame) -> None:
+    """Refused if the optimised plan of ``df`` has joins that could make all pairs, or too many joins."""
+    gateway, joins = spark.sparkContext._gateway, 0
+    for node, kind, is_plan in _walk(gateway, df._jdf.queryExecution().optimizedPlan()):
+        if not is_plan or kind != "Join":
+            continue
+        joins += 1
+        left, right = node.left(), node.right()
+        few = any(side.maxRows().isDefined() and side.maxRows().get() <= FEW for side in (left, right))
+        parts = [node.condition().get()] if node.condition().isDefined() else []
+        equal = False
+        while parts and not equal:
+            part = parts.pop()
+            name = part.getClass().getSimpleName()
+            if name == "And":
+                parts += [part.left(), part.right()]
+            elif name in ("EqualTo", "EqualNullSafe"):
+                a, b = part.left().references(), part.right().references()
+                sides = [(a, left, b, right), (b, left, a, right)]
+                equal = any(x.nonEmpty() and y.nonEmpty() and x.subsetOf(p.outputSet()) and y.subsetOf(q.outputSet()) for x, p, y, q in sides)
+        if not (few or equal):
+            raise Refused("a join needs an equality of columns of its two sides")
+    if joins > JOINS:
+        raise Refused(f"{JOINS} joins at most")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Texts of at most CHARACTERS; names may repeat."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.select(*(F.substring(f"c{k}", 1, CHARACTERS).alias(f"c{k}") if f.dataType.typeName() == "string" else F.col(f"c{k}") for k, f in enumerate(df.schema))).toDF(*df.columns)
+
+
 def run(spark: SparkSession, sql: str, tables: list[str], rows: int = ROWS) -> DataFrame:
     """The statement's result over registered tables, of at most ``rows`` rows; Refused if it may not run."""
     check(spark, sql, tables)
     try:
-        return spark.sql(sql).limit(min(MOST, max(1, rows)))
+        found = spark.sql(sql)
+        check_plan(spark, found)
+        return _cut(found.limit(min(MOST, max(1, rows))))
     except PySparkException as e:
         raise Refused(str(e)[:500]) from None
 

@@ -27,6 +27,31 @@ def test_statements_that_may(spark):
     assert [tuple(r) for r in got.collect()] == [("DROP TABLE T", 1), ("reflect(1)", 7)]
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select repeat(b, 1000000000) from t", "select size(sequence(1, 1000000000)) from t", "select rpad(b, 2000000000, 'x') from t", "select rpad(b, cast(a as int), 'x') from t", "select count(*) from t x, t y, t z",
+        "with recursive r as (select 1 as n union all select n + 1 from r) select * from r", "select * from t x join t y on x.a < y.a", "select * from t x join t y on 1 = 1", "select * from t x join t y on x.a = x.a + 0 * length(x.b)", "select * from t x cross join t y",
+        "with a as (select concat(b, b, b, b, b, b, b, b) as b from t), c as (select concat(b, b, b, b, b, b, b, b) as b from a), d as (select concat(b, b, b, b, b, b, b, b) as b from c), e as (select concat(b, b, b, b, b, b, b, b) as b from d), f as (select concat(b, b) as b from e) select * from f",
+        "with a as (select * from t union all select * from t union all select * from t), b as (select * from a union all select * from a union all select * from a), c as (select * from b union all select * from b) select * from c",
+        "select aggregate(split(b, ''), b, (s, x) -> concat(s, s)) from t", "select collect_list(b) from t", "select regexp_replace(b, '.', b) from t", "select * from t x where exists (select 1 from t y where y.a > x.a)",
+    ],
+)
+def test_work_is_bounded(spark, sql):
+    """Refused before anything runs, by the parsed or by the optimised plan."""
+    with pytest.raises(guard.Refused):
+        guard.query(spark, sql, {"t": spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string").repartition(2)})
+
+
+def test_joins_by_equality_may_run(spark):
+    t = spark.createDataFrame([(1, "x" * 200_000), (2, "y")], "a long, b string").repartition(2)
+    ask = lambda sql: guard.query(spark, sql, {"t": t}).collect()
+    assert len(ask("select x.a, y.a from t x, t y where x.a = y.a")) == 2 and len(ask("select * from t x left join t y on x.a = y.a + 1 and x.b < y.b")) == 2
+    assert len(ask("select * from t, (values (1), (2)) as v(k)")) == 4 and len(ask("select * from t x where a in (select a from t where a > 1)")) == 1
+    assert len(ask("select * from t cross join (select max(a) as m from t)")) == 2 and ask("select lpad(b, 3, '-') as b from t where a = 2")[0].b == "--y"
+    assert len(ask("select b from t where a = 1")[0].b) == guard.CHARACTERS and [len(r) for r in ask("select a, a from t where a = 1")] == [2]
+
+
 def test_views_are_private(spark):
     spark.createDataFrame([(7,)], "a int").createOrReplaceTempView("mine")
     first = guard.query(spark, "select * from mine", {"mine": spark.createDataFrame([(1,)], "a int")})
