@@ -6,13 +6,15 @@ documents; whatever they are, the order is the same for all sets, so they bear o
 1. Equal sets are one class.  Two linked sets share one of their first n - ceil(n * percent / 100) + 1 elements, so classes
    are grouped by those elements and by size (a size meets its own range and the next one).  A first shared element at a late place leaves
    too few for a link with large sets: members that no other's size and place allow go, and so do groups that equal another's.
-2. In a group, sets become paths of a trie, from the group's element on.  Each set walks down it; sets below a node
+2. Members' parities (for each of about n / 2 hash buckets, whether a set has an odd number of elements there) differ in no more
+   places than their sets do.  So a member whose parity is too far from all others' goes, and sets are made for the rest alone.
+3. In a group, sets become paths of a trie, from the group's element on.  Each set walks down it; sets below a node
    share the overlap so far.  A branch is cut where the overlap and the lesser of what both sides have left can't
    reach what the smallest set below needs, or where all sets below are known to be linked with the one that walks.
    A pair is met in the group of its first shared element, so it is not walked again in others.
-3. Groups of more than a block are joined within blocks first.  Of what remains, members of the label that most of
+4. Groups of more than a block are joined within blocks first.  Of what remains, members of the label that most of
    a group has need no comparison with each other, only with the others, block by block.
-4. Links become components; a task returns no more links than join its members.
+5. Links become components; a task returns no more links than join its members.
 
 No link is lost: all steps are bounds, none a sketch.  A dense group in which no two are linked costs all pairs of its
 blocks in time, in tasks of bounded memory.
@@ -39,6 +41,8 @@ from docloom.llm.near_dups import SLICE, _digest, components, shingle_sets
 SHINGLE, PERCENT = 3, 90
 #: Members and elements in a block of a group, and sets that walk down a trie together.
 BLOCK, BLOCK_ELEMENTS, WALKERS = 256, 1 << 21, 32
+#: Members and bytes in a block of parities.
+SIFTED, SIFTED_BYTES = 4096, 1 << 24
 #: Bits of the counters' number, and of the filter that finds the rows whose sets are wanted.
 COUNTER_BITS, FILTER_BITS = 20, 22
 #: Counters in a row.
@@ -90,10 +94,75 @@ def _prefixes(texts: DataFrame, shingle: int, percent: int, levels: np.ndarray)
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], shingle)
             first = [ordered(s, levels)[: len(s) + percent * len(s) // -100 + 1].view(np.int64).tolist() if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())], names=["id", "n", "digest", "prefix", "parity"])
 
-    found = texts.where("id is not null").mapInArrow(run, "id long, n long, digest binary, prefix array<long>").where("n > 0")
-    return found.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n", "prefix")).alias("x")).select(F.monotonically_increasing_id().alias("node"), "digest", "rep", F.col("x.n").cast("int").alias("n"), "x.prefix")
+    found = texts.where("id is not null").mapInArrow(run, "id long, n long, digest binary, prefix array<long>, parity binary").where("n > 0")
+    once = found.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n", "prefix", "parity")).alias("x"))
+    return once.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", F.col("x.n").cast("int").alias("n"), "x.prefix", "x.parity")
+
+
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each of a power of two of buckets, at least half as many as elements: whether their number there is odd."""
+    bits = 64
+    while 2 * bits < len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_parities(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray, ok: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs that are ``ok`` can be linked, by their parities folded to the least size of all."""
+    width = min(map(len, left + right)) // 8
+
+    def folded(x: bytes) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0)
+
+    a, b = np.stack([folded(x) for x in left]), np.stack([folded(x) for x in right])
+    out = np.zeros(ok.shape, bool)
+    for k in range(len(a)):
+        at = np.flatnonzero(ok[k])
+        apart = np.bitwise_count(a[k] ^ b[at]).sum(axis=1, dtype=np.int64)
+        out[k, at] = (100 + percent) * apart <= (100 - percent) * (n_left[k] + n_right[at])
+    return out
+
+
+def _sift(members: DataFrame, percent: int) -> DataFrame:
+    """(element, z, node) of the members (element, z, node, n, own, parity) that can be linked with another of their group."""
+    key, group = ["element", "z", "i", "j"], ["element", "z"]
+    names = [*key, "side", "node", "n", "own", "parity"]
+    sizes = members.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / SIFTED), F.ceil(F.sum(F.octet_length("parity")) / SIFTED_BYTES)).cast("int").alias("parts"))
+    dealt = members.join(sizes, group).withColumn("b", F.pmod(F.hash("node"), F.col("parts"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(*group, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("side"), "node", "n", "own", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            side, node, n, own, bits = (list(x) for x in zip(*rows))
+            sides, n, own = np.array(side), np.array(n), np.array(own)
+            low = np.flatnonzero(sides == 0)
+            high = low if at[2] == at[3] else np.flatnonzero(sides == 1)
+            found: set[int] = set()
+            if len(low) and len(high):
+                ok = (own[low][:, None] | own[high][None, :]) & (100 * np.minimum.outer(n[low], n[high]) >= percent * np.maximum.outer(n[low], n[high]))
+                if at[2] == at[3]:
+                    np.fill_diagonal(ok, False)
+                near = near_parities([bits[k] for k in low], [bits[k] for k in high], n[low], n[high], ok, percent)
+                found = {node[k] for k in [*low[near.any(axis=1)], *high[near.any(axis=0)]]}
+            k = len(found)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * k, pa.int64()), pa.array([at[1]] * k, pa.int64()), pa.array(sorted(found), pa.int64())], names=["element", "z", "node"])
+
+        for batch in batches:
+            for *k, side, node, n, own, bits in zip(*(batch.column(c).to_pylist() for c in names)):
+                if at != k:
+                    if len(rows) > 1:
+                        yield done()
+                    at, rows = k, []
+                rows.append((side, node, n, own, bits))
+        if len(rows) > 1:
+            yield done()
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "element long, z long, node long").distinct()
 
 
 def _groups(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -320,8 +389,10 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     rows = sketches.where("chunk is null").select("id", "n", "digest")
     classes = staged(_prefixes(texts, shingle, percent, levels), "prefixes")
     members, groups = _groups(classes, percent)
-    blocks = groups.select("element", "z", _blocks("size", "elements").alias("blocks"))
-    joined = staged(members.join(blocks, ["element", "z"]).join(classes.select("node", "digest", "rep"), "node").drop("node"), "groups")
+    chosen = staged(members.join(groups.select("element", "z"), ["element", "z"]).join(classes.select("node", "digest", "rep", "parity"), "node"), "groups")
+    left = staged(chosen.drop("parity").join(_sift(chosen, percent), ["element", "z", "node"], "left_semi"), "sifted")
+    blocks = left.groupBy("element", "z").agg(F.count("*").alias("size"), F.sum("n").alias("elements")).where("size > 1").select("element", "z", _blocks("size", "elements").alias("blocks"))
+    joined = staged(left.join(blocks, ["element", "z"]).drop("node"), "tasks")
     at = F.pmod(F.hash("digest"), F.col("blocks"))
     tasks = joined.select("element", "z", at.alias("i"), at.alias("j"), F.lit(0).alias("side"), "own", "digest", "rep", "n", "pos", F.col("rep").alias("label"))
     links = staged(_join_blocks(tasks, _sets(texts, joined, shingle, levels), percent), "links")

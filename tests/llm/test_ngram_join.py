@@ -45,6 +45,7 @@ def edited(rng, words, edits, new=None):
 def test_components_against_python(spark, monkeypatch, block, walkers):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "WALKERS", walkers)
+    monkeypatch.setattr(ngram_join, "SIFTED", 4 * block)
     rng = random.Random(block)
     rows = list(enumerate([None, "", "a", "A", "a b", "a  b", "a b c", "A B\tC", "a b c d", "\t\n", "é x\x85y z"]))
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
@@ -103,3 +104,19 @@ def test_trie_against_pairs(seed):
     labels = apart.tolist()
     links = ngram_join.links_in_trie(trie, list(range(len(sets))), sets, sizes, labels, 80)
     assert all((a, b) in want for a, b in links) and all(labels[a] == labels[b] for a, b in want) and len(links) == len(sets) - len(set(labels))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parities_lose_no_link(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > rng.choice([0, 0.02, 0.1, 0.9])], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(40)]
+    n = np.array([len(s) for s in sets])
+    bits = [ngram_join.parity(s) for s in sets]
+    near = ngram_join.near_parities(bits, bits, n, n, np.ones((40, 40), bool), 90)
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    linked = 100 * both >= 90 * (n[:, None] + n[None, :] - both)
+    assert not (linked & ~near).any()
+    apart = [np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(20)]
+    bits, n = [ngram_join.parity(s) for s in apart], np.full(20, 300)
+    assert not ngram_join.near_parities(bits, bits, n, n, ~np.eye(20, dtype=bool), 90).any()
