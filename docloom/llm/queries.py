@@ -122,6 +122,18 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"))
 
 
+OP12_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+m as (select doc_id, n, shingle from s join n using (doc_id)),
+l as (select a.doc_id as a, b.doc_id as b from m a join m b on a.shingle = b.shingle and a.doc_id != b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, reached) as (select doc_id, doc_id from documents union select r.doc_id, l.b from r join l on l.a = r.reached)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(reached) as component_id from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -141,4 +153,4 @@ QUERIES = {
     "op12_ngram_join": op12_ngram_join,
     "op13_resampling": op13_resampling,
 }
-ORACLES = {"op1_url_filters": OP1_SQL, "op11_filter_audit": OP11_SQL}
+ORACLES = {"op1_url_filters": OP1_SQL, "op11_filter_audit": OP11_SQL, "op12_ngram_join": OP12_SQL}

@@ -76,7 +76,7 @@ def test_matrices():
     assert (by["removed"].reshape(32, 120, 5).sum(axis=(1, 2)) == [120 * (m > 0) for m in range(32)]).all()
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_ngram_join"])
 def test_documents_against_sql(spark, sf, name):
     db = duckdb.connect()
     for t in ("documents", "labels", "benchmark"):
