@@ -1,13 +1,16 @@
-"""Queries of the unified search, over all questions of the conversations at once."""
+"""Queries of the unified search, over all questions of the conversations at once, and of edits that are committed together."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import textindex, unified
+from docloom.operators import editing, textindex, unified
 from docloom.operators.vectorindex import VectorIndex
 from docloom.plans.catalog import c, query, table
+from docloom.session import shared_dir
 
 #: The languages that a question may see, by its conversation's number; null is no limit.
 _SCOPES = [None, ["en", "de"], ["fr", "es", "en"], ["xx"]]
@@ -85,4 +88,22 @@ def unified_hints(spark, sf):
     return found.select("query", c("rank").cast("long").alias("rank"), "corpus", "key", F.round("similarity", 6).alias("similarity"))
 
 
+_PARTS = """with e as (select p_partkey as k, 'p' || p_partkey as slug, p_size % 5 = 0 as edited, p_size % 5 = 0 and p_size % 10 <> 0 as good from part),
+l as (select slug, 'p' || (k * 7 % 1999 + 1) as to_slug from e where not good union select slug, 'p' || (k * 3 % 1999 + 1) from e where good union select slug, 'hub' from e where good),
+b as (select to_slug as slug, count(*) as n from l where to_slug <> slug group by to_slug)
+"""
+
 
+@query(_PARTS + """select slug, 1 + good::INT as version, case when good then 'updated' when edited then 'conflict' end as outcome, coalesce(n, 0) as n_backlinks, 1 + good::BIGINT as n_revisions from e left join b using (slug)""")
+def page_edits(spark, sf):
+    """Parts become pages in one commit; a second one changes a fifth of them, half of which name a version that is not theirs."""
+    store = editing.wiki(spark, f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/wiki-{uuid.uuid4().hex}", 8)
+    parts = table(spark, sf, "part").select("*", c("p_partkey").alias("k"), F.concat(F.lit("p"), c("p_partkey")).alias("slug"))
+    link = lambda by: F.concat(F.lit(" [[p"), c("k") * by % 1999 + 1, F.lit("]]"))
+    said = lambda content, version, at: [c("p_name").alias("title"), content.alias("content"), c("p_type").alias("page_type"), version.cast("int").alias("base_version"), F.lit("a").alias("author"), F.lit(at).cast("timestamp").alias("at")]
+    editing.apply_edits(store, parts.select("slug", *said(F.concat("p_name", link(7)), F.lit(None), "2024-01-01")))
+    second = parts.where("p_size % 5 = 0").select("slug", *said(F.concat("p_type", link(3), F.lit(" [[hub]]")), F.when(c("p_size") % 10 == 0, 7).otherwise(1), "2024-01-02"))
+    found, version = editing.apply_edits(store, second)
+    revisions = store.read("revisions", version).groupBy("slug").agg(F.count("*").alias("n_revisions"))
+    pages = store.read("pages", version).join(found.select("slug", "outcome"), "slug", "left").join(store.read("backlinks", version), "slug", "left").join(revisions, "slug")
+    return pages.select("slug", "version", "outcome", F.coalesce("n", F.lit(0)).alias("n_backlinks"), "n_revisions")
