@@ -10,7 +10,10 @@ from docloom.functions import text as tx
 from docloom.operators import editing, textindex, unified
 from docloom.operators.vectorindex import VectorIndex
 from docloom.plans.catalog import c, query, table
+from docloom.plans.flows import events_stream
 from docloom.session import shared_dir
+from docloom.streaming import attempts
+from docloom.streaming import events as ev
 
 #: The languages that a question may see, by its conversation's number; null is no limit.
 _SCOPES = [None, ["en", "de"], ["fr", "es", "en"], ["xx"]]
@@ -107,3 +110,24 @@ def page_edits(spark, sf):
     revisions = store.read("revisions", version).groupBy("slug").agg(F.count("*").alias("n_revisions"))
     pages = store.read("pages", version).join(found.select("slug", "outcome"), "slug", "left").join(store.read("backlinks", version), "slug", "left").join(revisions, "slug")
     return pages.select("slug", "version", "outcome", F.coalesce("n", F.lit(0)).alias("n_backlinks"), "n_revisions")
+
+
+@query("""with e as (select user_id as task, (1 + event_id // 1000)::INT as attempt, case event_id % 4 when 2 then 'failed' when 3 then 'done' else 'started' end as outcome, ts from events),
+o as (select *, row_number() over (partition by task order by ts, attempt, outcome <> 'started') as r from e),
+m as (select *, max(attempt) over w as newest, count(*) filter (where outcome <> 'started') over (partition by task, attempt order by r rows between unbounded preceding and 1 preceding) as ended from o window w as (partition by task order by r)),
+v as (select *, attempt < newest or ended > 0 as stale from m),
+f as (select *, sum((not stale and outcome = 'failed')::INT) over (partition by task order by r) as failures from v)
+select task, case when stale then 'stale' when outcome = 'done' then 'done' when failures < 3 then 'retry' else 'dead' end as kind, attempt, failures::INT as failures, outcome as reason, epoch_us(ts) // 1000 as at_ms,
+  case when not stale and outcome = 'failed' and failures < 3 then 60 * 2 ** (failures - 1) end::BIGINT as wait from f where stale or outcome <> 'started'""")
+def stream_attempts(spark, sf):
+    """Events as what attempts say: stale ones, retries with their waits, and dead letters."""
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        attempts.with_timers(spark)
+        said = events_stream(spark, sf)
+        outcome = F.when(c("event_id") % 4 == 2, "failed").when(c("event_id") % 4 == 3, "done").otherwise("started")
+        stream = said.select(c("user_id").alias("task"), (1 + F.floor(c("event_id") / 1000)).cast("int").alias("attempt"), outcome.alias("outcome"), "ts")
+        found = ev.drained(attempts.outcomes(stream, minutes=10**6), "append", "attempts")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return found.select("task", "kind", "attempt", "failures", "reason", F.unix_millis("at").alias("at_ms"), (F.unix_timestamp("due") - F.unix_timestamp("at")).alias("wait"))
