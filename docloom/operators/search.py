@@ -52,6 +52,49 @@ def similarity_classes(corpus: DataFrame, least: float, doubtful: float | None =
     return out if doubtful is not None else out.drop("n_doubtful")
 
 
+#: Cosines from which concepts are one, from which that is doubtful, and from which pages may contradict each other.
+SURE, DOUBTFUL, NEIGHBOURS = 0.9, 0.75, 0.8
+
+
+def doubtful_pairs(index: VectorIndex, low: float = DOUBTFUL, sure: float = SURE, per: int = 3) -> DataFrame:
+    """(a, b, similarity), a < b, each once: what a model should judge, a bounded number for each concept."""
+    near = index.band(low, sure, per)
+    return near.groupBy(F.least("query", "match").alias("a"), F.greatest("query", "match").alias("b")).agg(F.max("similarity").alias("similarity"))
+
+
+def judged(pairs: DataFrame, texts: DataFrame, model, key: str = "vec_id", text: str = "text") -> DataFrame:
+    """(a, b, verdict) by a pluggable model: a function from two lists of texts to a list of answers."""
+    of = lambda side: texts.select(F.col(key).alias(side), F.col(text).alias(f"{side}_text"))
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"a": pdf.a, "b": pdf.b, "verdict": model(pdf.a_text.tolist(), pdf.b_text.tolist())})
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long, verdict boolean")
+
+
+def resolve_ambiguous(index: VectorIndex, verdicts: DataFrame, sure: float = SURE) -> DataFrame:
+    """(id, cluster, contested) of all members: sure links and pairs that are judged the same (a, b, verdict) join.
+
+    Where that joins a pair which is judged to differ, the class is contested, and its members keep to their sure links.
+    """
+    verdicts = staged(verdicts.select("a", "b", "verdict"), "verdicts")
+    links = staged(index.links(sure).where("other >= 0").select(F.col("id").alias("a"), F.col("other").alias("b")), "sure")
+    nodes = index.members.select("id").distinct()
+    joined = staged(clusters(nodes, links.unionByName(verdicts.where("verdict").select("a", "b"))), "joined")
+    side = lambda name: joined.select(F.col("id").alias(name), F.col("cluster").alias(f"c{name}"))
+    apart = verdicts.where("not verdict").join(side("a"), "a").join(side("b"), "b").where("ca = cb").select(F.col("ca").alias("cluster")).distinct().withColumn("contested", F.lit(True))
+    marked = staged(joined.join(apart, "cluster", "left").select("id", "cluster", F.coalesce("contested", F.lit(False)).alias("contested")), "marked")
+    alone = clusters(marked.where("contested").select("id"), links.join(marked.where("contested").select(F.col("id").alias("a")), "a", "left_semi"))
+    return marked.where("not contested").unionByName(alone.withColumn("contested", F.lit(True)))
+
+
+def conflict_candidates(drafts: DataFrame, pages: DataFrame, most: int = 5, least: float = NEIGHBOURS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, similarity): for each draft the neighbours that it may contradict, for ``judged``."""
+    near = VectorIndex.build(pages, key, vector).nearest(drafts, most, key, vector)
+    return near.where(F.col("similarity") >= least).select(F.col("query").alias("a"), F.col("match").alias("b"), "similarity")
+
+
 def similar_links(corpus: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, least_link) of ``similarity_classes``."""
     return similarity_classes(corpus, least, None, key, vector).drop("cluster")

@@ -234,5 +234,18 @@ class VectorIndex:
 
         return self._meet(self.threshold_visits(low), work, "id long, other long, n long, low long, doubt long")
 
+    def band(self, low: float, high: float, per: int) -> DataFrame:
+        """(query, match, similarity, rank): for each member its ``per`` nearest of a cosine from ``low`` up to ``high``."""
+
+        def work(ids: np.ndarray, others: np.ndarray, s: np.ndarray, ok: np.ndarray) -> pd.DataFrame:
+            s = np.round(s, 9)
+            s = np.where(ok & (ids[:, None] != others[None, :]) & (s >= low) & (s < high), s, -np.inf)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :per]
+            out = pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "match": others[top].ravel(), "similarity": np.take_along_axis(s, top, axis=1).ravel()})
+            return out[np.isfinite(out.similarity)]
+
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "match"))
+        return self._meet(self.threshold_visits(low), work, "query long, match long, similarity double").withColumn("rank", rank).where(F.col("rank") <= per)
+
     def threshold_visits(self, least: float) -> DataFrame:
         return staged(self._visits(self.members.select(F.col("id").cast("long").alias("id"), "v", "cell"), least, None), "visits")

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import editing, textindex, unified
+from docloom.operators import editing, search, textindex, unified
 from docloom.operators.vectorindex import VectorIndex
-from docloom.plans.catalog import c, query, table
+from docloom.plans.catalog import _ALIKE, c, query, table
 from docloom.plans.flows import events_stream
 from docloom.session import shared_dir
 from docloom.streaming import attempts
@@ -131,3 +131,17 @@ def stream_attempts(spark, sf):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
     return found.select("task", "kind", "attempt", "failures", "reason", F.unix_millis("at").alias("at_ms"), (F.unix_timestamp("due") - F.unix_timestamp("at")).alias("wait"))
+
+
+@query(f"""with recursive {_ALIKE}, d as (select distinct least(a, b) as a, greatest(a, b) as b from (select a, b from s where s >= 0.38 and s < 0.45 qualify row_number() over (partition by a order by s desc, b) <= 3)),
+l as (select a, b from s where s >= 0.45), e as (select a, b from l union select a, b from d where (a + b) % 3 <> 0 union select b, a from d where (a + b) % 3 <> 0),
+w(n, m) as (select vec_id, vec_id from embeddings union select w.n, e.b from w join e on e.a = w.m), k as (select n, min(m) as cluster from w group by n),
+x as (select distinct ka.cluster from d join k ka on ka.n = d.a join k kb on kb.n = d.b where (d.a + d.b) % 3 = 0 and ka.cluster = kb.cluster),
+v(n, m) as (select vec_id, vec_id from embeddings union select v.n, l.b from v join l on l.a = v.m), o as (select n, min(m) as own from v group by n)
+select k.n as vec_id, case when x.cluster is null then k.cluster else o.own end as cluster, x.cluster is not null as contested from k join o using (n) left join x on x.cluster = k.cluster""")
+def ambiguous_concepts(spark, sf):
+    """Doubtful pairs, judged by the sum of their ids, join their classes unless that joins what is judged to differ."""
+    index = VectorIndex.build(table(spark, sf, "embeddings"))
+    pairs = search.doubtful_pairs(index, 0.38, 0.45)
+    same = search.judged(pairs, table(spark, sf, "embeddings").withColumn("text", c("vec_id").cast("string")), lambda a, b: [(int(x) + int(y)) % 3 != 0 for x, y in zip(a, b)])
+    return search.resolve_ambiguous(index, same, 0.45).select(c("id").alias("vec_id"), "cluster", "contested")

@@ -60,3 +60,21 @@ def test_appends_and_edge_cases(spark):
     assert VectorIndex.build(frame(spark, x).limit(0)).nearest(frame(spark, x), 1).count() == 0
     classes = {r.vec_id: r.cluster for r in search.similarity_classes(frame(spark, x), 0.999).collect()}
     assert classes[62] == classes[63] == 62 and classes[61] == 61 and classes[64] == 64 and len(classes) == len(x)
+
+
+def test_doubtful_pairs_and_verdicts(spark):
+    angle = np.array([0.0, 0.1, 0.7, 0.8, 1.5, 1.6, 3.0])  # neighbours of 0.1 are sure, those of 0.6 to 0.7 doubtful
+    index = VectorIndex.build(frame(spark, np.stack([np.cos(angle), np.sin(angle)], 1)))
+    pairs = {(r.a, r.b) for r in search.doubtful_pairs(index, 0.75, 0.95, 1).collect()}
+    cos = np.round(np.cos(angle[:, None] - angle[None, :]), 9)
+    inside = np.where((cos >= 0.75) & (cos < 0.95), cos, -9)
+    want = {tuple(sorted((i, int(inside[i].argmax())))) for i in range(7) if inside[i].max() > 0}
+    assert pairs == want and (1, 2) in want
+    ask = lambda rows: {r.id: (r.cluster, r.contested) for r in search.resolve_ambiguous(index, spark.createDataFrame(rows, "a long, b long, verdict boolean"), 0.95).collect()}
+    assert ask([(1, 2, True), (3, 4, False)]) == {0: (0, False), 1: (0, False), 2: (0, False), 3: (0, False), 4: (4, False), 5: (4, False), 6: (6, False)}
+    assert ask([(1, 2, True), (0, 3, False)]) == {0: (0, True), 1: (0, True), 2: (2, True), 3: (2, True), 4: (4, False), 5: (4, False), 6: (6, False)}
+    near = search.conflict_candidates(frame(spark, [[1.0, 0.05]]).selectExpr("vec_id + 100 as vec_id", "embedding"), frame(spark, np.stack([np.cos(angle), np.sin(angle)], 1)), 2)
+    assert sorted((r.a, r.b) for r in near.collect()) == [(100, 0), (100, 1)]
+    texts = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "vec_id long, text string")
+    got = search.judged(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), texts, lambda a, b: [x == y for x, y in zip(a, b)])
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 3, False)]
