@@ -112,3 +112,37 @@ def test_rows_that_wait_too_long_expire(spark, tmp_path):
     run = events.expired(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [(r.source_id, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "awaiting_approval")]
+
+
+def test_words_in_order():
+    """Never more than the longest common subsequence, all of equal texts, and nearly all of texts with few edits; a long text is no matter."""
+    import random
+    import time
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(1)
+    for k in range(300):
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("12") for _ in range(rng.randrange(40))]
+        b = [w for w in a if rng.random() > 0.1] + ["new"] * rng.randrange(2)
+        if k % 4 == 0:
+            rng.shuffle(b)
+        assert checks.words_in_order(a, b) <= longest(a, b) and checks.words_in_order(a, a) == len(a)
+    a = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    b = [w for w in a if rng.random() > 0.02]
+    began = time.process_time()
+    assert checks.words_in_order(a, b) > 0.97 * len(b) and time.process_time() - began < 10
+
+
+def test_marks_after_tags_go(spark):
+    lines = ["<mark>## Điều 2. X</mark>", "**Điều 39.**<sup>45</sup> _tên_", "> # <b>a_b</b> __c__ *d*", "2 < 3 và 4 > 1", None]
+    got = [r.m for r in spark.createDataFrame([(t,) for t in lines], "t string").select(tx.strip_markup(F.col("t")).alias("m")).collect()]
+    assert got == ["Điều 2. X", "Điều 39. tên", "a_b c d", "2 < 3 và 4 > 1", None]
+    assert [u[1:3] + (u[5],) for u in legal.parse_units("<mark>## Điều 2. X</mark>\n1. một")] == [(None, "2", "X"), (None, "2", None)]
