@@ -27,10 +27,10 @@ def said(*parts) -> F.Column:
     return F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
 
 
-@query("select p_partkey, p_partkey || '/2023/ND-CP' || case when p_partkey % 2 = 0 then ',' || (p_partkey + 1) || '/QD-BCA' else '' end as numbers from part where p_partkey between 1 and 9999")
+@query("select p_partkey, (p_partkey % 9999 + 1) || '/2023/ND-CP' || case when p_partkey % 2 = 0 then ',' || (p_partkey % 9999 + 2) || '/QD-BCA' else '' end as numbers from part")
 def doc_numbers_fold(spark, sf):
-    text = said("Theo Nghị định số ", c("k"), " / 2023/NĐ–CP ngày 1/2/2023", F.when(c("p_partkey") % 2 == 0, said(" và ", (c("p_partkey") + 1).cast("string"), "/QĐ-BCA")).otherwise(""), ".")
-    return part_of(spark, sf).where("p_partkey between 1 and 9999").select("p_partkey", F.array_join(tx.doc_numbers(text), ",").alias("numbers"))
+    text = said("Theo Nghị định số ", (c("p_partkey") % 9999 + 1).cast("string"), " / 2023/NĐ–CP ngày 1/2/2023", F.when(c("p_partkey") % 2 == 0, said(" và ", (c("p_partkey") % 9999 + 2).cast("string"), "/QĐ-BCA")).otherwise(""), ".")
+    return part_of(spark, sf).select("p_partkey", F.array_join(tx.doc_numbers(text), ",").alias("numbers"))
 
 
 @query("select p_partkey, lower(p_name) || '|' || lower(p_type) as phrases from part")
@@ -38,10 +38,10 @@ def quoted_phrases(spark, sf):
     return part_of(spark, sf).select("p_partkey", F.array_join(tx.quoted_phrases(said('tìm "', c("p_name"), '" hay «', c("p_type"), "» và x")), "|").alias("phrases"))
 
 
-@query("select p_partkey, 'phong_chay_chua_chay ' || array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), ' ') as terms from part where p_partkey between 1 and 9999 and regexp_matches(p_name, '^[a-z]+ [a-z]+$') and string_split(p_name, ' ')[1] <> string_split(p_name, ' ')[2]")
+@query("select p_partkey, 'phong_chay_chua_chay ' || array_to_string(list_filter(list_distinct_in_order, lambda x: x <> ''), ' ') as terms from (select p_partkey, list_filter(string_split(p_name, ' '), lambda x, i: list_position(string_split(p_name, ' '), x) = i) as list_distinct_in_order from part)")
 def keyword_terms(spark, sf):
-    rows = part_of(spark, sf).where(r"p_partkey between 1 and 9999 and p_name rlike '^[a-z]+ [a-z]+$' and split_part(p_name, ' ', 1) != split_part(p_name, ' ', 2)")
-    return rows.select("p_partkey", F.array_join(tx.keyword_terms(said("Phòng cháy chữa cháy của ", c("p_name"), " theo ", c("k"), "/2023/NĐ-CP là gì?")), " ").alias("terms"))
+    number = (c("p_partkey") % 9999 + 1).cast("string")
+    return part_of(spark, sf).select("p_partkey", F.array_join(tx.keyword_terms(said("Phòng cháy chữa cháy của ", c("p_name"), " theo ", number, "/2023/NĐ-CP là gì?")), " ").alias("terms"))
 
 
 @query("select p_partkey, lower(p_name) || ',' || lower(p_type) as rows from part")
@@ -195,12 +195,12 @@ def chunk_islands(spark, sf):
     return checks.islands(hits, "conv_id", "turn", "text", "score").select("conv_id", "first", "last", F.md5("text").alias("body"), "score")
 
 
-_LINES = "z as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, l_quantity::BIGINT as size, l_linenumber % 2 as tier from lineitem where l_orderkey % 4 = 0)"
+_LINES = "z as (select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, l_quantity::BIGINT as size, l_linenumber % 2 as tier from lineitem)"
 
 
 def lines_of(spark, sf) -> DataFrame:
     i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return table(spark, sf, "lineitem").where("l_orderkey % 4 = 0").select(c("l_orderkey").alias("doc_id"), i.cast("long").alias("idx"), c("l_quantity").cast("long").alias("size"), (c("l_linenumber") % 2).alias("tier"))
+    return table(spark, sf, "lineitem").select(c("l_orderkey").alias("doc_id"), i.cast("long").alias("idx"), c("l_quantity").cast("long").alias("size"), (c("l_linenumber") % 2).alias("tier"))
 
 
 @query(f"""with recursive {_LINES}, o as (select *, row_number() over (partition by k order by tier, i) as r from z),
@@ -233,13 +233,13 @@ def legal_route_exact(spark, sf):
     return search.route(units, "12/2023/ND-CP", "1").select("unit_id", "step")
 
 
-@query("""with w as (select doc_id, length(text)::DOUBLE as prior, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+') as ws from documents where doc_id % 5 = 0),
+@query("""with w as (select doc_id, length(text)::DOUBLE as prior, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+') as ws from documents),
 x as (select doc_id, prior, ws, list_distinct(ws) as ds, ['the', 'and'] as q from w),
 s as (select doc_id, prior, case when len(ds) = 0 then 0.0 else round(0.5 * len(list_intersect(q, ds)) / 2.0::DOUBLE + 0.2 * len(list_intersect(q, ds)) / len(list_distinct(list_concat(q, ds)))::DOUBLE + case when contains(array_to_string(ws, ' '), 'the and') then 0.3 else 0.0 end, 4) end::DOUBLE as own from x),
 b as (select doc_id, 0.6 * own + 0.4 * prior / (select max(prior) from s) as score from s)
 select doc_id, round(score, 4) as score from b where round(score, 4) >= 0.2""".replace("\\\\", "\\"))
 def rerank_prior_threshold(spark, sf):
-    rows = table(spark, sf, "documents").where("doc_id % 5 = 0").select("doc_id", "text", F.length("text").cast("double").alias("prior"))
+    rows = table(spark, sf, "documents").select("doc_id", "text", F.length("text").cast("double").alias("prior"))
     kept = search.pass_threshold(search.local_rerank(rows, "the and", prior="prior"))
     return kept.select("doc_id", c("rerank_score").alias("score"))
 
@@ -372,13 +372,13 @@ def log_pages(spark, sf):
     return upkeep.append_log(logs, entries)
 
 
-@query(r"""with c as (select o_orderkey as claim_id, o_custkey % 50 as doc_id, case o_orderkey % 3 when 0 then 'The ' || p_name || '''s maker' when 1 then upper(p_name) else p_name || 'x' end as subject, o_orderkey % 400 as o, case when o_orderkey % 2 = 0 then 3000 end as len from orders join part on p_partkey = o_custkey)
-select p.p_partkey as item, claim_id, c.doc_id, md5(coalesce(substring(d.text, o + 1, least(coalesce(len, 200), 2000)), '')) as excerpt from c join part p on p.p_partkey < 40 and regexp_matches(c.subject, '(?i)\b' || p.p_name || '\b') left join documents d on d.doc_id = c.doc_id""")
+@query(r"""with c as (select o_orderkey as claim_id, o_custkey % 50 as doc_id, case o_orderkey % 3 when 0 then 'The ' || p_name || '''s maker' when 1 then upper(p_name) else p_name || 'x' end as subject, p_name as own, o_orderkey % 400 as o, case when o_orderkey % 2 = 0 then 3000 end as len from orders join part on p_partkey = o_custkey)
+select p.item, claim_id, c.doc_id, md5(coalesce(substring(d.text, o + 1, least(coalesce(len, 200), 2000)), '')) as excerpt from c join (select lower(p_name) as name, min(p_partkey) as item from part group by 1) p on c.claim_id % 3 <> 2 and p.name = lower(c.own) left join documents d on d.doc_id = c.doc_id""")
 def evidence_excerpts(spark, sf):
     k = c("o_orderkey")
     subject = F.when(k % 3 == 0, said("The ", c("p_name"), "'s maker")).when(k % 3 == 1, F.upper("p_name")).otherwise(said(c("p_name"), "x"))
     claims = table(spark, sf, "orders").join(table(spark, sf, "part"), c("p_partkey") == c("o_custkey")).select(k.alias("claim_id"), (c("o_custkey") % 50).alias("doc_id"), subject.alias("subject"), (k % 400).alias("offset"), F.when(k % 2 == 0, 3000).alias("length"))
-    items = table(spark, sf, "part").where("p_partkey < 40").select(c("p_partkey").alias("item"), c("p_name").alias("name"))
+    items = table(spark, sf, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("item"))
     return consolidate.assemble_evidence(items, claims, table(spark, sf, "documents"), "doc_id", "text").select("item", "claim_id", "doc_id", F.md5("excerpt").alias("excerpt"))
 
 

@@ -188,12 +188,12 @@ def concept_near_merge(spark, sf):
     return consolidate.fold_classes(part, part.select("id", (c("id") % 40).alias("cluster")))
 
 
-_SECTIONS = """s as (select distinct l_orderkey % 300 as doc_id, l_linenumber as idx, (l_linenumber - 1) * 3000 as a, l_linenumber * 3000 as b from lineitem), h as (select l_orderkey % 300 as doc_id, l_partkey * 7 % 20000 as pos from lineitem where l_orderkey % 300 < 200 and l_linenumber = 1)"""
+_SECTIONS = """s as (select distinct l_orderkey % 300 as doc_id, l_linenumber as idx, (l_linenumber - 1) * 3000 as a, l_linenumber * 3000 as b from lineitem), h as (select l_orderkey % 300 as doc_id, l_partkey * 7 % 20000 as pos from lineitem where l_linenumber = 1 and l_returnflag = 'R')"""
 
 
 def sections_of(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf, "lineitem").select((c("l_orderkey") % 300).alias("doc_id"), c("l_linenumber").alias("idx"), (c("l_partkey") * 7 % 20000).alias("pos"))
-    return rows.select("doc_id", "idx", ((c("idx") - 1) * 3000).alias("start"), (c("idx") * 3000).alias("end")).distinct(), rows.where("doc_id < 200 and idx = 1").select("doc_id", "pos")
+    rows = table(spark, sf, "lineitem").select((c("l_orderkey") % 300).alias("doc_id"), c("l_linenumber").alias("idx"), (c("l_partkey") * 7 % 20000).alias("pos"), (c("l_returnflag") == "R").alias("cited"))
+    return rows.select("doc_id", "idx", ((c("idx") - 1) * 3000).alias("start"), (c("idx") * 3000).alias("end")).distinct(), rows.where("cited and idx = 1").select("doc_id", "pos")
 
 
 @query(f"""with {_SECTIONS}, m as (select s.*, pos, pos >= a and pos < b as inside, least(abs(pos - a), abs(pos - b)) as away from s left join h using (doc_id))
