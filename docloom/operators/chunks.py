@@ -45,23 +45,22 @@ def windows(docs: DataFrame, doc: str, text: str, size: int = SIZE, overlap: int
 
 
 def outline(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, idx, level, title, start, end, parent): headings, each up to the next; parent is the nearest one above of a lower level."""
+    """(doc, idx, level, title, start, end, parent): headings, each up to the next; parent is the nearest one above of a lower level.
+
+    A heading is a narrow row; places are running sums over a text's headings, and parents the last ones of each lower level.
+    """
     parts = F.split(F.col(text), HEADING.replace("(#{1,6})", "#{1,6}").replace("(.+?)", ".+?"), -1)
     marks, titles, whole = (F.regexp_extract_all(F.col(text), F.lit(f"({HEADING})" if k == 0 else HEADING), F.lit(1 if k == 0 else k)) for k in (1, 2, 0))
-    zipped = F.arrays_zip(marks.alias("mark"), titles.alias("title"), whole.alias("whole"), F.slice(parts, F.lit(1), F.size(marks)).alias("before"))
-    placed = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<level:int,title:string,start:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.length(x["mark"]).alias("level"), x["title"].alias("title"), (acc["at"] + F.length(x["before"])).alias("start")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    heads = docs.select(doc, F.length(text).alias("__size"), placed.alias("__heads")).select(doc, "__size", "__heads", F.posexplode("__heads").alias("idx", "h"))
-    parent = F.array_max(F.transform(F.filter(F.transform(F.slice(F.col("__heads"), F.lit(1), F.greatest(F.col("idx"), F.lit(0))), lambda x, i: F.struct(i.alias("i"), x["level"].alias("level"))), lambda x: x["level"] < F.col("h.level")), lambda x: x["i"]))
-    following = F.get("__heads", F.col("idx") + 1)["start"]
-    return heads.select(doc, "idx", "h.level", "h.title", "h.start", F.coalesce(following, F.col("__size")).alias("end"), parent.alias("parent"))
+    of = lambda x: F.transform(x, lambda y: F.length(y))
+    zipped = F.arrays_zip(of(marks).alias("level"), titles.alias("title"), of(whole).alias("whole"), of(F.slice(parts, F.lit(1), F.size(marks))).alias("before"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), doc, F.length(text).alias("__size"), zipped.alias("__heads"))
+    heads = numbered.select("__row", doc, "__size", F.posexplode("__heads").alias("idx", "h")).select("__row", doc, "__size", "idx", "h.*")
+    own = W.partitionBy("__row", doc).orderBy("idx")
+    above = own.rowsBetween(W.unboundedPreceding, -1)
+    last = {k: F.max(F.when(F.col("level") == k, F.col("idx"))).over(above).alias(f"__l{k}") for k in range(1, 6)}
+    placed = heads.select("*", (F.coalesce(F.sum(F.col("before") + F.col("whole")).over(above), F.lit(0)) + F.col("before")).cast("int").alias("start"), *last.values())
+    parent = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, F.col(f"__l{k}")) for k in last))
+    return placed.select(doc, "idx", "level", "title", "start", F.coalesce(F.lead("start").over(own), F.col("__size")).alias("end"), parent.alias("parent"))
 
 
 def smallest_section(sections: DataFrame, positions: DataFrame, doc: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import editing, search, textindex, unified
+from docloom.operators import chunks, editing, search, textindex, unified
 from docloom.operators.vectorindex import VectorIndex
 from docloom.plans.catalog import _ALIKE, c, query, table
 from docloom.plans.flows import events_stream
@@ -145,3 +145,23 @@ def ambiguous_concepts(spark, sf):
     pairs = search.doubtful_pairs(index, 0.38, 0.45)
     same = search.judged(pairs, table(spark, sf, "embeddings").withColumn("text", c("vec_id").cast("string")), lambda a, b: [(int(x) + int(y)) % 3 != 0 for x, y in zip(a, b)])
     return search.resolve_ambiguous(index, same, 0.45).select(c("id").alias("vec_id"), "cluster", "contested")
+
+
+_MARKED = "html"
+for _level in range(6, 0, -1):
+    _MARKED = f"regexp_replace({_MARKED}, '(?i)<h{_level}[^>]*>', chr(10) || '{'#' * _level} ', 'g')"
+
+
+@query(rf"""with t as (select page_id, chr(10) || {_MARKED} || chr(10) || '## last' as t from pages),
+l as (select page_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i, length(t) as size from t),
+o as (select *, coalesce(sum(length(line) + 1) over (partition by page_id order by i rows between unbounded preceding and 1 preceding), 0) as place from l),
+h as (select *, row_number() over (partition by page_id order by i) - 1 as idx, length(regexp_extract(line, '^(#+)[ 	]+[^ 	]', 1)) as level from o where regexp_matches(line, '^#{{1,6}}[ 	]+[^ 	]'))
+select page_id, idx::INT as idx, level::INT as level, md5(trim(regexp_extract(line, '^#+[ 	]+(.+)$', 1), ' ' || chr(9) || chr(13))) as title, place::BIGINT as start_at, coalesce(lead(place) over (partition by page_id order by idx), size)::BIGINT as end_at,
+  (select max(g.idx) from h g where g.page_id = h.page_id and g.idx < h.idx and g.level < h.level)::INT as parent from h""")
+def page_outline(spark, sf):
+    """Headings with levels, titles, places and parents."""
+    marked = c("html")
+    for level in range(6, 0, -1):
+        marked = F.regexp_replace(marked, f"(?i)<h{level}[^>]*>", "\n" + "#" * level + " ")
+    found = chunks.outline(table(spark, sf, "pages").select("page_id", F.concat(F.lit("\n"), marked, F.lit("\n## last")).alias("t")), "page_id", "t")
+    return found.select("page_id", "idx", "level", F.md5(F.trim("title")).alias("title"), c("start").cast("long").alias("start_at"), c("end").cast("long").alias("end_at"), "parent")
