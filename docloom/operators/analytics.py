@@ -211,3 +211,30 @@ def result_count(reply: Column, tool: Column, status: Column) -> Column:
     for hint in NO_RESULT:
         none = none | F.contains(F.lower(reply), F.lit(hint))
     return F.when(reply.isNull(), None).when(none, 0).otherwise(F.coalesce(told, F.when(tool.isin(*ONE_RESULT) & (status == "ok"), 1)))
+
+
+#: Log of the number of registers of a sketch.
+SKETCH = 14
+
+
+def daily_users(log: DataFrame) -> DataFrame:
+    """(day, part, bits, sketch): who was there on each day, as bitmaps of 32,768 ids each and as a mergeable sketch of each part.
+
+    The rows of a day are all that longer spans need, so the log is read once, and a late day replaces its own rows alone.
+    """
+    # Spark's bitmaps count from 1.
+    at = F.col("user_id").cast("long") + 1
+    seen = log.where("user_id is not null").select(day_of(F.col("ts")).alias("day"), F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"), F.col("user_id").cast("long").alias("u"))
+    return seen.groupBy("day", "part").agg(F.bitmap_construct_agg("bit").alias("bits"), F.hll_sketch_agg("u", F.lit(SKETCH)).alias("sketch"))
+
+
+def users_of_days(daily: DataFrame, days: int = WEEK) -> DataFrame:
+    """(day, users, estimate) of the ``days`` up to each day that has rows: exactly by bitmaps, and by sketches alone."""
+    reach = daily.select("part", "bits", "sketch", F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("day"))
+    merged = reach.join(daily.select("day").distinct(), "day", "left_semi").groupBy("day", "part").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.groupBy("day").agg(F.sum("n").alias("users"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
+def replace_days(daily: DataFrame, late: DataFrame) -> DataFrame:
+    """``daily`` with the days of ``late`` (rows of ``daily_users``) in place of its own."""
+    return daily.join(late.select("day").distinct(), "day", "left_anti").unionByName(late)

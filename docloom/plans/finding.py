@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import chunks, editing, search, textindex, unified
+from docloom.operators import analytics, chunks, editing, search, textindex, unified
 from docloom.operators.vectorindex import VectorIndex
-from docloom.plans.catalog import _ALIKE, c, query, table
+from docloom.plans.catalog import _ALIKE, _LOG, _WEEK, c, log_of, query, table
 from docloom.plans.flows import events_stream
-from docloom.session import shared_dir
+from docloom.session import shared_dir, staged
 from docloom.streaming import attempts
 from docloom.streaming import events as ev
 
@@ -165,3 +165,10 @@ def page_outline(spark, sf):
         marked = F.regexp_replace(marked, f"(?i)<h{level}[^>]*>", "\n" + "#" * level + " ")
     found = chunks.outline(table(spark, sf, "pages").select("page_id", F.concat(F.lit("\n"), marked, F.lit("\n## last")).alias("t")), "page_id", "t")
     return found.select("page_id", "idx", "level", F.md5(F.trim("title")).alias("title"), c("start").cast("long").alias("start_at"), c("end").cast("long").alias("end_at"), "parent")
+
+
+@query(f"with {_LOG} select day, users, true as near from {_WEEK}")
+def wau_from_days(spark, sf):
+    """Weekly users from the stored rows of days; near: whether the estimate by sketches alone is within 3 % of the exact number."""
+    daily = staged(analytics.daily_users(log_of(spark, sf)), "days")
+    return analytics.users_of_days(daily).select("day", "users", (F.abs(c("estimate") - c("users")) <= 0.03 * c("users") + 1).alias("near"))

@@ -296,3 +296,20 @@ def test_small_text_operators(spark, tmp_path):
     docs = frame(spark, [(1, "one two"), (2, "two"), (3, "xonex")], "doc_id long, text string")
     ids = lambda *t: [(r.doc_id, r.step) for r in search.content_search(docs, list(t)).collect()]
     assert ids("one", "two") == [(1, 1)] and ids("two", "nine") == [(1, 2), (2, 2)] and ids("xon") == [(3, 3)]
+
+
+def test_users_from_stored_days(spark):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    log = spark.range(40_000).select((F.col("id") * 7919 % 90_001).alias("user_id"), F.lit(day).cast("timestamp").alias("start"), (F.col("id") % 9).cast("int").alias("d")).selectExpr("user_id", "start + make_interval(0, 0, 0, d) as ts")
+    log = log.unionByName(spark.createDataFrame([(None, day)], "user_id long, ts timestamp"))
+    daily = analytics.daily_users(log)
+    exact = {r.day: r.users for r in analytics.rolling_users(log).collect()}
+    got = {r.day: (r.users, r.estimate) for r in analytics.users_of_days(daily).collect()}
+    assert {d: u for d, (u, _) in got.items()} == exact and all(abs(e - u) < 0.03 * u for u, e in got.values())
+    third = F.to_date("ts") == F.lit(day.date() + datetime.timedelta(2))
+    more = log.where(third).unionByName(spark.createDataFrame([(10**6, day + datetime.timedelta(2))], "user_id long, ts timestamp"))
+    late = analytics.replace_days(daily, analytics.daily_users(more))  # only the third day's rows are made anew
+    whole = {r.day: r.users for r in analytics.rolling_users(log.where(~third).unionByName(more)).collect()}
+    assert {r.day: r.users for r in analytics.users_of_days(late).collect()} == whole != exact
