@@ -96,8 +96,20 @@ class VectorIndex:
 
         return rows.mapInPandas(run, kind)
 
-    def _parts(self, sizes: np.ndarray) -> list[int]:
-        return [max(1, -(-int(n) // BLOCK)) for n in sizes]
+    @staticmethod
+    def _deal(sizes: np.ndarray) -> tuple[list[int], list[int]]:
+        """Each cell's first block and number of blocks: large cells have several, small ones share one."""
+        start, parts, block, room = [], [], -1, 0
+        for n in sizes.tolist():
+            k = max(1, -(-n // BLOCK))
+            if k > 1 or n > room:
+                start.append(block + 1)
+                block, room = block + k, 0 if k > 1 else BLOCK - n
+            else:
+                start.append(block)
+                room -= n
+            parts.append(k)
+        return start, parts
 
     def _visits(self, rows: DataFrame, least: float | None, first: int | None) -> DataFrame:
         """``rows`` (id, v, cell[, reach]) with the cells that each must visit: those of a cosine of ``least`` or within its ``reach``;
@@ -137,21 +149,19 @@ class VectorIndex:
 
     def _meet(self, visits: DataFrame, work, kind: str) -> DataFrame:
         """``work`` (queries, members, allowed) over blocks of visiting rows and of members, as matrices of cosines."""
-        parts = self._parts(self.sizes)
-        base = np.concatenate([[0], np.cumsum(parts)]).tolist()
         lit = lambda xs: F.array(*(F.lit(int(x)) for x in xs))
-        block = lambda cell: F.get(lit(base), cell) + F.pmod(F.xxhash64("id"), F.get(lit(parts), cell)).cast("int")
-        # Visiting rows are dealt by their own cell, so that those of one block visit few.
-        seen = np.zeros(len(parts), np.int64)
+        seen = np.zeros(len(self.sizes), np.int64)
         for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect():
             seen[r.cell] = r.n
-        own_parts = self._parts(seen)
-        own_base = np.concatenate([[0], np.cumsum(own_parts)]).tolist()
-        mine = F.get(lit(own_base), F.col("cell")) + F.pmod(F.xxhash64("id", "v"), F.get(lit(own_parts), F.col("cell"))).cast("int")
-        targets = F.array_distinct(F.flatten(F.transform("visits", lambda c: F.sequence(F.get(lit(base), c), F.get(lit(base), c + 1) - 1))))
+        start, parts = map(lit, self._deal(self.sizes))
+        # Visiting rows are dealt by their own cell, so that those of one block visit few.
+        own_start, own_parts = map(lit, self._deal(seen))
+        block = F.get(start, F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).cast("int")
+        mine = F.get(own_start, F.col("cell")) + F.pmod(F.xxhash64("id", "v"), F.get(own_parts, F.col("cell"))).cast("int")
+        targets = F.array_distinct(F.flatten(F.transform("visits", lambda c: F.sequence(F.get(start, c), F.get(start, c) + F.get(parts, c) - 1))))
         left = visits.withColumn("j", mine).withColumn("i", F.explode(targets))
         pairs = left.select("i", "j").distinct()
-        right = self.members.withColumn("i", block(F.col("cell"))).join(pairs, "i")
+        right = self.members.withColumn("i", block).join(pairs, "i")
         sees = [F.col(c) if c in visits.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("tags", "array<string>"), ("inverse", "boolean"))]
         both = left.select("i", "j", "id", "v", "cell", "visits", *sees).unionByName(right.select("i", "j", "id", "v", "cell", F.lit(None).cast("array<int>").alias("visits"), "tag"), allowMissingColumns=True)
         empty = pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")})
