@@ -78,3 +78,14 @@ def test_doubtful_pairs_and_verdicts(spark):
     texts = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "vec_id long, text string")
     got = search.judged(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), texts, lambda a, b: [x == y for x, y in zip(a, b)])
     assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 3, False)]
+
+
+def test_blocks_are_few_and_bounded():
+    """A row is sent to each block of the other side: about BLOCKS of them, until one would hold more than MOST."""
+    for cells, each in ((512, 1200), (512, 100), (1, 500_000), (512, 6000)):
+        sizes = np.full(cells, each)
+        start, parts = vectorindex.VectorIndex._deal(sizes)
+        held = np.zeros(max(s + p for s, p in zip(start, parts)))
+        for s, p, n in zip(start, parts, sizes):
+            held[s : s + p] += n / p
+        assert held.max() <= vectorindex.MOST and len(held) <= 2 * max(vectorindex.BLOCKS, sizes.sum() / vectorindex.MOST)
