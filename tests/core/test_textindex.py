@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.operators import search, textindex
@@ -91,3 +92,19 @@ def test_engine_answers_from_the_index(spark, tmp_path, small):
     for visible in (None, F.col("lang") == "a"):
         with_index, without = (KnowledgeEngine(spark, docs, visible=visible, index=i).search("phòng cháy licence", 5) for i in (index, None))
         assert [r.doc_id for r in with_index.collect()] == [r.doc_id for r in without.collect()]
+
+
+def test_best_of_many_equals_all_hits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "RANGE_ROWS", 64)
+    monkeypatch.setattr(textindex, "GROUP_RANGES", 2)
+    far = 1 << 60  # keys that a double does not hold
+    docs = frame(spark, [(k if k is None else k + far, t) for k, t in rows(250) if k != 3])
+    index = textindex.build(docs, f"{tmp_path}/index", buckets=3)
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.lit("g").alias("group"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("scope"))
+    asked = [(far + 1, ["an", "toan"], [["an", "toan"]], None), (far + 2, [], [["the", "the"]], ["odd"]), (far + 3, ["the", "x1", "nothing"], [], ["even", "odd"]), (far + 4, ["the"], [], []), (far + 5, [], [], None)]
+    queries = spark.createDataFrame(asked, "query long, terms array<string>, phrases array<array<string>>, scopes array<string>")
+    met = index.lexical_many(queries).join(own, "key").join(queries.select("query", "scopes"), "query").where("scopes is null or array_contains(scopes, scope)")
+    order = Window.partitionBy("query").orderBy(F.desc("needle"), F.desc("all_terms"), F.desc("hits"), F.desc("tf"), "key")
+    best = lambda df: told(df.withColumn("rank", F.row_number().over(order)).where("rank <= 7").select("query", "key", "needle", "all_terms", "hits", "tf", "rank"))
+    got = index.best_many(queries, own, 7)
+    assert best(got) == best(met) and got.groupBy("query").count().count() == 3
