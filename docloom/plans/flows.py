@@ -12,6 +12,7 @@ from docloom.functions import text as tx
 from docloom.operators import access, analytics, checks, chunks, consolidate, graph, legal, search, upkeep, versions
 from docloom.plans.catalog import _GAP, ORACLES, QUERIES, c, query, table
 from docloom.plans.reading import _SECTIONS, acts, links_of, sections_of
+from docloom.session import spread
 from docloom.streaming import events as ev
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,7 +21,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def part_of(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").withColumn("k", c("p_partkey").cast("string"))
+    return spread(table(spark, sf, "part")).withColumn("k", c("p_partkey").cast("string"))
 
 
 def said(*parts) -> F.Column:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import consolidate, search, upkeep
+from docloom.plans import flows
+from docloom.session import spread
 from docloom.streaming import events as ev
 
 SOURCE = "source_id long, status string, chunk_status string, wiki_status string, phase string, has_text boolean, verbatim boolean, recoveries int, by_admin boolean, asked string"
@@ -84,3 +86,15 @@ def test_debounced_users_expire_without_loss(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id long").option("maxFilesPerTrigger", 1).parquet(path)
     got = sorted((r.ts - t).total_seconds() for r in ev.drained(ev.debounced(stream, delay="1 minute"), "append").collect())
     assert got == [0, 70, 7200, 7290, 20000]
+
+
+def parts(spark, path, n: int) -> str:
+    """A folder with a part table of ``n`` rows in one file."""
+    spark.range(n).selectExpr("id as p_partkey", "concat('green part ', id % 7) as p_name", "'ECO TIN' as p_type").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_parts_of_one_file_go_to_many_tasks(spark, tmp_path):
+    made = flows.keyword_terms(spark, parts(spark, tmp_path, 25_001))
+    assert made.rdd.getNumPartitions() == 3 and made.select("p_partkey").distinct().count() == 25_001
+    assert spread(spark.range(0)).count() == 0 and spread(spark.range(30), 10).rdd.getNumPartitions() == 3
