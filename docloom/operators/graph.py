@@ -35,8 +35,9 @@ def orphans(slugs: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
     """(node, dist): what is reachable from ``seeds`` (node) in at most ``depth`` (1 to 3) steps along edges of either way."""
     depth = min(3, max(1, depth))
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("node")).union(edges.select(b, a)).where("u is not null and node is not null").distinct()
-    both = staged(both, "edges")  # each step reads it
+    # Each step reads the edges, so they are written once.  Repeated ones stay: a step's nodes are made distinct anyhow, and there are fewer of them.
+    edges = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("node")).where("u is not null and node is not null"), "edges")
+    both = edges.union(edges.select("node", "u"))
     found = staged(seeds.select("node", F.lit(0).alias("dist")).distinct(), "front")
     front = found
     for step in range(1, depth + 1):

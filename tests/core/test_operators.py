@@ -319,3 +319,19 @@ def test_users_from_stored_days(spark):
     late = analytics.replace_days(daily, analytics.daily_users(more))  # only the third day's rows are made anew
     whole = {r.day: r.users for r in analytics.rolling_users(log.where(~third).unionByName(more)).collect()}
     assert {r.day: r.users for r in analytics.users_of_days(late).collect()} == whole != exact
+
+
+def test_neighbourhood_does_not_group_edges(spark):
+    edges = frame(spark, [(1, 2), (1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (None, 1), (9, None), (1, 1)], "a long, b long")
+    was, seen = graph.staged, {}
+
+    def noted(df, what="table"):
+        seen.setdefault(what, df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df, what)
+
+    graph.staged = noted
+    try:
+        got = graph.neighbourhood(edges, frame(spark, [(1,)], "node long"), 3).collect()
+    finally:
+        graph.staged = was
+    assert sorted((r.node, r.dist) for r in got) == [(1, 0), (2, 1), (3, 2), (4, 3)] and "Aggregate" not in seen["edges"]
