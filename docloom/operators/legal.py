@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import dates
@@ -26,6 +27,8 @@ RELATIONS = [
     ("dan_chieu", r"(?:quy\s+định|hướng\s+dẫn)\s+tại\s+(?:khoản\s+(\d+)\s+)?Điều\s+(\d+[a-z]?)([^;\n.]*)"),
 ]
 WHOLE = [("thay_the", r"thay\s+thế\s+(?!khoản|điểm|Điều)"), ("bai_bo", r"bãi\s+bỏ\s+(?!khoản|điểm|Điều)")]
+#: What a line has where one of these patterns, an expiry or a basis is in it.
+SAYS = r"(?i)sửa\s|bổ\s|bãi\s|quy\s|hướng\s|thay\s|hết\s|căn\s"
 QUOTE, TAIL = 250, 160
 UNITS = "seq int, chapter string, article string, clause string, point string, title string, content string"
 LINKS = "seq int, relation string, target_number string, target_article string, target_clause string, quote string"
@@ -48,7 +51,7 @@ GLUED = r"(?<=\S)\s+(?=(\*\*)?_*Điều\s+\d+[a-z]?\.\s+[^\W\d_])"
 def _unglued(lines: list[str]) -> Iterator[str]:
     """Lines in which a heading follows other text, cut before it: one in bold, or after nothing but capitals; quoted ones stay."""
     for line in lines:
-        for m in re.finditer(GLUED, line):
+        for m in re.finditer(GLUED, line) if "Điều" in line else ():
             before = re.sub(r"</?[a-zA-Z][^>]*>", "", line[: m.start()])
             letters = [x for x in before if x.isalpha()]
             title = re.match(r"[*_]*Điều\s+\d+[a-z]?\.\s+(\S)", line[m.end() :])
@@ -69,7 +72,7 @@ def parse_units(text: str) -> list[tuple]:
     chapter = article = clause = None
     quoted, last = False, 0
     for line in _unglued(text.split("\n")):
-        bare = re.sub(tx.MARKUP, "", line).strip()
+        bare = (re.sub(tx.MARKUP, "", line) if re.search("[<>#*_]", line) else line).strip()
         opens = bare.count("“") + bare.count("”") + bare.count('"')
         m = re.match(ARTICLE, bare)
         if m and not m[2] and m[3][:1].islower():  # "Điều 51 của Luật ..." is a reference
@@ -103,6 +106,8 @@ def parse_relations(text: str, own: str | None) -> list[tuple]:
     first = next((n.upper() for n in re.findall(NUMBER, text) if n.upper() != own), None)
     rows = []
     for line in filter(None, map(str.strip, text.split("\n"))):
+        if not re.search(SAYS, line):
+            continue
         for kind, pattern in RELATIONS:
             for m in re.finditer("(?i)" + pattern, line):
                 found = re.search(NUMBER, m[3])
@@ -166,8 +171,6 @@ def with_validity(docs: DataFrame, cycles: DataFrame, today: Column) -> DataFram
 
 def slugs(found: DataFrame) -> DataFrame:
     """Articles with a slug of their own: number, document, and a counter where that is taken."""
-    from pyspark.sql import Window as W
-
     base = F.concat_ws("-", F.lit("dieu"), "article", tx.slugify(F.col("doc_number")))
     turn = F.row_number().over(W.partitionBy("__base").orderBy("unit_id"))
     return found.withColumn("__base", base).withColumn("slug", F.when(turn == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", turn.cast("string")))).drop("__base")

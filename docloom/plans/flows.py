@@ -11,7 +11,7 @@ from docloom.functions import status as st
 from docloom.functions import text as tx
 from docloom.operators import access, analytics, checks, chunks, consolidate, graph, legal, search, upkeep, versions
 from docloom.plans.catalog import _GAP, ORACLES, QUERIES, c, query, table
-from docloom.plans.reading import _SECTIONS, acts, links_of, sections_of
+from docloom.plans.reading import _SECTIONS, links_of, sections_of, units_of
 from docloom.session import spread
 from docloom.streaming import events as ev
 
@@ -275,9 +275,7 @@ def embed_inputs(spark, sf):
 
 @query("select p_partkey as k, relation, case when relation = 'sua_doi' and p_partkey + 1 in (select p_partkey from part) then (p_partkey + 1) * 10 + case when p_partkey % 2 = 0 then 0 else 3 end end as target_unit from part, (values ('can_cu'), ('sua_doi'), ('bai_bo')) as r(relation)")
 def legal_relink(spark, sf):
-    docs = acts(spark, sf)
-    known = legal.units(docs, "k", "text").join(docs.select("k", "number"), "k").select((c("k") * 10 + c("seq")).alias("unit_id"), c("number").alias("doc_number"), "article", "clause")
-    return legal.relink(links_of(spark, sf), known).select("k", "relation", "target_unit")
+    return legal.relink(links_of(spark, sf), units_of(spark, sf)).select("k", "relation", "target_unit")
 
 
 @query("select (p_partkey + 2) || '/2019/NĐ-CP' as target_number, '' as replaced_by, p_partkey || '/2020/NĐ-CP' as repealed_by from part")

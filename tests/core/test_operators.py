@@ -335,3 +335,9 @@ def test_neighbourhood_does_not_group_edges(spark):
     finally:
         graph.staged = was
     assert sorted((r.node, r.dist) for r in got) == [(1, 0), (2, 1), (3, 2), (4, 3)] and "Aggregate" not in seen["edges"]
+
+
+def test_lines_without_a_relation_say_nothing():
+    lines = ["Sửa  đổi Điều 1 Nghị định 1/2020/NĐ-CP", "BỔ SUNG khoản 2 Điều 3 Nghị định 2/2020/NĐ-CP", "bãi bỏ Điều 4 của Luật 3/2020/QH14", "hướng dẫn tại Điều 5 Luật 4/2020/QH14", "Thay thế Nghị định 5/2020/NĐ-CP", "Nghị định 6/2020/NĐ-CP hết hiệu lực", "CĂN CỨ Luật 7/2020/QH14;", "theo Luật 8/2020/QH14"]
+    got = [(r[1], r[2]) for r in legal.parse_relations("\n".join(lines), None)]
+    assert got == [("sua_doi", "1/2020/NĐ-CP"), ("bo_sung", "2/2020/NĐ-CP"), ("bai_bo", "3/2020/QH14"), ("dan_chieu", "4/2020/QH14"), ("thay_the", "5/2020/NĐ-CP"), ("het_hieu_luc", "6/2020/NĐ-CP"), ("can_cu", "7/2020/QH14")]
