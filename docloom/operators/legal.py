@@ -147,12 +147,17 @@ def relations(docs: DataFrame, key: str, text: str, number: str | None = None) -
 def relink(found: DataFrame, known: DataFrame) -> DataFrame:
     """Relations with target_unit: the clause's unit if there is one, else the article's, the least id of several; known has (unit_id, doc_number, article, clause)."""
     norm = lambda c: F.upper(F.trim(c))
-    by = known.groupBy(norm(F.col("doc_number")).alias("n"), F.lower("article").alias("a"), F.coalesce("clause", F.lit("")).alias("c")).agg(F.min("unit_id").alias("unit"))
-    exact = by.withColumnRenamed("unit", "exact")
-    whole = by.where("c = ''").select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("unit").alias("whole"))
-    t = found.withColumn("__n", norm(F.col("target_number"))).withColumn("__a", F.lower("target_article")).withColumn("__c", F.coalesce("target_clause", F.lit("")))
-    t = t.join(exact, (t["__n"] == exact["n"]) & (t["__a"] == exact["a"]) & (t["__c"] == exact["c"]), "left").join(whole, (t["__n"] == whole["n2"]) & (t["__a"] == whole["a2"]), "left")
-    return t.select(*found.columns, F.coalesce("exact", "whole").alias("target_unit"))
+    # Both sides are dealt once, by number and article, to as many tasks as the session's shuffles have: left to itself, Spark joins
+    # packed partitions to a few that fill a task's memory once they are unpacked.  Groups and join need no other shuffle.
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__n", "__a")
+    named = known.select(norm(F.col("doc_number")).alias("__n"), F.lower("article").alias("__a"), F.coalesce("clause", F.lit("")).alias("c"), "unit_id").where("__n is not null and __a is not null")
+    least = dealt(named).groupBy("__n", "__a", "c").agg(F.min("unit_id").alias("unit"))
+    by = least.groupBy("__n", "__a").agg(F.map_from_entries(F.collect_list(F.struct("c", "unit"))).alias("__units"))
+    # A relation without an article meets no unit; a number of its own keeps such rows from one task.
+    article = F.lower("target_article")
+    t = found.withColumn("__a", article).withColumn("__n", F.when(article.isNotNull(), norm(F.col("target_number"))).otherwise(F.xxhash64(*found.columns).cast("string")))
+    unit = lambda clause: F.try_element_at("__units", clause)
+    return dealt(t).join(by, ["__n", "__a"], "left").select(*found.columns, F.coalesce(unit(F.coalesce("target_clause", F.lit(""))), unit(F.lit(""))).alias("target_unit"))
 
 
 def lifecycle(found: DataFrame) -> DataFrame:

@@ -341,3 +341,19 @@ def test_lines_without_a_relation_say_nothing():
     lines = ["Sửa  đổi Điều 1 Nghị định 1/2020/NĐ-CP", "BỔ SUNG khoản 2 Điều 3 Nghị định 2/2020/NĐ-CP", "bãi bỏ Điều 4 của Luật 3/2020/QH14", "hướng dẫn tại Điều 5 Luật 4/2020/QH14", "Thay thế Nghị định 5/2020/NĐ-CP", "Nghị định 6/2020/NĐ-CP hết hiệu lực", "CĂN CỨ Luật 7/2020/QH14;", "theo Luật 8/2020/QH14"]
     got = [(r[1], r[2]) for r in legal.parse_relations("\n".join(lines), None)]
     assert got == [("sua_doi", "1/2020/NĐ-CP"), ("bo_sung", "2/2020/NĐ-CP"), ("bai_bo", "3/2020/QH14"), ("dan_chieu", "4/2020/QH14"), ("thay_the", "5/2020/NĐ-CP"), ("het_hieu_luc", "6/2020/NĐ-CP"), ("can_cu", "7/2020/QH14")]
+
+
+def test_relations_without_an_article_are_dealt_out(spark):
+    basis = spark.range(4000).select(F.col("id").alias("k"), F.lit("can_cu").alias("relation"), F.lit("5/2015/QH13").alias("target_number"), F.lit(None).cast("string").alias("target_article"), F.lit(None).cast("string").alias("target_clause"))
+    known = frame(spark, [(7, "5/2015/qh13", "1", None), (6, "5/2015/QH13", "1", "2"), (5, "5/2015/QH13", "1", "2"), (4, None, "1", None), (3, "5/2015/QH13", None, None)], "unit_id long, doc_number string, article string, clause string")
+    named = frame(spark, [(-1, "sua_doi", " 5/2015/qh13", "1", "2"), (-2, "sua_doi", "5/2015/QH13", "1", "9"), (-3, "sua_doi", None, "1", None)], "k long, relation string, target_number string, target_article string, target_clause string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linked = legal.relink(basis.unionByName(named), known)
+        dealt = [n for n in linked.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(dealt) == 4003 and max(dealt) < 2000
+    assert {r.k: r.target_unit for r in linked.where("k < 0").collect()} == {-1: 5, -2: 7, -3: None} and linked.where("target_unit is not null").count() == 2
