@@ -223,9 +223,12 @@ def document_relations(found: DataFrame) -> DataFrame:
 def unit_context(found: DataFrame, key: str) -> DataFrame:
     """Units (of ``units``) with full_path and, for clauses and points, the title and content of their article."""
     parts = [F.concat(F.lit("Chương "), "chapter"), F.concat(F.lit("Điều "), "article"), F.concat(F.lit("khoản "), "clause"), F.concat(F.lit("điểm "), "point")]
-    heads = found.where("clause is null and point is null").groupBy(key, "article").agg(F.min_by(F.struct("title", "content"), "seq").alias("a"))
-    inner = F.col("clause").isNotNull() | F.col("point").isNotNull()
-    return found.join(heads, [key, "article"], "left").select(*found.columns, F.concat_ws(" > ", *parts).alias("full_path"), F.when(inner, F.col("a.title")).alias("article_title"), F.when(inner, F.col("a.content")).alias("article_content"))
+    head = F.col("clause").isNull() & F.col("point").isNull()
+    # One pass makes units and their articles' heads; an article is a few hundred units at most, not a table.
+    own = F.min_by(F.when(head, F.struct("title", "content")), F.when(head, F.col("seq"))).over(W.partitionBy(key, "article"))
+    inner = (F.col("clause").isNotNull() | F.col("point").isNotNull()) & F.col(key).isNotNull() & F.col("article").isNotNull()
+    placed = found.withColumn("__a", own)
+    return placed.select(*found.columns, F.concat_ws(" > ", *parts).alias("full_path"), F.when(inner, F.col("__a.title")).alias("article_title"), F.when(inner, F.col("__a.content")).alias("article_content"))
 
 
 #: Relations after which a unit is not what it was.
