@@ -215,9 +215,11 @@ def document_relations(found: DataFrame) -> DataFrame:
     """
     norm = lambda name: F.upper(F.trim(F.col(name)))
     rest = ["relation", F.col("target_article").alias("article"), F.col("target_clause").alias("clause"), F.col("source_article").alias("from_article"), "quote"]
-    side = lambda own, way, other, rows: rows.select(norm(own).alias("doc_number"), F.lit(way).alias("direction"), norm(other).alias("other_number"), *rest)
-    foreign = found.where(F.col("target_number").isNotNull() & (norm("target_number") != F.coalesce(norm("source_number"), F.lit(""))))
-    return side("source_number", "outgoing", "target_number", found).unionByName(side("target_number", "incoming", "source_number", foreign))
+    side = lambda own, way, other: F.struct(norm(own).alias("doc_number"), F.lit(way).alias("direction"), norm(other).alias("other_number"))
+    foreign = F.col("target_number").isNotNull() & (norm("target_number") != F.coalesce(norm("source_number"), F.lit("")))
+    outgoing, incoming = side("source_number", "outgoing", "target_number"), side("target_number", "incoming", "source_number")
+    sides = F.when(foreign, F.array(outgoing, incoming)).otherwise(F.array(outgoing))  # one pass makes both
+    return found.select(F.explode(sides).alias("s"), *rest).select("s.*", "relation", "article", "clause", "from_article", "quote")
 
 
 def unit_context(found: DataFrame, key: str) -> DataFrame:

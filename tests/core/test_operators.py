@@ -357,3 +357,20 @@ def test_relations_without_an_article_are_dealt_out(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(dealt) == 4003 and max(dealt) < 2000
     assert {r.k: r.target_unit for r in linked.where("k < 0").collect()} == {-1: 5, -2: 7, -3: None} and linked.where("target_unit is not null").count() == 2
+
+
+def passes(df) -> int:
+    """How often Python reads rows in the plan that Spark would run."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas")
+
+
+def test_texts_are_parsed_once(spark):
+    docs = frame(spark, [(1, DECREE, "50/2024/NĐ-CP"), (None, DECREE, "50/2024/NĐ-CP")], "d long, t string, n string")
+    units = legal.unit_context(legal.units(docs, "d", "t"), "d")
+    assert passes(units) == 1
+    rows = units.where("article = '2' or clause is not null").collect()
+    assert all(r.article_title is None for r in rows if r.d is None or (r.clause or r.point) is None) and any(r.article_title for r in rows)
+    found = legal.relations(docs, "d", "t", "n").withColumn("source_number", F.col("target_number")).withColumn("source_article", F.lit("1"))
+    assert passes(legal.document_relations(found)) == 1
+    known = units.select(F.monotonically_increasing_id().alias("unit_id"), F.lit("50/2024/NĐ-CP").alias("doc_number"), "article", "clause")
+    assert passes(legal.relink(found, known)) == 2  # the units' and the relations'
