@@ -125,6 +125,18 @@ def ocr_verdict(c: Column) -> Column:
     return F.when((bare == "") | F.regexp_replace(bare, r"[.!]+$", "").isin(*EMPTY_REPLIES), "empty").when(~F.rlike(bare, F.lit(r"[\p{L}\p{N}]")), "unreadable").when(repetition(c) >= TOO_REPEATED, "repeated")
 
 
+#: Fixed value: every how many places a text is looked at first; a run that counts has 7 such places at least.
+STRIDE = 64
+
+
+def _may_run(seen, least: int) -> bool:
+    """Whether ``least`` places in a row are true."""
+    while least > 1 and seen.any():  # the shifts' sums are all numbers below ``least``
+        half = least // 2
+        seen, least = seen[:-half] & seen[half:], least - half
+    return bool(seen.any())
+
+
 def _repetition(s: pd.Series) -> pd.Series:
     def share(text: str | None) -> float:
         import numpy as np
@@ -134,11 +146,15 @@ def _repetition(s: pd.Series) -> pd.Series:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         inside = np.zeros(len(codes), bool)
         for period in range(1, PERIOD + 1):
+            least = max(SPAN, CYCLES * period) - period
+            if not _may_run(codes[period::STRIDE] == codes[:-period:STRIDE], least // STRIDE):
+                continue
             same = codes[period:] == codes[:-period]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if b - a + period >= max(SPAN, CYCLES * period):
-                    inside[a : b + period] = True
+            starts, ends = edges[::2], edges[1::2]
+            long = ends - starts >= least
+            for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+                inside[a : b + period] = True
         return float(inside.mean())
 
     return s.map(share)

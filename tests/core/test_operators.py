@@ -374,3 +374,37 @@ def test_texts_are_parsed_once(spark):
     assert passes(legal.document_relations(found)) == 1
     known = units.select(F.monotonically_increasing_id().alias("unit_id"), F.lit("50/2024/NĐ-CP").alias("doc_number"), "article", "clause")
     assert passes(legal.relink(found, known)) == 2  # the units' and the relations'
+
+
+def test_repetition_looks_closely_where_a_run_may_be():
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    def plain(text: str) -> float:
+        codes, inside = np.array([ord(x) for x in text]), np.zeros(len(text), bool)
+        for period in range(1, checks.PERIOD + 1):
+            start = None
+            for i, x in enumerate([*(codes[period:] == codes[:-period]), False]):
+                if x and start is None:
+                    start = i
+                elif not x and start is not None:
+                    if i - start + period >= max(checks.SPAN, checks.CYCLES * period):
+                        inside[start : i + period] = True
+                    start = None
+        return float(inside.mean())
+
+    dice = random.Random(3)
+    noise = lambda n: "".join(dice.choice("abcdefgh é") for _ in range(n))
+    texts = [noise(dice.randint(0, 300)) + noise(p) * 80 + noise(90) for p in (1, 2, 7, 16, 17, 40, 64, 65)]
+    texts += [noise(dice.randint(1, 70)) + "ab" * (k // 2) + noise(200) for k in (508, 510, 512, 514, 516)] + ["x" * 512, "x" * 511 + "y", noise(3000)]
+    assert checks._repetition(pd.Series(texts)).tolist() == [plain(t) if len(t) >= checks.SPAN else 0.0 for t in texts]
+    seen = []
+    was = np.flatnonzero
+    np.flatnonzero = lambda x: seen.append(1) or was(x)
+    try:
+        checks._repetition(pd.Series([noise(5000)]))
+    finally:
+        np.flatnonzero = was
+    assert not seen  # plain text has no place that is looked at closely
