@@ -408,3 +408,13 @@ def test_repetition_looks_closely_where_a_run_may_be():
     finally:
         np.flatnonzero = was
     assert not seen  # plain text has no place that is looked at closely
+
+
+def test_content_search_reads_texts_once(spark):
+    docs = frame(spark, [(1, "ONÉ_x two"), (2, "one, Two"), (3, "xonex"), (4, None), (5, "two two")], "doc_id long, text string")
+    found = search.content_search(docs, ["one", "two", "one"])
+    assert [(r.doc_id, r.step, r.hits) for r in found.collect()] == [(2, 1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+    assert [(r.doc_id, r.step) for r in search.content_search(docs, ["two", "one x"], k=2).collect()] == [(1, 2), (2, 2)]
+    assert [r.doc_id for r in search.content_search(docs, []).collect()] == [1, 2, 3, 5]
