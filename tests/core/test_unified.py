@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import textindex, unified
 from docloom.operators.vectorindex import VectorIndex
+from docloom.plans import finding
 
 ROWS = [
     (1, "g1", "a", "phòng cháy chữa cháy nhà cao tầng", [1.0, 0.0]),
@@ -64,3 +65,12 @@ def test_an_arm_fails_alone(asked, corpus):
     assert found.failed == ["broken words: OSError"] and {r.corpus for r in found.ranked.collect()} == {"page"}
     alone = unified.search_all(asked, [unified.Corpus("broken", corpus.rows, Broken())])
     assert alone.ranked.count() == 0 and alone.hints.count() == 0 and len(alone.failed) == 1
+
+
+def test_hints_that_fail_are_no_result(spark, sf, monkeypatch):
+    def gone(*args, **given):
+        raise OSError("gone")
+
+    monkeypatch.setattr(VectorIndex, "nearest", gone)
+    with pytest.raises(OSError):
+        finding.unified_hints(spark, sf)
