@@ -74,3 +74,19 @@ def test_hints_that_fail_are_no_result(spark, sf, monkeypatch):
     monkeypatch.setattr(VectorIndex, "nearest", gone)
     with pytest.raises(OSError):
         finding.unified_hints(spark, sf)
+
+
+def test_equal_questions_are_searched_for_once(asked, corpus):
+    class Counting:
+        asked = []
+
+        def nearest(self, queries, *given, **named):
+            self.asked.append(queries.count())
+            return corpus.vectors.nearest(queries, *given, **named)
+
+    again = asked.unionByName(asked.withColumn("query", F.col("query") + 10))
+    found = unified.out_of_scope(again, [unified.Corpus("page", corpus.rows, None, Counting())])
+    hints = {}
+    for r in found.orderBy("query", "rank").collect():
+        hints.setdefault(r.query, []).append(r.key)
+    assert Counting.asked == [2] and hints == {3: [1, 2, 4], 4: [1, 2, 3, 4], 13: [1, 2, 4], 14: [1, 2, 3, 4]}
