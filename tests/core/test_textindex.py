@@ -108,3 +108,19 @@ def test_best_of_many_equals_all_hits(spark, tmp_path, monkeypatch):
     best = lambda df: told(df.withColumn("rank", F.row_number().over(order)).where("rank <= 7").select("query", "key", "needle", "all_terms", "hits", "tf", "rank"))
     got = index.best_many(queries, own, 7)
     assert best(got) == best(met) and got.groupBy("query").count().count() == 3
+
+
+def test_best_of_many_returns_no_more_than_is_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "RANGE_ROWS", 64)
+    monkeypatch.setattr(textindex, "GROUP_RANGES", 1)
+    docs = frame(spark, [(k, t) for k, t in rows(250) if k is not None])
+    index = textindex.build(docs, f"{tmp_path}/index", buckets=3)
+    own = docs.select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("scope"))
+    asked = [(1, ["an", "the", "an"], [["an"], ["an", "toan", "phong"]], None), (2, [], [["an", "toan", "phong"]], ["odd"]), (3, ["the"], [["an", "toan"], ["none", "an"]], ["even"]), (4, ["the"], [[]], ["none"]), (5, None, None, None)]
+    queries = spark.createDataFrame(asked, "query long, terms array<string>, phrases array<array<string>>, scopes array<string>")
+    got = index.best_many(queries, own, 3)
+    assert 0 < got.groupBy("query").count().agg(F.max("count")).first()[0] <= 3
+    met = index.lexical_many(queries).join(own, "key").join(queries.select("query", "scopes"), "query").where("scopes is null or array_contains(scopes, scope)")
+    order = Window.partitionBy("query").orderBy(F.desc("needle"), F.desc("all_terms"), F.desc("hits"), F.desc("tf"), "key")
+    want = met.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    assert told(got) == told(want.select(*got.columns)) and want.count()
