@@ -90,3 +90,39 @@ def test_equal_questions_are_searched_for_once(asked, corpus):
     for r in found.orderBy("query", "rank").collect():
         hints.setdefault(r.query, []).append(r.key)
     assert Counting.asked == [2] and hints == {3: [1, 2, 4], 4: [1, 2, 3, 4], 13: [1, 2, 4], 14: [1, 2, 3, 4]}
+
+
+def test_near_copies_are_not_told_beside_each_other(spark, tmp_path):
+    texts = ["tang cao nha chay phong so mot", "tang cao nha chay phong so mot", "phong chay nha cao rung dam", "lua trai", "so 13/2023/NĐ-CP phong chay"]
+    rows = spark.createDataFrame([(k, f"g{k}", "a", t) for k, t in enumerate(texts)], "key long, group string, scope string, text string")
+    page = unified.Corpus("page", rows, textindex.build(rows, str(tmp_path / "index"), "key"))
+    words = ["phong", "chay", "nha", "cao", "tang"]
+    asked = [(1, " ".join(words), words, [], None, None), (2, " ".join(words), words, [["13", "2023", "nd", "cp"]], None, None)]
+    queries = spark.createDataFrame(asked, "query long, query_text string, terms array<string>, phrases array<array<string>>, embedding array<double>, scopes array<string>")
+
+    def told(**given):
+        found = unified.search_all(queries, [page], k=4, **given).ranked.orderBy("query", "rank").collect()
+        assert [r["rank"] for r in found] == [1, 2, 3, 4] * 2
+        return [[(r.key, r.score) for r in found if r["query"] == q] for q in (1, 2)]
+
+    def by_hand(rows):  # the greedy choice in plain Python
+        own = {k: set(texts[k].split()) for k, _ in rows}
+        like = lambda a, b: len(own[a] & own[b]) / len(own[a] | own[b])
+        chosen, left = [rows[0]], rows[1:]
+        while left:
+            best = max(left, key=lambda r: 0.7 * r[1] - 0.3 * max(like(r[0], c) for c, _ in chosen))
+            chosen.append(best)
+            left.remove(best)
+        return chosen
+
+    plain, diverse = told(diverse=False), told()
+    assert [k for k, _ in plain[0][:2]] == [0, 1] and diverse[0] == by_hand(plain[0]) != plain[0]
+    assert plain[1][0][0] == 4 and diverse[1] == plain[1][:1] + by_hand(plain[1][1:])  # the number comes first
+
+
+def test_rows_stay_as_found_where_no_score_is_sure(spark):
+    hits = [(1, "page", "a", 1, 0.01, None, True, False, 0.12), (1, "page", "b", 2, 0.02, None, True, False, 0.11), (1, "page", "c", 3, 0.005, None, True, True, 0.9), (2, "page", "a", 1, 0.01, None, True, False, 0.3), (2, "page", "b", 2, 0.02, None, True, False, 0.1)]
+    scored = spark.createDataFrame(hits, "query long, corpus string, group string, key long, rrf double, similarity double, lexical boolean, exact boolean, score double")
+    texts = spark.createDataFrame([("page", k, "x y z") for k in (1, 2, 3)], "corpus string, key long, text string")
+    got = unified._diversified(scored, texts, 3).orderBy("query", "rank").collect()
+    assert [(r["query"], r.key) for r in got] == [(1, 3), (1, 2), (1, 1), (2, 1)]
